@@ -52,3 +52,8 @@ def packed(df: DataFrame, name: str = "rec") -> F.Column:
 
 def same(a: F.Column, b: F.Column) -> F.Column:
     return a.eqNullSafe(b)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a few hundred rows at a time, so that very long ones fit together."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")

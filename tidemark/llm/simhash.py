@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, written
+from .common import packed, small_batches, written
 from .components import components
 
 RADIUS = 4
@@ -155,6 +155,7 @@ def near_classes(prints: DataFrame) -> DataFrame:
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row for each row of ``docs``: id_col, fingerprint (16 hex digits), component_id."""
+    small_batches(docs.sparkSession)
     prints = written(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint_column(text_col, shingle).alias("fp")), "prints")
     classes = written(near_classes(prints), "classes").select(F.col("fp").alias("cfp"), "component_id")
     out = prints.join(classes, F.col("fp") == F.col("cfp"))
@@ -165,6 +166,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with one row of each component: the one of the smallest id (rows without an id come
     last; of rows that share it, the one with the smallest text hash, then row hash). Columns are as
     they were."""
+    small_batches(docs.sparkSession)
     text_hash = F.xxhash64(F.col(f"`{text_col}`"))
     prints = written(docs.select(F.col(f"`{id_col}`").alias("id"), text_hash.alias("th"), fingerprint_column(text_col, shingle).alias("fp")), "prints")
     classes = written(near_classes(prints), "classes").select(F.col("fp").alias("cfp"), "root", "component_id")
