@@ -19,6 +19,7 @@ more rounds, not more memory than a few arrays of their length.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -230,13 +231,19 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def piece_encoder(proto: bytes) -> Encoder:
+    """One for all tasks of a worker process, so that they share the words it remembers."""
+    return Encoder(proto)
+
+
 def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id_col, ids (array<int>, the end id last), decoded (string)."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = piece_encoder(sent.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = [np.frombuffer(x, "<i4") for x in encoder.encode(texts)]

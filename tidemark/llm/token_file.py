@@ -18,6 +18,7 @@ one block of their own.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -94,6 +95,12 @@ class WordTokenizer:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokenizer(model: str) -> WordTokenizer:
+    """One for all tasks of a worker process, so that they share the words it remembers."""
+    return WordTokenizer(model)
+
+
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data of one document's ranks."""
     sizes = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
@@ -126,7 +133,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, model: str, end_id: i
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTokenizer(sent.value)
+        words = word_tokenizer(sent.value)
         end = np.array([end_id], words.kind).tobytes()
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "none": batch["none"], "ids": [x + end for x in words.encode(batch["text"].tolist())]})

@@ -154,13 +154,14 @@ def _member(data: Range, at: int) -> tuple[bytes, int]:
 def records(file: str, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """(head fields in lower case, content) of the records whose members start in [start, end)."""
     data = Range(file)
-    at = _next_member(data, start, min(end, data.size))
+    end = min(end, data.size)
+    at = _next_member(data, start, end)
     while at is not None and at < end:
         content, after = _member(data, at)
         head, _, rest = content.partition(b"\r\n\r\n")
         fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode().split("\r\n")[1:])}
         yield fields, rest[: int(fields["content-length"])]
-        at = after if after >= data.size or data.bytes_at(after, 3) == MAGIC else _next_member(data, after, end)
+        at = after if after >= end or data.bytes_at(after, 3) == MAGIC else _next_member(data, after, end)
 
 
 def _number(name: str | None) -> int | None:
