@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_trees, read_loss, read_turns, thread_messages
 from .common import new_path, read_table
+from .decontaminate import contaminated
 from .kdtree import top_k
 from .line_dedup import line_dedup
 from .piece_bpe import encode_decode
+from .quality import learn, scored
 from .sharding import lpt_shards
 from .simhash import simhash_classes
 from .token_file import crc32, read_tokens, write_tokens
@@ -64,6 +66,11 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_warc(read_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -100,6 +107,18 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    out = scored(docs, learn(docs, labels))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
