@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility form and full case folding, which the JVM functions don't have."""
     for batch in texts:
