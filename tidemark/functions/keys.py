@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 
 @F.pandas_udf(StringType())
-def _folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility form and full case folding, which the JVM functions don't have."""
     for batch in texts:
         yield batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
@@ -25,7 +25,7 @@ def alias_key_ascii(text: Column) -> Column:
 def alias_key(text: Column) -> Column:
     """The one key on which titles and catalog names meet: folded letters and digits of ASCII.
     For texts that are known to be ASCII, alias_key_ascii is the same without leaving the JVM."""
-    return F.regexp_replace(_folded(text), "[^a-z0-9]", "")
+    return F.regexp_replace(folded(text), "[^a-z0-9]", "")
 
 
 def sha(text: Column) -> Column:

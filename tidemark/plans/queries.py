@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import keys, money, mpn
+from ..functions import keys, money, mpn, title
 from ..operators import asof, eligibility, latest, lifecycle, presence, reports, resolve, runs, score
 from ..sources import listings
 from ..streaming import heartbeat
@@ -404,6 +404,20 @@ def q_mpn_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("d", mpn.decode_seagate(F.col("token"))).select("p_partkey", "token", "d.vendor", "d.family", "d.capacity_bytes")
 
 
+@query("""SELECT p_partkey, CAST(p_size AS BIGINT) * 1000000000000 AS capacity_bytes, CASE p_partkey % 3 WHEN 0 THEN 'sata' WHEN 1 THEN 'sas' ELSE 'nvme' END AS interface, '3.5' AS form_factor, CAST(5400 + 100 * p_size AS INTEGER) AS rpm,
+CASE p_partkey % 4 WHEN 0 THEN 'seagate' WHEN 1 THEN 'western_digital' WHEN 2 THEN 'toshiba' ELSE 'hgst' END AS brand,
+CASE p_partkey % 5 WHEN 0 THEN 'recertified' WHEN 1 THEN 'used' WHEN 2 THEN 'new' WHEN 3 THEN 'for_parts' END AS condition, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS INTEGER) END AS quantity FROM part""")
+def q_title_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles made from the catalog's columns are read back."""
+    k = F.col("p_partkey")
+    pick = lambda *xs: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int"))
+    quoted = F.when(k % 2 == 0, F.concat(F.lit("LOT OF "), "p_size", F.lit(" "))).otherwise("")
+    text = F.concat(quoted, pick("Seagate", "WD", "TOSHIBA", "Hitachi"), F.lit(" "), "p_size", F.lit("TB "), pick("SATA", "SAS", "NVMe"), F.lit(" 6Gb/s 3.5\" "), (5400 + 100 * F.col("p_size")).cast("string"), F.lit("RPM "), pick("factory recertified", "used", "NEW", "as-is", "not used"), F.lit(" — FREE SHIPPING, replacement for Kioxia open box"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", title.canonical_title(text).alias("t"))
+    a = title.attributes(F.col("t"))
+    return rows.select("p_partkey", a["capacity"]["bytes"].alias("capacity_bytes"), a["interface"].alias("interface"), a["form_factor"].alias("form_factor"), a["rpm"].alias("rpm"), a["brand"].alias("brand"), a["condition"]["value"].alias("condition"), a["quantity"]["n"].alias("quantity"))
+
+
 @query("""WITH a AS (SELECT regexp_replace(lower(p_type || p_size), '[^a-z0-9]', '', 'g') AS norm, CASE p_partkey % 3 WHEN 0 THEN 'mpn' WHEN 1 THEN 'oem_pn' ELSE 'house_sku' END AS alias_type, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 25 END AS site, p_partkey AS model_id FROM part),
 l AS (SELECT s_suppkey AS listing_id, s_nationkey AS site, regexp_replace(lower(p_type || p_size), '[^a-z0-9]', '', 'g') AS norm, CASE WHEN s_suppkey % 2 = 0 THEN 'manufacturer_mpn' ELSE 'structured' END AS kind FROM supplier JOIN part ON p_partkey = s_suppkey)
 SELECT listing_id, l.norm AS norm, kind, alias_type, model_id FROM l JOIN a ON l.norm = a.norm WHERE (a.site IS NULL OR a.site = l.site) AND (kind = 'structured' OR alias_type = 'mpn')""")
