@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys, money, mpn, title
-from ..operators import asof, eligibility, latest, lifecycle, presence, reports, resolve, runs, score
+from ..operators import alerts, asof, completeness, eligibility, latest, lifecycle, presence, reports, resolve, runs, score
 from ..sources import listings
 from ..streaming import heartbeat
 from .common import table, work_path
@@ -507,6 +507,73 @@ def q_price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.price_events(rows, "user_id", "ts", "event_id", "level").select("event_id", "user_id", "level")
 
 
+# completeness and alerts
+
+
+@query("""WITH p AS (SELECT o_custkey AS sweep, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page_no, o_orderkey, o_orderkey % 17 = 0 AS dropped, o_orderkey % 3 AS items, o_orderkey % 5 AS m FROM orders WHERE o_custkey % 4 = 0 OR o_orderkey % 10 = 0),
+g AS (SELECT sweep, count(*) AS n, bool_or(dropped) AS dropped, bool_or(m = 1 AND page_no > 0) AS gap, bool_or(items = 0 AND page_no > 0) AS silent, bool_or(m = 2) AS no_total, arg_max(m = 3, page_no) AS nxt, count(DISTINCT CASE WHEN m <> 2 THEN items END) AS totals, max(CASE WHEN m <> 2 THEN items END) AS total, count(DISTINCT o_orderkey % 7) AS ids FROM p GROUP BY sweep)
+SELECT sweep, n AS n_pages, CAST(ids AS INTEGER) AS n_ids, CASE WHEN dropped THEN 'parse_drop' WHEN gap THEN 'offset_gap' WHEN silent THEN 'silent_window_end' WHEN no_total THEN 'total_missing' WHEN nxt AND n >= 3 THEN 'page_cap' WHEN nxt THEN 'next_present'
+WHEN totals > 1 THEN 'total_unstable' WHEN total > ids THEN 'total_exceeds_seen' WHEN n > 1 THEN 'multi_page_unprovable' END AS verdict FROM g""")
+def q_sweep_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders are the pages of a sweep."""
+    o = table(spark, sf_dir, "orders").where("o_custkey % 4 = 0 or o_orderkey % 10 = 0").select(F.col("o_custkey").alias("sweep"), F.col("o_orderkey").alias("k"))
+    m = F.col("k") % 5
+    pages = o.withColumn("page_no", F.row_number().over(Window.partitionBy("sweep").orderBy("k")) - 1)
+    pages = pages.select("sweep", "page_no", F.lit(True).alias("parsed"), F.when((m == 1) & (F.col("page_no") > 0), -1).otherwise(F.col("page_no") * 200).alias("offset"), F.when(m != 2, F.col("k") % 3).alias("total"), (F.col("k") % 3).alias("items"), F.array(F.col("k") % 7).alias("distinct_ids"), (m == 3).alias("has_next"), (F.col("k") % 17 == 0).cast("int").alias("dropped"))
+    return completeness.sweep_verdicts(pages, ["sweep"], 200, 3)
+
+
+@query("""SELECT completeness, reason, count(*) AS n FROM (SELECT CASE WHEN e % 29 = 0 OR e % 23 = 0 OR e % 19 = 0 OR e % 13 = 0 OR (e % 10 > 0 AND e % 11 = 0) THEN 'failed' WHEN t = 'error' THEN 'truncated' WHEN t = 'signup' THEN 'partial' WHEN e % 7 = 1 THEN 'truncated'
+WHEN e % 10 = 0 AND e % 4 <> 0 THEN 'failed' WHEN e % 11 < e % 10 THEN 'partial' ELSE 'complete' END AS completeness,
+CASE WHEN e % 29 = 0 THEN 'output_missing' WHEN e % 23 = 0 THEN 'schema' WHEN e % 19 = 0 THEN 'scope' WHEN e % 13 = 0 THEN 'contradictory' WHEN e % 10 > 0 AND e % 11 = 0 THEN 'unusable' WHEN t = 'error' THEN 'time' WHEN t = 'signup' THEN 'status' WHEN e % 7 = 1 THEN 'pages'
+WHEN e % 10 = 0 AND e % 4 <> 0 THEN 'ambiguous_empty' WHEN e % 11 < e % 10 THEN 'some_unusable' END AS reason FROM (SELECT event_id AS e, event_type AS t FROM events)) GROUP BY ALL""")
+def q_run_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    status = F.when(F.col("event_type") == "error", "TIMED-OUT").when(F.col("event_type") == "signup", "ABORTED").otherwise("SUCCEEDED")
+    limit = F.when(e % 7 == 1, "pages")
+    kind = completeness.run_class(status, e % 29 != 0, e % 10, e % 11, F.when(e % 13 == 0, -1).otherwise(e % 10), limit, e % 19 != 0, e % 23 != 0, e % 4 == 0)
+    return table(spark, sf_dir, "events").select(kind.alias("c")).groupBy("c.completeness", "c.reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT s_nationkey % 3 AS s, CASE WHEN s_suppkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS c, s_suppkey % 7 <> 0 AS ok FROM supplier) m WHERE ok AND m.s = o_custkey % 30 AND m.c = o_orderpriority)""")
+def q_admission_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 3).alias("source"), F.when(F.col("s_suppkey") % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("category"), F.when(F.col("s_suppkey") % 7 != 0, "admitted").otherwise("denied").alias("status"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_custkey") % 30).alias("source"), F.col("o_orderpriority").alias("category"))
+    return completeness.admitted(o, m).select("o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT user_id, CASE WHEN user_id % 9 = 0 THEN 'budget_paused' WHEN max(ts) IS NULL THEN 'never' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) > 2 * 21600 * 1000000::BIGINT THEN 'stale' ELSE 'fresh' END AS freshness FROM events GROUP BY user_id""")
+def q_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
+    return last.select("user_id", completeness.freshness(F.col("ts"), F.lit(21_600), F.expr("timestamp_ntz'2024-01-31'"), F.col("user_id") % 9 == 0).alias("freshness"))
+
+
+@query("""SELECT coalesce(d, l) AS doc_id, coalesce(nd, 0) AS n_predictions, coalesce(nl, 0) AS n_labels FROM (SELECT doc_id AS d, count(*) AS nd FROM documents GROUP BY 1) FULL JOIN (SELECT doc_id AS l, count(*) AS nl FROM labels GROUP BY 1) ON d = l WHERE coalesce(nd, 0) <> 1 OR coalesce(nl, 0) <> 1""")
+def q_unmatched_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completeness.matched_one_to_one(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+
+
+@query("""WITH m AS (SELECT event_id, user_id, ts, CASE WHEN value >= 80 THEN true WHEN value <= 60 THEN false END AS mv FROM events),
+o AS (SELECT *, coalesce(last_value(mv IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS st FROM m)
+SELECT event_id, st AS on, st AND NOT coalesce(lag(st) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS fires FROM o""".replace(" AS on,", ' AS "on",'))
+def q_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return alerts.hysteresis(e, ["user_id"], "ts", "event_id", F.col("value") >= 80, F.col("value") <= 60).select("event_id", "on", "fires")
+
+
+@query("""SELECT event_id, n < 2 AS sent FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) + row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) - 1 AS n FROM events WHERE event_type = 'view')""")
+def q_rate_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a user's views two a day are sent at once."""
+    e = table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", "user_id", "ts")
+    return alerts.capped(e, ["user_id"], "ts", "event_id", 86_400, 2).select("event_id", "sent")
+
+
+@query("""SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS norm, CAST(p_size % 2 AS VARCHAR) AS alias_type, count(DISTINCT p_partkey) AS n_models FROM part GROUP BY ALL HAVING count(DISTINCT p_partkey) > 1""")
+def q_alias_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(keys.alias_key_ascii(F.col("p_name")).alias("norm"), (F.col("p_size") % 2).cast("string").alias("alias_type"), F.lit(None).cast("int").alias("site"), F.col("p_partkey").alias("model_id"))
+    return resolve.conflicting(p).select("norm", "alias_type", "n_models")
+
+
 # streams: a table is read as a stream to its end, the sink is a folder of files
 
 
