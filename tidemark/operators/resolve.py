@@ -92,3 +92,74 @@ def conflicting(aliases: DataFrame) -> DataFrame:
     """Aliases (norm, alias_type, site) that point at more than one model, OEM numbers apart."""
     out = aliases.where(F.col("alias_type") != "oem_pn").groupBy("norm", "alias_type", "site").agg(F.count_distinct("model_id").alias("n_models"))
     return out.where("n_models > 1")
+
+
+def reconsider(prior: DataFrame, now: DataFrame) -> DataFrame:
+    """Which priors still stand: listing_id, prior_target, prior_grain, prior_confidence, and ``doubts`` against them.
+
+    A prior is doubted if another matcher version made it, if the listing's identifiers changed, if the brand
+    now stated is another, or if attributes contradict the target. ``prior``: listing_id, target, grain, confidence, brand,
+    matcher_version, identifiers array. ``now``: listing_id, brand, matcher_version, identifiers array, vetoes array.
+    """
+    p = prior.select(F.col("listing_id").alias("_id"), "target", "grain", "confidence", F.col("brand").alias("_brand"), F.col("matcher_version").alias("_version"), F.col("identifiers").alias("_ids"))
+    both = now.join(p, F.col("listing_id") == F.col("_id"))
+    doubts = F.array_compact(
+        F.array(
+            F.when(~F.col("matcher_version").eqNullSafe(F.col("_version")), "matcher_version"),
+            F.when(~F.array_sort("identifiers").eqNullSafe(F.array_sort("_ids")), "identifiers"),
+            F.when(F.coalesce(F.col("brand") != F.col("_brand"), F.lit(False)), "brand"),
+            F.when(F.size("vetoes") > 0, F.concat(F.lit("veto:"), F.array_join("vetoes", ","))),
+        )
+    )
+    return both.select("listing_id", F.col("target").alias("prior_target"), F.col("grain").alias("prior_grain"), F.col("confidence").alias("prior_confidence"), doubts.alias("doubts"))
+
+
+def inherit(decisions: DataFrame, priors: DataFrame) -> DataFrame:
+    """Decisions, but for listings whose prior stands without a doubt: those keep it at its confidence."""
+    good = priors.where(F.size("doubts") == 0).select(F.col("listing_id").alias("_id"), "prior_target", "prior_grain", "prior_confidence")
+    out = decisions.join(good, F.col("listing_id") == F.col("_id"), "left")
+    kept = F.col("_id").isNotNull()
+    return out.select(
+        "listing_id",
+        F.when(kept, "accept").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(kept, F.col("prior_grain")).otherwise(F.col("grain")).alias("grain"),
+        F.when(kept, F.col("prior_target")).otherwise(F.col("target")).alias("target"),
+        F.when(kept, F.col("prior_confidence")).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(kept, "prior").otherwise(F.col("reason")).alias("reason"),
+    )
+
+
+def gate(decisions: DataFrame, rules: DataFrame) -> DataFrame:
+    """Accepts that their category's rules don't let through become reviews, by the first rule that fails.
+
+    ``decisions`` with category (dispatched) and target_category. ``rules``: category, auto_accept boolean, grains array
+    (null: all), families array (null: all) of names that may be accepted at family grain.
+    """
+    r = rules.select(F.col("category").alias("_cat"), "auto_accept", "grains", "families")
+    out = decisions.join(r, F.col("category") == F.col("_cat"), "left")
+    failed = F.coalesce(
+        F.when(F.col("target_category").isNotNull() & (F.col("target_category") != F.col("category")), F.lit("cross_category")),
+        F.when(F.col("_cat").isNull(), F.lit("no_rules")),
+        F.when(~F.col("auto_accept"), F.lit("auto_accept_off")),
+        F.when(F.col("grains").isNotNull() & ~F.array_contains("grains", F.col("grain")), F.lit("grain_not_accepted")),
+        F.when((F.col("grain") == "family") & F.col("families").isNotNull() & ~F.array_contains("families", F.col("target")), F.lit("family_not_ratified")),
+    )
+    down = (F.col("outcome") == "accept") & failed.isNotNull()
+    cols = [c for c in decisions.columns if c not in ("outcome", "reason")]
+    return out.select(*cols, F.when(down, "review").otherwise(F.col("outcome")).alias("outcome"), F.when(down, failed).otherwise(F.col("reason")).alias("reason"))
+
+
+def variants_on_demand(decisions: DataFrame, terms: DataFrame) -> DataFrame:
+    """Variants (variant_id, model, condition) that accepted models with a stated condition need; ids follow from what they name."""
+    rows = decisions.where("outcome = 'accept' and grain = 'model'").join(terms.where("condition is not null and condition <> 'unknown'"), "listing_id")
+    return rows.select(F.xxhash64(F.lit("variant"), "target", "condition").alias("variant_id"), F.col("target").alias("model"), "condition").distinct()
+
+
+def learned_aliases(decisions: DataFrame, listings: DataFrame, aliases: DataFrame) -> DataFrame:
+    """New aliases: OEM numbers and house numbers of listings that were accepted at a model, where the text isn't an alias yet."""
+    tokens = listings.select("listing_id", F.col("site").alias("_site"), F.explode("candidates").alias("c")).where(F.col("c.kind").isin("oem", "house_sku"))
+    rows = tokens.join(decisions.where("outcome = 'accept' and grain = 'model'").select("listing_id", "target"), "listing_id")
+    kind = F.when(F.col("c.kind") == "oem", "oem_pn").otherwise("house_sku")
+    new = rows.select(F.col("c.norm").alias("norm"), kind.alias("alias_type"), F.when(F.col("c.kind") == "house_sku", F.col("_site")).alias("site"), F.col("target").alias("model_id")).distinct()
+    old = aliases.select(F.col("norm").alias("_n"), F.col("alias_type").alias("_t"), F.col("site").alias("_s")).distinct()
+    return new.join(old, (F.col("norm") == F.col("_n")) & (F.col("alias_type") == F.col("_t")) & F.col("site").eqNullSafe(F.col("_s")), "left_anti")
