@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from .piece_bpe import encode_decode
 from .quality import learn, scored
 from .sharding import lpt_shards
 from .simhash import simhash_classes
-from .token_file import crc32, read_tokens, write_tokens
+from .token_file import read_tokens, write_tokens
 from .warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,12 +57,8 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-file")
     index = write_tokens(read_table(spark, sf_dir, "documents"), path, model)
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(crc32).astype("int64")
-
     out = read_tokens(spark, path, index)
-    return out.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+    return out.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,6 @@ from __future__ import annotations
 import functools
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ BLOCK_HEAD = struct.Struct("<QQQQ")
 #: Ids of a block, and bytes of coded ids of a file, about.
 BLOCK, FILE = 1 << 18, 32 << 20
 #: Words a tokenizing task remembers.
-MEMORY = 1_000_000
+MEMORY = 800_000
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-z0-9À-ÖØ-öø-ÿ]*)")
 
@@ -66,14 +65,15 @@ class WordTokenizer:
         for at in range(0, len(parts), 500):
             some = parts[at : at + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            own = np.split(ids, np.flatnonzero(ids == self.bar[0]))
-            out |= {p: x[i > 0 :].tobytes() for i, (p, x) in enumerate(zip(some, own, strict=True))}
+            raw, size = ids.tobytes(), self.kind.itemsize
+            bars = (np.flatnonzero(ids == self.bar[0]) * size).tolist()
+            out |= {p: raw[a:b] for p, a, b in zip(some, [0, *[b + size for b in bars]], [*bars, len(raw)], strict=True)}
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        missing = {w for words in split for w in words if w not in known}
+        missing = set().union(*split).difference(known)
         if len(known) + len(missing) > MEMORY:
             self.known = known = {"": b""}
             missing = {w for words in split for w in words if w}
@@ -268,7 +268,3 @@ def read_tokens(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"id": pd.array([i for i, _ in docs], "Int64"), "start": int(start) + np.cumsum(sizes) - sizes, "ids": [x.astype("<u4").tobytes() for _, x in docs]})
 
     return places.mapInPandas(run, "id long, start long, ids binary")
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
