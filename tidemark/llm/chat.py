@@ -48,22 +48,22 @@ def _role_in(role: Column) -> Column:
 def leaf_paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) from ``nodes`` (tree, node, parent): each leaf's path, up counting from the leaf."""
     known = nodes.select(F.col("tree").alias("kt"), F.col("node").alias("kn"))
-    hop = nodes.join(known, same(F.col("tree"), F.col("kt")) & (F.col("parent") == F.col("kn")), "left").select("tree", "node", F.col("kn").alias("to"))
+    hop = nodes.join(known, same(F.col("tree"), F.col("kt")) & (F.col("parent") == F.col("kn"))).select("tree", "node", F.col("kn").alias("to"))
     hops = [written(hop, "hops")]
     size = hops[0].count()
-    # a hop of 2^k beyond the number of nodes that still lands somewhere runs in a cycle
-    while hops[-1].where("to is not null").limit(1).count() and 1 << (len(hops) - 1) <= size:
+    # hops that land nowhere are left out; one of 2^k beyond the number of nodes that lands somewhere runs in a cycle
+    while hops[-1].limit(1).count() and 1 << (len(hops) - 1) <= size:
         last = hops[-1]
-        onward = last.where("to is not null").select(F.col("tree").alias("ot"), F.col("node").alias("on"), F.col("to").alias("far"))
-        hop = last.join(onward, same(F.col("tree"), F.col("ot")) & (F.col("to") == F.col("on")), "left")
+        onward = last.select(F.col("tree").alias("ot"), F.col("node").alias("on"), F.col("to").alias("far"))
+        hop = last.join(onward, same(F.col("tree"), F.col("ot")) & (F.col("to") == F.col("on")))
         hops.append(written(hop.select("tree", "node", F.col("far").alias("to")), "hops"))
-    cyclic = hops[-1].where("to is not null").select(F.col("tree").alias("ct"), F.col("node").alias("cn"))
+    cyclic = hops[-1].select(F.col("tree").alias("ct"), F.col("node").alias("cn"))
     parents = nodes.where("parent is not null").select(F.col("tree").alias("pt"), F.col("parent").alias("pn"))
     leaves = nodes.join(parents, same(F.col("tree"), F.col("pt")) & (F.col("node") == F.col("pn")), "left_anti")
     leaves = leaves.join(cyclic, same(F.col("tree"), F.col("ct")) & (F.col("node") == F.col("cn")), "left_anti")
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(hops) - 1)):
-        step = hops[k].where("to is not null").select(F.col("tree").alias("st"), F.col("node").alias("sn"), "to")
+        step = hops[k].select(F.col("tree").alias("st"), F.col("node").alias("sn"), "to")
         further = paths.join(step, same(F.col("tree"), F.col("st")) & (F.col("node") == F.col("sn")))
         paths = paths.union(further.select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up")))
         paths = written(paths, "paths") if k % 3 == 0 else paths
