@@ -38,7 +38,7 @@ BLOCK_HEAD = struct.Struct("<QQQQ")
 #: Ids of a block, and bytes of coded ids of a file, about.
 BLOCK, FILE = 1 << 18, 32 << 20
 #: Words a tokenizing task remembers.
-MEMORY = 800_000
+MEMORY = 2_000_000
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-z0-9À-ÖØ-öø-ÿ]*)")
 
