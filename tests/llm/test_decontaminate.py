@@ -74,3 +74,16 @@ def test_rows_of_contaminated_documents_go(table):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, "clean text here"), (None, "fine"), (3, None)], key=repr)
     assert decontaminate(df, bench.where("false")).count() == len(docs)
     assert decontaminate(df.where("false"), bench).collect() == []
+
+
+def test_quotes_filled_up_with_one_word(table):
+    """A quote that lacks its end, in a page of one repeated word (or two in turn)."""
+    items = [(k, " ".join(f"q{k}w{i}" for i in range(m))) for k, m in enumerate([31, 60, 90, 120] * 6)]
+    fill = lambda k, n: (["na"] * n if k % 3 else ["na", "hey"] * n)[:n]
+    docs = []
+    for k, item in items:
+        ws = item.split()
+        docs.append((100 + k, " ".join(fill(k, 40) + ws[: len(ws) - (len(ws) - 4) // 10] + fill(k, 40))))
+    want = brute(docs, items)
+    assert len(want) == len(items)
+    assert run(table, docs, items) == want

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
+"""Benchmark decontamination: item-sized windows around anchor shingles, bound by shared places, exact check.
 
 A document is contaminated if a window of it, as many words long as a benchmark item, has a weighted
 shingle similarity of THRESHOLD or more with the item: shingles are SHINGLE words, their weights the
@@ -8,14 +8,11 @@ times they occur, the similarity is the sum of smaller over the sum of larger we
    so it holds one of any few more of them. These anchors (a few an item) are met with all shingles
    of all documents; around each place found lie all windows that hold it. Nothing else of a
    document can qualify, and nothing else is moved.
-2. Fingerprints. Every window of a region gets the 64-bit SimHash of its words, as the difference of
-   two running sums, so the work follows the region's length and not windows times item size.
-3. Multi-index blocks. Both sides are cut into BLOCKS blocks of bits. Fingerprints within
-   RADIUS = BLOCKS * (NEAR + 1) - 1 bits have a block in which they differ by NEAR bits at most, so the
-   item's blocks with all their neighbours within NEAR bits meet every such window of their size.
-4. Candidates within RADIUS are checked exactly. Words that differ cost at least as many shingles, so
-   a window at the threshold has at least 8 of 9 words of its item: some 10 bits are expected to
-   differ at most, RADIUS is three deviations above.
+2. Counts. A window at the threshold holds a known number of places whose shingle is one of the item's:
+   the shared weight is at most that number. The places of a region that hold a shingle of an item are
+   met by equality; every window with enough of them is a candidate, whatever else it holds. A SimHash
+   of the window's words would lose some: a word that fills it up adds up in all bits.
+3. Candidates are checked exactly.
 
 Words are runs of letters and digits in lower case. Cases: null or wordless texts and items match
 nothing. Items of fewer than SHINGLE words have one shingle, all of them. A document that is shorter
@@ -33,11 +30,8 @@ from .common import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCKS, NEAR = 5, 3
-RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Anchors up to this number (of some 30 bytes) are broadcast; more are joined by exchange.
 BROADCAST_ROWS = 500_000
-_EDGES = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
 _KEY = ("id", "th", "m", "lo")
 
 
@@ -58,35 +52,15 @@ def _shingles(words: Column, k: Column) -> Column:
     return F.transform(_indexes(F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i + 1, k), " "))
 
 
-def _lanes() -> list[Column]:
-    """Bits k and k + 32 of a word's hash, as counters of 32 bits each in one long."""
-    return [F.shiftright(F.col("h"), k).bitwiseAND(F.lit(0x100000001)).alias(f"s{k}") for k in range(32)]
-
-
-def _fingerprint(size: Column) -> Column:
-    """Of the lanes' sums: a bit is 1 if it is set in over half the words."""
-    out = F.lit(0).cast("long")
-    for k in range(32):
-        low, high = F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"s{k}"), 32)
-        top = 1 << k + 32
-        out = out.bitwiseOR(F.when(2 * low > size, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-        out = out.bitwiseOR(F.when(2 * high > size, F.lit(top - (1 << 64) if k == 31 else top).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
-
-
-def _block(b: int) -> Column:
-    return F.shiftrightunsigned(F.col("fp"), _EDGES[b]).bitwiseAND(F.lit((1 << _EDGES[b + 1] - _EDGES[b]) - 1))
-
-
 def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, words, m, k, fp) of the items with words: m words, shingles of k."""
+    """(item, no, words, m, k) of the items with words: m words, shingles of k; no stands for item and words."""
     items = benchmark.select(F.col(f"`{id_col}`").alias("item"), words_of(F.col(f"`{text_col}`")).alias("words")).where(F.size("words") > 0)
-    items = items.groupBy("item", "words").agg(F.size("words").alias("m")).withColumn("no", F.xxhash64("item", "words"))
-    words = items.select("no", "m", F.explode("words").alias("word")).select("no", "m", F.xxhash64("word").alias("h"))
-    sums = words.select("no", "m", *_lanes()).groupBy("no", "m").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(32)])
-    prints = sums.select(F.col("no").alias("pno"), _fingerprint(F.col("m")).alias("fp"))
-    out = items.join(prints, F.col("no") == F.col("pno"))
-    return out.select("item", "words", "m", F.least("m", F.lit(SHINGLE)).alias("k"), "fp")
+    items = items.distinct().withColumn("m", F.size("words"))
+    return items.select("item", F.xxhash64("item", "words").alias("no"), "words", "m", F.least("m", F.lit(SHINGLE)).alias("k"))
+
+
+def _hashes_of(words: Column, k: Column) -> Column:
+    return F.coalesce(*[F.when(k == n, _hashes(words, n)) for n in range(1, SHINGLE + 1)])
 
 
 def _anchors(items: DataFrame, ks: list[int], threshold: float) -> DataFrame:
@@ -132,30 +106,24 @@ def regions(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     return out.select("id", "th", "p.*", F.slice("words", F.col("p.lo") + 1, F.col("p.last") - F.col("p.lo") + F.col("p.size")).alias("words"))
 
 
-def window_fingerprints(areas: DataFrame) -> DataFrame:
-    """(id, th, m, lo, start, fp) of every window of the regions."""
-    words = areas.select(*_KEY, "size", "last", F.posexplode("words").alias("i", "word"))
-    words = words.select(*_KEY, "size", "last", (F.col("lo") + F.col("i")).alias("pos"), F.xxhash64("word").alias("h"))
-    running = Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = words.select(*_KEY, "size", "last", "pos", *_lanes()).select(*_KEY, "size", "last", "pos", *[F.sum(f"s{k}").over(running).alias(f"s{k}") for k in range(32)])
-    # the sum up to a window's last word less the sum up to the word before it
-    ends = F.array(F.struct((F.col("pos") - F.col("size") + 1).alias("start"), F.lit(1).alias("sign")), F.struct((F.col("pos") + 1).alias("start"), F.lit(-1).alias("sign")))
-    both = sums.select(*_KEY, "size", "last", F.explode(ends).alias("e"), *[f"s{k}" for k in range(32)]).where((F.col("e.start") >= F.col("lo")) & (F.col("e.start") <= F.col("last")))
-    both = both.select(*_KEY, "size", F.col("e.start").alias("start"), *[(F.col(f"s{k}") * F.col("e.sign")).alias(f"s{k}") for k in range(32)])
-    whole = both.groupBy(*_KEY, "size", "start").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(32)])
-    return whole.select(*_KEY, "start", _fingerprint(F.col("size")).alias("fp"))
-
-
-def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """(m, fp, ifp): every fingerprint of a window and of an item of its size that differ by RADIUS bits at most."""
-    prints = windows.select("m", "fp").distinct()
-    mine = prints.select("m", "fp", F.posexplode(F.array(*[_block(b) for b in range(BLOCKS)])).alias("b", "v"))
-    theirs = items.select("m", "fp").distinct().select("m", "fp", F.posexplode(F.array(*[_block(b) for b in range(BLOCKS)])).alias("b", "v"))
-    tops = F.array(*[F.lit((1 << _EDGES[b + 1] - _EDGES[b]) - 1).cast("long") for b in range(BLOCKS)])
-    near = F.filter(F.sequence(F.lit(0).cast("long"), F.get(tops, F.col("b"))), lambda x: F.bit_count(x) <= NEAR)
-    theirs = theirs.select(F.col("m").alias("im"), F.col("b").alias("ib"), F.col("fp").alias("ifp"), F.explode(F.transform(near, lambda x: x.bitwiseXOR(F.col("v")))).alias("iv"))
-    met = mine.join(theirs, (F.col("m") == F.col("im")) & (F.col("b") == F.col("ib")) & (F.col("v") == F.col("iv")))
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("m", "fp", "ifp").distinct()
+def candidates(areas: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(id, th, m, lo, no, start) of every window that holds enough places of an item of its size."""
+    here = areas.select(*_KEY, "k", "size", "last", F.posexplode(_hashes_of(F.col("words"), F.col("k"))).alias("i", "hash"))
+    theirs = items.select("no", F.col("m").alias("im"), F.explode(F.array_distinct(_hashes_of(F.col("words"), F.col("k")))).alias("ih"))
+    met = here.join(theirs, (F.col("m") == F.col("im")) & (F.col("hash") == F.col("ih")))
+    places = met.groupBy(*_KEY, "no", "k", "size", "last").agg(F.array_sort(F.collect_list(F.col("lo") + F.col("i"))).alias("at"))
+    # shared / (mine + theirs - shared) reaches the threshold
+    need = F.ceil((F.col("size") + F.col("m") - 2 * (F.col("k") - 1)) * F.lit(threshold / (1 + threshold)) - 1e-9).cast("int")
+    places = places.withColumn("need", F.greatest(need, F.lit(1))).where(F.size("at") >= F.col("need"))
+
+    def starts(i: Column) -> Column:
+        """Of the windows whose first place is the i-th: those that reach the last place needed."""
+        low = F.greatest(F.coalesce(F.get("at", i - 1) + 1, F.col("lo")), F.get("at", i + F.col("need") - 1) - (F.col("size") - F.col("k")), F.col("lo"))
+        high = F.least(F.get("at", i), F.col("last"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    found = F.flatten(F.transform(_indexes(F.size("at") - F.col("need") + 1), starts))
+    return places.select(*_KEY, "no", F.explode(found).alias("start"))
 
 
 def _again(a: Column) -> Column:
@@ -179,14 +147,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = written(benchmark_items(benchmark, item_id, item_text), "items")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
     areas = written(regions(rows, items, threshold), "regions")
-    windows = written(window_fingerprints(areas), "windows")
-    near = within_radius(windows, items).select(F.col("m").alias("nm"), F.col("fp").alias("nfp"), "ifp")
-    met = windows.join(near, (F.col("m") == F.col("nm")) & (F.col("fp") == F.col("nfp"))).select(*_KEY, "start", "ifp")
+    met = written(candidates(areas, items, threshold), "candidates")
     parts = areas.select(F.col("id").alias("aid"), F.col("th").alias("ath"), F.col("m").alias("am"), F.col("lo").alias("alo"), "k", "size", F.col("words").alias("area"))
     met = met.join(parts, F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath")) & (F.col("m") == F.col("am")) & (F.col("lo") == F.col("alo")))
-    met = met.select("id", "th", "m", "k", "size", "start", "ifp", _shingles(F.slice("area", F.col("start") - F.col("lo") + 1, F.col("size")), F.col("k")).alias("mine"))
-    theirs = items.select("item", F.col("m").alias("im"), F.col("fp").alias("tfp"), _shingles(F.col("words"), F.col("k")).alias("theirs"))
-    pairs = met.join(theirs, (F.col("m") == F.col("im")) & (F.col("ifp") == F.col("tfp")))
+    met = met.select("id", "th", "m", "k", "size", "start", "no", _shingles(F.slice("area", F.col("start") - F.col("lo") + 1, F.col("size")), F.col("k")).alias("mine"))
+    theirs = items.select("item", F.col("no").alias("tno"), _shingles(F.col("words"), F.col("k")).alias("theirs"))
+    pairs = met.join(theirs, F.col("no") == F.col("tno"))
     pairs = pairs.select("id", "th", "item", "start", "size", weighted_similarity(F.col("mine"), F.col("theirs")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = pairs.groupBy("id", "th", "item").agg(F.max_by(F.struct("start", "size", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
     return best.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("item").alias("item_id"), F.col("w.start").alias("start"), F.col("w.size").alias("n_words"), F.col("w.similarity").alias("similarity"))
