@@ -47,6 +47,13 @@ def test_line_dedup_keeps_columns_and_rows(table):
     assert line_dedup(df.where("false")).collect() == []
 
 
+def test_line_dedup_tells_texts_of_one_id_apart(table):
+    """A passage that only rows without an id (or of one id) share stays in one of them."""
+    for i in (None, 5):
+        out = line_dedup(table(DOCS, [(i, f"{x}\na\nb\nc", "en", 1, "x") for x in "pqr"])).collect()
+        assert sorted(r.n_removed for r in out) == [0, 3, 3]
+
+
 def fingerprint_brute(text, k=4):
     words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate(str.maketrans("\t\n\v\f\r", "     ")).split(" ") if w]
     if not words:

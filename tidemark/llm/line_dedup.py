@@ -1,14 +1,15 @@
 """Line dedup: overlapping three-line windows, repeated ones removed but for their first occurrence.
 
 Every run of three consecutive lines is hashed to 128 bits. A window that occurs more than once
-anywhere keeps its first occurrence, in the order of (doc_id, position); the lines covered by any
+anywhere keeps its first occurrence, in the order of (doc_id, text hash, position); the lines covered by any
 later occurrence go. Covered positions of overlapping windows are merged, so a repeated passage of
 any length from three lines up goes as a whole.
 
 Cases: a null text stays null and has no lines. A text of fewer than three lines, the empty text
-included, has no window and stays. A null doc_id comes after all others. Rows that share a doc_id
-count as one document for the order: they don't remove lines from each other, though a window that
-repeats inside one row keeps only its first place there. A text whose lines all go becomes "".
+included, has no window and stays. A null doc_id comes after all others. Rows that share both doc_id
+and text count as one document: they don't remove lines from each other, though a window that repeats
+inside one row keeps only its first place there. Different texts are different documents, whatever
+their ids. A text whose lines all go becomes "".
 Columns of the input stay as they are, whatever they are called; the results win a name clash.
 """
 
@@ -41,12 +42,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # sorted by hash, so that a window's later places inside its own text are next to the first
     wins = base.where(F.size("lines") >= window).select("id", "th", F.array_sort(F.transform(spans, hashed)).alias("wins"))
     seen = wins.select("id", "th", F.explode(F.transform("wins", repeats)).alias("w")).select("id", "th", "w.a", "w.b", "w.pos", "w.again")
-    first = seen.groupBy("a", "b").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    first = seen.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # joined on one of the two hashes, so that both sides are exchanged for the join and a hot window's rows can be split
-    first = first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first_id")
+    first = first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
     later = (
         seen.join(first, (F.col("a") == F.col("fa")) & (F.col("b").bitwiseXOR(F.col("fb")) == 0))
-        .where("again or id > first_id or (id is null and first_id is not null)")
+        .where(F.col("again") | (place > F.col("first")))
         .groupBy("id", "th")
         .agg(F.collect_set("pos").alias("starts"))
         .select(F.col("id").alias("did"), F.col("th").alias("dth"), "starts")
