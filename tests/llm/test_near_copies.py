@@ -74,3 +74,15 @@ def test_stage_takes_copies_beyond_four_bits(spark, table):
     assert any(bin(fingerprint(docs[k][1]) ^ fingerprint(docs[k + 1][1])).count("1") > 4 for k in range(0, 40, 2))
     out = corpus_pipeline.near_dedup(spark, table("doc_id long, text string", docs), "")
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
+
+
+def test_filter_hides_no_partner(table):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.hash_bits import may_be_among
+
+    few = table("v long", [(k * k,) for k in range(300)] + [(None,)])
+    all_rows = table("x long", [(k,) for k in range(20_000)] + [(None,)])
+    hit = {r.x for r in all_rows.where(may_be_among(F.col("x"), few)).collect()}
+    assert {k * k for k in range(142)} <= hit and len(hit) < 2000
+    assert all_rows.where(may_be_among(F.col("x"), few.where("false"))).count() == 0

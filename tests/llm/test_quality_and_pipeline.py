@@ -13,7 +13,8 @@ from tidemark.llm.queries import held_out, op8_quality, oracle_sql, queries
 
 from .test_decontaminate import brute, shingles, words
 from .test_files_and_pieces import SP
-from .test_lines_and_near import components_brute, dedup_brute, fingerprint_brute
+from .test_lines_and_near import dedup_brute
+from .test_near_copies import kept_brute
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
@@ -84,8 +85,7 @@ def test_pipeline_stages_are_brute_force(spark, tmp_path):
             want = dedup_brute(before.items())
             assert all(r.n_chars == len(r.text) for r in rows.values())
         elif name == "near_dedup":
-            roots = components_brute({i: fingerprint_brute(t) for i, t in before.items()})
-            want = {i: before[i] for i in set(roots.values())}
+            want = {i: before[i] for i in kept_brute(list(before.items()))}
         elif name == "decontamination":
             want = {i: t for i, t in before.items() if not brute([(i, t)], shared(t))}
         else:

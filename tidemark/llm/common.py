@@ -54,6 +54,14 @@ def same(a: F.Column, b: F.Column) -> F.Column:
     return a.eqNullSafe(b)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing reads them any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python a few hundred rows at a time, so that very long ones fit together."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
