@@ -3,14 +3,18 @@
 import heapq
 import math
 import random
+import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat import CONTROL, escape, format_trees, read_loss, read_turns, thread_messages, unescape
+from tidemark.llm.common import read_table
 from tidemark.llm.kdtree import top_k
-from tidemark.llm.sharding import lpt_shards
+from tidemark.llm.queries import op6_lpt_sharding
+from tidemark.llm.sharding import dealt, lpt_shards
 
 
 def shards_of(df, shards=5):
@@ -44,10 +48,55 @@ def test_shards_of_odd_rows(table):
     assert shards_of(df.where("false")).collect() == []
 
 
-def test_most_groups_in_bundles_are_even(spark):
-    df = spark.range(60_000).select("id", F.col("id").cast("string").alias("g"), (F.col("id") % 97 + 1).alias("size"))
-    loads = [r.s for r in shards_of(df, 8).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
-    assert len(loads) == 8 and max(loads) - min(loads) < 0.01 * sum(loads) / 8
+def lpt_brute(sizes, shards):
+    loads = [(0, j) for j in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, j = loads[0]
+        heapq.heapreplace(loads, (load + size, j))
+    return [load for load, _ in sorted(loads, key=lambda x: x[1])]
+
+
+def test_runs_of_equal_groups_are_dealt_as_by_the_heap():
+    rng = random.Random(4)
+    for _ in range(300):
+        shards = rng.randrange(1, 9)
+        runs = sorted({rng.choice([0, 1, 7, 64, rng.randrange(2000)]) for _ in range(6)}, reverse=True)
+        loads, sizes = [0] * shards, []
+        for size in runs:
+            n = rng.choice([1, 3, 10, rng.randrange(1, 300)])
+            assert sum(dealt(loads, size, n)) == n
+            sizes += [size] * n
+        assert loads == lpt_brute(sizes, shards)
+
+
+def test_sixty_thousand_groups_are_the_heap(spark):
+    df = spark.range(60_000).select("id", F.col("id").cast("string").alias("g"), (F.col("id") * 7919 % 977 + 1).alias("size"))
+    loads = {r.shard: r.s for r in shards_of(df, 8).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    assert [loads[j] for j in range(8)] == lpt_brute([i * 7919 % 977 + 1 for i in range(60_000)], 8)
+
+
+def test_shards_keep_columns_of_any_name(table):
+    names = ["k", "b", "_g", "_size", "_b", "_cell", "_rank", "rec", "cell", "at", "start", "tie", "number", "pg", "s_shard"]
+    df = table("id long, g string, size long, " + ", ".join(f"{c} int" for c in names), [(i, f"g{i % 3}", 5, *range(len(names))) for i in range(9)])
+    got = shards_of(df)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    assert all([r[c] for c in names] == list(range(len(names))) for r in got.collect())
+
+
+def test_sharding_query(spark):
+    """op6 over whole documents: loads are the heap's, equal texts stay together, slots have no gaps."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in read_table(spark, sf, "documents").collect()}
+    got = op6_lpt_sharding(spark, sf).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in got} == {i: (len(t) + 16, zlib.crc32(t), "bytes", None) for i, t in docs.items()} and len(got) == len(docs)
+    of, loads, slots, sizes = {}, defaultdict(int), defaultdict(list), defaultdict(int)
+    for r in got:
+        assert of.setdefault(docs[r.doc_id], r.shard) == r.shard
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        sizes[docs[r.doc_id]] += r.size
+    assert [loads[j] for j in range(40)] == lpt_brute(sizes.values(), 40)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
 NASTY = [*CONTROL, "", "\\", "<\\|im_end|>\n", "<|im_start|>user\nhi<|im_end|>\n", "</s>[INST] ok [/INST]", "[\\\\INST]", "<<SYS>>x<</SYS>>", "a\nb\\n", "<" * 50, "日本 é"]
@@ -103,6 +152,7 @@ def test_search_is_brute_force(table, monkeypatch, shard):
 
     monkeypatch.setattr(kdtree, "SHARD", shard)
     monkeypatch.setattr(kdtree, "BLOCK", 7)
+    monkeypatch.setattr(kdtree, "LEAF", 16)
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)] + [(i, [0.5] * 8) for i in range(400, 480)]
     rows += [(480, None), (481, [1.0, None] + [0.0] * 6), (482, [float("nan")] * 8), (483, [float("inf")] * 8), (None, [1.0] * 8), (484, []), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (100, [9.0] * 8)]
@@ -117,3 +167,36 @@ def test_search_of_nothing(table):
     assert top_k(df, df).collect() == []
     one = table("vec_id long, embedding array<float>", [(0, [1.0])])
     assert top_k(one, one).collect() == []
+
+
+def test_search_of_huge_vectors(table):
+    rows = [(i, [1e8 * (i % 7), 3e8 - i, -2.0 * i]) for i in range(60)]
+    df = table("vec_id long, embedding array<double>", rows)
+    small = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df, df.where("vec_id % 20 = 0"), scale=4).collect())
+    exact = [(i, [4 * x for x in v]) for i, v in rows]
+    want = []
+    for q, e in exact:
+        if q % 20 == 0:
+            scores = sorted((-sum(int(a) * int(b) for a, b in zip(e, v, strict=True)), i) for i, v in exact if i != q)
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:10], start=1)]
+    assert small == sorted(want)
+    for scale in (1 << 20, 1 << 60):  # a score, or a component, that is no long
+        with pytest.raises(Exception, match="64-bit"):
+            top_k(df, df.where("vec_id % 20 = 0"), scale=scale).collect()
+
+
+def test_bounds_leave_most_leaves_of_clusters_closed():
+    from tidemark.llm.kdtree import Best, build_tree, search_tree
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(64, 32)) * 1024
+    vecs = np.floor(centres[rng.integers(0, 64, 20_000)] + rng.normal(size=(20_000, 32)) * 40).astype(np.int64)
+    tree = build_tree(np.arange(20_000), vecs)
+    asked = vecs[:50]
+    best = Best(10, np.full(50, np.iinfo(np.int64).min))
+    opened = search_tree(tree, asked, np.arange(50), best)
+    leaves = int((tree[4][:, 2] < 0).sum())
+    assert opened / (50 * leaves) < 0.25
+    scores = asked @ vecs.T
+    scores[np.arange(50), np.arange(50)] = -(1 << 62)
+    assert [sorted((-s, -i) for s, i in h) for h in best.known] == [sorted((-int(s[i]), int(i)) for i in np.lexsort((np.arange(20_000), -s))[:10]) for s in scores]
