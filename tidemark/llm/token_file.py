@@ -11,14 +11,19 @@ document ids, in ascending order. A file is MAGIC and then blocks of whole docum
 tokens, the control bytes (each document's filled up to a whole byte), the data. An index table
 (file, place and size of each block, first token) tells where everything is.
 
+Files are cut where about FILE bytes of ids are full, at rows of a random sample of bounded size, so that
+their size doesn't grow with the corpus. Rows that share a doc_id may lie in several files.
+
 Cases: a null text is empty and has the end id only. A null doc_id comes first. Rows that share a
-doc_id follow each other by the hash of their ids. An empty table gives a file without blocks. Very long texts are
-one block of their own.
+doc_id follow each other by the hash of their ids; rows that are equal in both are interchangeable. An
+empty table gives a file without blocks. Very long texts are one block of their own. A tokenizer whose
+normalizer or splitting isn't the one that words can be cut by gets whole texts.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -37,8 +42,14 @@ MAGIC = b"TIDETOK1"
 BLOCK_HEAD = struct.Struct("<QQQQ")
 #: Ids of a block, and bytes of coded ids of a file, about.
 BLOCK, FILE = 1 << 18, 32 << 20
+#: Rows (about) that file limits are taken from.
+SAMPLE = 1_000_000
 #: Words a tokenizing task remembers.
 MEMORY = 2_000_000
+#: The normalizer and the splitting under which blanks part words, case doesn't count and no piece
+#: holds letters and a bar.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-z0-9À-ÖØ-öø-ÿ]*)")
 
@@ -46,7 +57,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-z0-9À-ÖØ-öø-ÿ]*)
 class WordTokenizer:
     """Ids of whole texts from a tokenizer that drops white space, so that words can be encoded apart.
 
-    Texts are cut at blanks and line ends only. A word of plain letters with plain punctuation after
+    ``by_word`` says whether the model is of that kind; texts go to any other as they are. Else texts are cut at blanks and line ends only. A word of plain letters with plain punctuation after
     it is encoded as those two parts; any other piece is encoded as it is. Each part goes to the
     tokenizer once and is then remembered.
     """
@@ -55,6 +66,10 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(model)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        told = json.loads(model)
+        normal, split = (told.get("normalizer") or {}).get("normalizers", []), (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        self.by_word = [n["type"] for n in normal] == NORMALIZERS and normal[1] == blanks and split[:1] == [SPLIT] and not told.get("post_processor")
         self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
 
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
@@ -71,6 +86,8 @@ class WordTokenizer:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.known
         missing = set().union(*split).difference(known)
@@ -173,19 +190,23 @@ def write_tokens(docs: DataFrame, path: str, model: str, end_id: int = 1, id_col
     rank_of[ranked] = np.arange(vocabulary, dtype=np.uint32)
     sent = spark.sparkContext.broadcast(rank_of)
 
-    size = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    # the ranges come from the written ids alone: sampling the coded rows would code them twice
-    bounds = np.array(_bounds(tokens, max(spark.sparkContext.defaultParallelism, -(-size // FILE))), np.int64)
+    edges = _edges(tokens, spark.sparkContext.defaultParallelism)
+    rows = tokens.select("id", "none", F.xxhash64("ids").alias("h"), "ids")
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = 0
         for batch in batches:
             ranks = [sent.value[np.frombuffer(x, kind)] for x in batch["ids"]]
             both = [pack(r) for r in ranks]
-            part = np.searchsorted(bounds, batch["id"].to_numpy(), side="right")
-            yield pd.DataFrame({"part": part, "id": batch["id"], "none": batch["none"], "n": [len(r) for r in ranks], "control": [c for c, _ in both], "data": [d for _, d in both]})
+            keys = _keys(batch["none"], batch["id"], batch["h"])
+            # equal rows may go to either side of an edge at them, so that a hot one is spread over its files
+            low, high = np.searchsorted(edges, keys, side="left"), np.searchsorted(edges, keys, side="right")
+            part = low + (np.arange(turn, turn + len(batch)) % (high - low + 1))
+            turn += len(batch)
+            yield pd.DataFrame({"part": part, "id": batch["id"], "none": batch["none"], "h": batch["h"], "n": [len(r) for r in ranks], "control": [c for c, _ in both], "data": [d for _, d in both]})
 
-    coded = tokens.mapInPandas(code, "part int, id long, none boolean, n long, control binary, data binary")
-    ranged = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions(F.desc("none"), "id", F.xxhash64("control", "data"))
+    coded = rows.mapInPandas(code, "part int, id long, none boolean, h long, n long, control binary, data binary")
+    ranged = coded.repartitionById(len(edges) + 1, "part").sortWithinPartitions(F.desc("none"), "id", "h")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId()
@@ -215,12 +236,27 @@ def write_tokens(docs: DataFrame, path: str, model: str, end_id: int = 1, id_col
     return written(ranged.select("id", "none", "n", "control", "data").mapInPandas(write, "file_no long, file string, place long, size long, first long, docs long, tokens long"), "index")
 
 
-def _bounds(tokens: DataFrame, files: int) -> list[int]:
-    """Ids at which a new file begins, so that files are about as large; at most 10,000 files."""
-    files = min(files, 10_000)
-    shares = [k / files for k in range(1, files)]
-    found = tokens.agg(F.percentile_approx("id", shares, max(10_000, 20 * files))).first()[0] if shares else None
-    return sorted(set(found or []))
+def _keys(none: pd.Series, ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+    """Keys whose order as bytes is that of the file: rows without an id, then ids, then hashes."""
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = ~none.to_numpy(bool)
+    for at, x in ((1, ids), (9, hashes)):
+        up = x.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        out[:, at : at + 8] = up.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.reshape(-1).view("S17")
+
+
+def _edges(tokens: DataFrame, least: int) -> np.ndarray:
+    """Keys at which a new file begins, so that files hold about FILE bytes of ids."""
+    n, size = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    some = tokens.select("none", "id", F.xxhash64("ids").alias("h"), F.octet_length("ids").alias("size"))
+    some = (some.sample(SAMPLE / n, seed=1) if n > SAMPLE else some).toPandas()
+    keys = _keys(some["none"], some["id"], some["h"])
+    order = np.argsort(keys, kind="stable")
+    files = max(least, -(-size // FILE))
+    full = np.cumsum(some["size"].to_numpy(np.float64)[order])
+    at = np.searchsorted(full, full[-1] * np.arange(1, files) / files) if len(full) else np.empty(0, int)
+    return keys[order][at]
 
 
 def _block(rows: list[tuple]) -> bytes:
