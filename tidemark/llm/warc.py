@@ -3,8 +3,9 @@
 Writer: every page becomes one gzip member with one record. Of equal payloads (same SHA-1 and length)
 of at least SMALLEST bytes the one with the largest page id is a response, the others are revisits
 that refer to it and hold no payload; the HTTP head of a revisit still has the full length, its WARC
-head the full digest. Only ids and digests are exchanged to decide that; pages are joined to the
-decisions by id, so no group of copies meets in one task.
+head the full digest. Only ids and digests are exchanged to decide that. Pages that may be revisits (a
+bounded filter of digests tells) are joined to the decisions by id, so no group of copies meets in one
+task; the others are written where they are read.
 
 Reader: files are cut into byte ranges of any size. A task looks for gzip magic in its range, takes a
 place for a member only if a WARC head can be decoded there, owns the records that start inside its
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, written
 from .files import Replacing, opened
+from .hash_bits import may_be_among
 
 SMALLEST = 1000
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes read at a time, and bytes a member's WARC head can take when compressed.
+#: Bytes read at a time, and bytes that a place is tried on at a time.
 CHUNK, HEAD = 1 << 20, 1 << 16
 LEVEL = 4
 #: Size of a reader's byte range.
@@ -70,10 +72,15 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     chosen = chosen.select(F.concat(F.lit("s"), "sha").alias("k"), F.col("bytes").alias("b"), "response")
     revisits = big.join(chosen, (F.concat(F.lit("s"), "sha") == F.col("k")) & ((F.col("bytes") - F.col("b")) == 0)).where("not id <=> response")
     revisits = revisits.select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "response").distinct()
+    revisits = written(revisits, "revisits")
+    # a payload whose digest no revisit has is written where it is read; the others are exchanged
+    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("some", may_be_among(F.xxhash64("sha"), revisits.select(F.xxhash64("rsha").alias("h"))))
     # an id that is null or repeats is told apart by its digest
-    joined = rows.withColumn("sha", F.sha1("payload")).join(revisits.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha") == F.col("rsha")) & (F.octet_length("payload") >= SMALLEST), "left")
+    met = F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha") == F.col("rsha")) & (F.octet_length("payload") >= SMALLEST)
+    some = rows.where("some").join(revisits.hint("shuffle_hash"), met, "left").select("id", "url", "payload", "response", F.col("rsha").isNotNull().alias("revisit"))
+    joined = rows.where("not some").select("id", "url", "payload", F.lit(None).cast("long").alias("response"), F.lit(False).alias("revisit")).union(some)
     # as strings, since pandas turns long columns with nulls into floats
-    joined = joined.select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("response").cast("string").alias("response"), F.col("rsha").isNotNull().alias("revisit"))
+    joined = joined.select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("response").cast("string").alias("response"), "revisit")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz"
@@ -115,12 +122,34 @@ class Range:
         return self.bytes_at(start, held if 0 < held <= len(self.held) else CHUNK)
 
 
+def _fields(head: bytes) -> dict[str, str] | None:
+    """Fields of a WARC head by lower-case name; null if it isn't one, whole and with what every record must say."""
+    first, *lines = head.split(b"\r\n")
+    if not first.startswith(b"WARC/1.") or any(b":" not in x for x in lines):
+        return None
+    try:
+        fields = {k.strip().lower(): v.strip() for k, v in (x.decode().split(":", 1) for x in lines)}
+    except UnicodeDecodeError:
+        return None
+    named = all(fields.get(k) for k in ("warc-type", "warc-record-id", "warc-date"))
+    return fields if named and fields.get("content-length", "").isdigit() else None
+
+
 def _head_at(data: Range, at: int) -> bool:
-    """A gzip member that starts with a WARC head begins here."""
+    """A gzip member begins here whose content begins with a whole and valid WARC head, however long."""
+    zipped, seen = zlib.decompressobj(31), b""
     try:
-        return zlib.decompressobj(31).decompress(data.bytes_at(at, HEAD), 5) == b"WARC/"
+        while b"\r\n\r\n" not in seen:
+            piece = data.bytes_at(at, HEAD)
+            more = zipped.decompress(piece)
+            seen += more
+            if not piece or zipped.eof and not more or not seen.startswith(b"WARC/"[: len(seen)]):
+                break
+            at += len(piece)
     except zlib.error:
         return False
+    head, end, _ = seen.partition(b"\r\n\r\n")
+    return bool(end) and _fields(head) is not None
 
 
 def _next_member(data: Range, at: int, end: int) -> int | None:
@@ -159,7 +188,9 @@ def records(file: str, start: int, end: int) -> Iterator[tuple[dict[str, str], b
     while at is not None and at < end:
         content, after = _member(data, at)
         head, _, rest = content.partition(b"\r\n\r\n")
-        fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode().split("\r\n")[1:])}
+        fields = _fields(head)
+        if fields is None:
+            raise ValueError(f"no WARC head at {at} of {file}")
         yield fields, rest[: int(fields["content-length"])]
         at = after if after >= end or data.bytes_at(after, 3) == MAGIC else _next_member(data, after, end)
 
