@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+from tidemark.llm import decontaminate as module
 from tidemark.llm.decontaminate import SHINGLE, THRESHOLD, contaminated, decontaminate
 
 
@@ -87,3 +88,9 @@ def test_quotes_filled_up_with_one_word(table):
     want = brute(docs, items)
     assert len(want) == len(items)
     assert run(table, docs, items) == want
+
+
+def test_anchors_met_by_exchange_give_the_same(table, monkeypatch):
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    docs, items = cases(random.Random(9))
+    assert run(table, docs, items) == brute(docs, items)

@@ -13,13 +13,15 @@ Symbols that are no pieces become their UTF-8 bytes. Decoding joins the pieces'
 drops the blank that encoding puts in front, and reads invalid bytes as U+FFFD.
 
 Cases: a null text is empty and has the end id only. Blanks of all kinds but U+0020 are ordinary
-characters. U+2581 in a text reads back as a blank, as with the library. Very long words take
-more rounds, not more memory than a few arrays of their length.
+characters. U+2581 in a text reads back as a blank, as with the library. A word of more than LONG
+characters could need a round for nearly each of them; it is merged through a queue of its pairs
+instead, in time that grows little faster than its length.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -34,6 +36,8 @@ from .common import small_batches
 BLANK = "▁"
 #: Words a task remembers.
 MEMORY = 700_000
+#: Characters of a word that rounds are for.
+LONG = 2_000
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _NONE = np.int64(1 << 40)
 #: Symbols from here on are characters that are no pieces.
@@ -75,6 +79,7 @@ class PieceModel:
         self.keys = np.array(keys or [-1], np.int64)
         self.ranks = np.array([pairs[k][0] for k in keys] or [_NONE], np.int64)
         self.merged = np.array([pairs[k][1] for k in keys] or [0], np.int64)
+        self._by_key: dict[int, tuple[int, int]] | None = None
         # ranks whose piece may join a neighbour at no worse a rank, or that several pieces share
         of_piece = {i: rank[scores[i]] for i in ordinary}
         shared: set[int] = set()
@@ -100,6 +105,44 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word; a word holds a blank in front at most."""
+        short = [w for w in words if len(w) <= LONG]
+        by_rounds = iter(self._rounds(short))
+        return [next(by_rounds) if len(w) <= LONG else self._with_bytes(self._queued(w)) for w in words]
+
+    def _queued(self, word: str) -> np.ndarray:
+        """Symbols of one word: pairs wait by rank, then from the left, and are looked at again when they come."""
+        points = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
+        distinct, back = np.unique(points, return_inverse=True)
+        symbols = np.array([self._symbol(chr(p)) for p in distinct.tolist()], np.int64)[back]
+        rank, _ = self._pairs(symbols[:-1], symbols[1:])
+        at, n = symbols.tolist(), len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        # a pair is its place and both symbols; one that is no longer there is passed over
+        waiting = [(r, i, at[i], at[i + 1]) for i, r in enumerate(rank.tolist()) if r < _NONE]
+        heapq.heapify(waiting)
+        pairs = self._table()
+        while waiting:
+            _, i, left, right = heapq.heappop(waiting)
+            j = after[i]
+            if at[i] != left or j >= n or at[j] != right:
+                continue
+            at[i], at[j] = pairs[left << 21 | right][1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n:
+                    new = pairs.get(at[a] << 21 | at[b])
+                    if new is not None:
+                        heapq.heappush(waiting, (new[0], a, at[a], at[b]))
+        return np.array([x for x in at if x >= 0], np.int64)
+
+    def _table(self) -> dict[int, tuple[int, int]]:
+        if self._by_key is None:
+            self._by_key = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.merged.tolist(), strict=True)}
+        return self._by_key
+
+    def _rounds(self, words: list[str]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         distinct, back = np.unique(points, return_inverse=True)
