@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        dropped(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

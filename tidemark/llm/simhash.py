@@ -1,16 +1,19 @@
 """SimHash near-dedup with pivot distance tables.
 
 Every text gets a 64-bit fingerprint of its word shingles. For each distinct fingerprint the table of
-its Hamming distances to PIVOTS reference fingerprints is computed once: whole distances, and their
-parts over BLOCKS slices of the bits. Two fingerprints within RADIUS bits agree on at least
-BLOCKS - RADIUS slices, so there the parts of all pivot distances are equal: a join on the parts of
-BLOCKS - RADIUS slices meets every such pair. Of a pair that meets, the whole distances may differ
-by RADIUS at most in any coordinate (triangle inequality); the rest is discarded, and only survivors
-are compared bit by bit.
+its Hamming distances to PIVOTS reference fingerprints is computed once. Pairs are met, discarded and verified:
+
+1. Met. Two fingerprints within RADIUS bits agree on all bits of at least BLOCKS - RADIUS slices, so a
+   join on the bits of every choice of so many slices meets every such pair. The distances themselves
+   can't take this part: those of two random fingerprints to a reference are within RADIUS of each
+   other in 57 of 100 cases, so bands of a few of them would leave most pairs to be looked at.
+2. Discarded. By the triangle inequality no coordinate of a pair within RADIUS differs by more than
+   that; a pair whose largest difference of coordinates is larger is no pair.
+3. Verified. What survives is compared bit by bit.
 
 Links are used for components alone, so no group of near copies is expanded into pairs. First every
-fingerprint is tried against a few leaders of its bucket (the smallest under several orders, found
-by aggregation); this already joins dense groups. Then only buckets that still hold more than one
+fingerprint is tried against the two leaders of its buckets (the smallest and the largest, found by
+aggregation); this already joins dense groups. Then only buckets that still hold more than one
 component are searched in full, for pairs of different components. Nothing is capped: every link
 between different components is found, so the components are exact.
 
@@ -27,17 +30,15 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, small_batches, written
+from .common import dropped, packed, small_batches, written
 from .components import components
 
 RADIUS = 4
 BLOCKS = 7
 PIVOTS = 16
-#: Orders under which a bucket's smallest fingerprint leads it: each XORs the bits with one of these.
-ORDERS = (0, -1, 0x5DEECE66D1CE4E5B)
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -84,42 +85,35 @@ def _slices() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def pivot_table(distinct: DataFrame) -> DataFrame:
-    """Adds c0, c1 (whole distances, eight a long) and p0.. (their parts over each slice, sixteen a long)."""
+def coordinates(fp: Column) -> list[Column]:
+    """The distances to all references, eight a long."""
+    half = PIVOTS // 2
     refs = _references()
 
-    def whole(js: range) -> F.Column:
-        parts = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(refs[j]))).cast("long"), 8 * k) for k, j in enumerate(js)]
+    def whole(js: range) -> Column:
+        parts = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(refs[j]))).cast("long"), 8 * k) for k, j in enumerate(js)]
         return sum(parts[1:], parts[0])
 
-    def part(mask: int) -> F.Column:
-        parts = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r)).bitwiseAND(F.lit(mask))).cast("long"), 4 * k) for k, r in enumerate(refs)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.bitwiseOR(p)
-        return out
+    return [whole(range(half)), whole(range(half, PIVOTS))]
 
-    half = PIVOTS // 2
-    return distinct.select("*", whole(range(half)).alias("c0"), whole(range(half, PIVOTS)).alias("c1"), *[part(m).alias(f"p{b}") for b, m in enumerate(_slices())])
+
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """Adds c0, c1 to the column fp: its coordinates."""
+    return distinct.select("*", *[c.alias(f"c{k}") for k, c in enumerate(coordinates(F.col("fp")))])
 
 
-def _keys() -> F.Column:
+def _keys() -> Column:
     """One bucket key for each choice of slices that a pair within the radius can agree on."""
-    chosen = combinations(range(BLOCKS), BLOCKS - RADIUS)
-    return F.array(*[F.xxhash64(F.lit(t), *[F.col(f"p{b}") for b in c]) for t, c in enumerate(chosen)])
+    chosen = combinations(_slices(), BLOCKS - RADIUS)
+    return F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(sum(ms)))) for t, ms in enumerate(chosen)])
 
 
-def _survives(a: str, b: str) -> F.Column:
-    """No pivot distance differs by more than the radius, and then the bits themselves don't."""
-    at = lambda side, c, k: F.shiftright(F.col(f"{side}{c}"), 8 * k).bitwiseAND(F.lit(127))
-    out = F.lit(True)
-    for c in ("c0", "c1"):
-        for k in range(PIVOTS // 2):
-            out = out & (F.abs(at(a, c, k) - at(b, c, k)) <= RADIUS)
-    return out & (F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= RADIUS)
+def _largest_difference(a: list[Column], b: list[Column]) -> Column:
+    at = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(F.lit(127))
+    return F.greatest(*[F.abs(at(x, k) - at(y, k)) for x, y in zip(a, b, strict=True) for k in range(PIVOTS // 2)])
 
 
-def _within(a: F.Column, b: F.Column) -> F.Column:
+def _within(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
 
 
@@ -127,28 +121,36 @@ def near_classes(prints: DataFrame) -> DataFrame:
     """(fp, root, component_id) for every distinct fingerprint of ``prints`` (id, fp)."""
     table = written(pivot_table(prints.groupBy("fp").agg(F.min("id").alias("lead"))), "pivots")
     rows = table.select("fp", F.explode(_keys()).alias("key"))
+    led_by = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
+    met = written(rows.join(led_by.select((F.col("key") + 0).alias("lk"), "lo", "hi"), F.col("key") + 0 == F.col("lk")).select("key", "fp", "lo", "hi"), "met")
+
+    side = lambda s: table.select(*[F.col(c).alias(f"{s}{c}") for c in ("fp", "c0", "c1")])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The ``pairs`` (a_fp, b_fp and their coordinates) that survive both steps."""
+        far = _largest_difference([F.col("a_c0"), F.col("a_c1")], [F.col("b_c0"), F.col("b_c1")])
+        return pairs.where(far <= RADIUS).where(_within(F.col("a_fp"), F.col("b_fp")))
 
-    # leaders of each bucket
-    leads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.col("fp").bitwiseXOR(F.lit(o))).alias(f"l{i}") for i, o in enumerate(ORDERS)])
-    leads = leads.where("n > 1").select((F.col("key") + 0).alias("lk"), *[F.col(f"l{i}").bitwiseXOR(F.lit(o)).alias(f"l{i}") for i, o in enumerate(ORDERS)])
-    met = rows.join(leads, F.col("key") + 0 == F.col("lk"))
-    tried = F.filter(F.array_distinct(F.array(*[f"l{i}" for i in range(len(ORDERS))])), lambda p: (p != F.col("fp")) & _within(p, F.col("fp")))
-    close = met.select("fp", F.explode(tried).alias("p"))
-    first = written(components(close.select(F.col("fp").alias("u"), F.col("p").alias("v"))), "classes")
+    led = met.select("fp", F.explode(F.array("lo", "hi")).alias("lead")).where("fp <> lead").distinct()
+    led = led.join(side("a_"), F.col("fp") == F.col("a_fp")).join(side("b_"), F.col("lead") == F.col("b_fp"))
+    first = written(components(linked(led).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v"))), "classes")
 
     # what is left between different components
-    joined = table.join(first, F.col("fp") == F.col("node"), "left").select("fp", "c0", "c1", F.coalesce("root", "fp").alias("comp"), *[f"p{b}" for b in range(BLOCKS)])
-    joined = written(joined, "pivots")
-    rows = joined.select("fp", "c0", "c1", "comp", F.explode(_keys()).alias("key"))
-    mixed = joined.select("comp", F.explode(_keys()).alias("key")).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = written(rows.join(mixed.select((F.col("key") + 0).alias("mk")), F.col("key") + 0 == F.col("mk")).select("key", "fp", "c0", "c1", "comp"), "mixed")
+    comps = table.join(first, F.col("fp") == F.col("node"), "left").select("fp", "c0", "c1", "lead", F.coalesce("root", "fp").alias("comp"))
+    comps = written(comps, "comps")
+    joined = met.select("key", "fp").join(comps.select(F.col("fp").alias("cfp"), "c0", "c1", "comp"), F.col("fp") == F.col("cfp")).select("key", "fp", "c0", "c1", "comp")
+    joined = written(joined, "joined")
+    mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select((F.col("key") + 0).alias("mk"))
+    mixed = written(joined.join(mixed, F.col("key") + 0 == F.col("mk")).select("key", "fp", "c0", "c1", "comp"), "mixed")
     left = mixed.select("key", *[F.col(c).alias(f"a_{c}") for c in ("fp", "c0", "c1", "comp")])
     right = mixed.select(F.col("key").alias("key2"), *[F.col(c).alias(f"b_{c}") for c in ("fp", "c0", "c1", "comp")])
-    pairs = left.join(right, (F.col("key") == F.col("key2")) & (F.col("a_comp") < F.col("b_comp")) & _survives("a_", "b_"))
+    # both conditions go into the join, so that nothing else leaves it
+    pairs = linked(left.join(right, (F.col("key") == F.col("key2")) & (F.col("a_comp") < F.col("b_comp"))))
     second = components(pairs.select(F.col("a_comp").alias("u"), F.col("b_comp").alias("v")))
 
-    roots = joined.select("fp", "comp").join(second, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("root", "comp").alias("root"))
-    roots = written(roots.join(table.select(F.col("fp").alias("tfp"), "lead"), F.col("fp") == F.col("tfp")).select("fp", "root", "lead"), "roots")
+    roots = comps.select("fp", "comp", "lead").join(second, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("root", "comp").alias("root"), "lead")
+    roots = written(roots, "roots")
+    dropped(met, joined, mixed, table, comps)
     least = roots.groupBy("root").agg(F.min("lead").alias("component_id"))
     return roots.join(least.select((F.col("root") + 0).alias("r"), "component_id"), F.col("root") + 0 == F.col("r")).select("fp", "root", "component_id")
 
