@@ -17,7 +17,13 @@ def row(key, title, price, at=0, currency="USD", ship="0", stock="in_stock", cou
     return (1, key, T + dt.timedelta(hours=at), title, Decimal(str(price)), currency, None if ship is None else Decimal(ship), stock, country, label, mpn, None)
 
 
-def test_run(table):
+def kept(df, path):
+    """As a run keeps its steps: written, and read again by the next."""
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+def test_run(table, tmp_path):
     parsed = table(PARSED, [
         row("a", "Seagate Exos ST16000NM001G 16TB SATA used", 150),
         row("a", "Seagate Exos ST16000NM001G 16TB SATA used", 90, at=-5),  # older, arrives later
@@ -35,16 +41,16 @@ def test_run(table):
     rates = table("base string, rate_date date, rate decimal(12,6), source string", [("EUR", dt.date(2024, 1, 8), Decimal("1.1"), "s")])
     normal = market.normalize(parsed, rates)
     assert [r.source_listing_key for r in normal.where("reject is not null").collect()] == ["i"]
-    offers = market.read_titles(market.current_offers(normal))
+    offers = kept(market.read_titles(market.current_offers(normal)), tmp_path / "offers")
     aliases = table("norm string, alias_type string, site int, model_id int, family_id int, brand string", [("st16000nm001g", "mpn", None, 16, 1, "seagate")])
-    decisions = market.resolved(offers, aliases)
+    decisions = kept(market.resolved(offers, aliases), tmp_path / "decisions")
     names = {r.listing_id: r.source_listing_key for r in offers.collect()}
     assert {names[r.listing_id]: (r.outcome, r.reason) for r in decisions.collect()} == {
-        **{k: ("accept", "alias") for k in "abcfgk"},
-        "d": ("review", "brand_contradiction"),
-        "e": ("accept", "alias"),  # "for" cites only at the start of a title
+        **{k: ("accept", "exact_alias") for k in "abcfgk"},
+        "d": ("review", "brand_contradicts_exact_alias"),
+        "e": ("accept", "exact_alias"),  # "for" cites only at the start of a title
         "h": ("review", "lot"),
-        "j": ("accept", "decoded"),
+        "j": ("accept", "mpn_decode"),
     }
     specs = table("model_id int, capacity_bytes long, interface string", [(16, 16 * 10**12, "sata")])
     watches = table("watch_id int, category string, min_capacity_bytes long, interfaces array<string>, conditions array<string>, max_unit_usd decimal(10,2), require_in_stock boolean, allow_international boolean", [(1, "drive", 12 * 10**12, ["sata"], ["used", "new"], Decimal("200"), True, False), (2, "gpu", None, None, None, None, False, True)])

@@ -153,7 +153,8 @@ def fold(events):
             state = "paused_pending_fix"
         elif e in ("transient_failure", "parser_rot"):
             state = "backing_off"
-        rot = e == "parser_rot" if e not in ("degradation", "probe_failure", "manual_skip") else rot
+        # neither a hand nor a probe that fails ends a row of parser failures
+        rot = e == "parser_rot" if e in ("success", "probe_success", "transient_failure", "anti_bot", "parser_rot", "unknown_failure") else rot
         out.append(state)
     return out
 
@@ -167,33 +168,119 @@ def test_lifecycle_is_the_fold(table):
 
 
 def test_delist(table):
-    rows = table("site int, key string, scope string, last_seen timestamp, delisted_at timestamp, delist_reason string", [(1, "seen", "s", at(1), None, None), (1, "gone", "s", at(1), None, None), (1, "newer", "s", at(9), None, None), (1, "other", "x", at(1), None, None), (1, "whole", None, at(1), None, None), (1, "old", "s", at(0), at(0), "before")])
-    swept = table("site int, scope string, swept_at timestamp, complete boolean", [(1, "s", at(5), True), (1, None, at(6), False)])
-    got = {r.key: r.delist_reason for r in presence.delist(rows, swept, table("site int, key string", [(1, "seen")]), F.lit(at(2))).collect()}
-    assert got == {"seen": None, "gone": "absent_from_complete_sweep", "newer": None, "other": None, "whole": "stale", "old": "before"}
+    rows = table("site int, key string, scope string, last_seen timestamp, delisted_at timestamp, delist_reason string", [(1, "seen", "s", at(1), None, None), (1, "gone", "s", at(1), None, None), (1, "newer", "s", at(9), None, None), (1, "other", "x", at(1), None, None), (1, "whole", None, at(1), None, None), (1, "fresh", None, at(5), None, None), (1, "never", None, None, None, None), (1, "lost", "s", None, None, None), (1, "old", "s", at(0), at(0), "before"), (1, "short", "t", at(1), None, None), (1, "shut", "u", at(1), None, None)])
+    hour = 3600
+    swept = table("site int, scope string, swept_at timestamp, complete boolean, stale_allowed boolean, continuous_since timestamp, grace_s long", [(1, "s", at(5), True, False, None, None), (1, None, at(6), False, True, at(2), 4 * hour), (1, "t", at(6), False, True, at(3), 4 * hour), (1, "u", at(6), False, False, at(0), 4 * hour)])
+    got = {r.key: r.delist_reason for r in presence.delist(rows, swept, table("site int, key string", [(1, "seen")])).collect()}
+    assert got == {"seen": None, "gone": "absent_from_complete_sweep", "newer": None, "other": None, "whole": "stale", "fresh": None, "never": None, "lost": "absent_from_complete_sweep", "old": "before", "short": None, "shut": None}
 
 
 def test_resolution_ladder(table):
     c = "array<struct<norm: string, kind: string>>"
-    said = [(1, 7, [("a1", "manufacturer_mpn")], "x", 1, 1), (2, 7, [("a1", "manufacturer_mpn")], "z", 1, 1), (3, 7, [("o1", "oem")], None, 1, 1), (4, 8, [("s1", "house_sku")], None, 1, 1), (5, 7, [("a1", "manufacturer_mpn")], None, 3, 2), (6, 7, [], "seagate", 1, 1), (7, 7, [("o1", "manufacturer_mpn")], None, 1, 1)]
-    lst = table(f"listing_id int, site int, candidates {c}, brand string, quantity int, n_mpns int", said)
-    aliases = table("norm string, alias_type string, site int, model_id int, family_id int, brand string", [("a1", "mpn", None, 10, 1, "x"), ("o1", "oem_pn", None, 11, 2, "x"), ("o1", "oem_pn", None, 12, 2, "x"), ("s1", "house_sku", 7, 13, 3, "x")])
+    said = [(1, 7, [("a1", "manufacturer_mpn")], "x", 1, ["a1"]), (2, 7, [("a1", "manufacturer_mpn")], "z", 1, ["a1"]), (3, 7, [("o1", "oem")], None, 1, None), (4, 8, [("s1", "house_sku")], None, 1, None), (5, 7, [("a1", "manufacturer_mpn")], "x", 3, ["a1", "b2"]), (6, 7, [], "seagate", 1, None), (7, 7, [("o1", "manufacturer_mpn")], None, 1, ["o1"]), (8, 7, [("a1", "manufacturer_mpn")], None, 1, ["a1"]), (9, 7, [("a1", "structured")], None, 1, None)]
+    lst = table(f"listing_id int, site int, candidates {c}, brand string, quantity int, mpns array<string>", said)
+    aliases = table("norm string, alias_type string, site int, model_id int, family_id int, brand string, source_kind string", [("a1", "mpn", None, 10, 1, "x", "catalog_authoritative"), ("o1", "oem_pn", None, 11, 2, "x", "manual"), ("o1", "oem_pn", None, 12, 2, "x", "manual"), ("s1", "house_sku", 7, 13, 3, "x", "manual")])
     decoded = table("listing_id int, vendor string, family string", [(6, "seagate", "ironwolf"), (2, "x", "f")])
     out = resolve.decide(lst, resolve.alias_hits(lst, aliases), decoded)
-    got = {r.listing_id: (r.outcome, r.grain, r.target, r.reason) for r in out.collect()}
+    got = {r.listing_id: (r.outcome, r.rung, r.grain, r.target, r.confidence, r.reason) for r in out.collect()}
     assert got == {
-        1: ("accept", "model", "10", "alias"),
-        2: ("review", "none", None, "brand_contradiction"),
-        3: ("accept", "family", "2", "oem_fan_out"),
-        4: ("none", "none", None, "no_evidence"),
-        5: ("review", "none", None, "several_mpns,lot"),
-        6: ("accept", "family", "ironwolf", "decoded"),
-        7: ("none", "none", None, "no_evidence"),
+        1: ("accept", 1, "model", "10", 0.98, "exact_alias"),
+        2: ("review", 1, "none", None, 0.0, "brand_contradicts_exact_alias"),
+        3: ("accept", 1, "family", "2", 0.8, "oem_fan_out"),
+        4: ("none", None, "none", None, 0.0, "no_evidence"),
+        5: ("review", 1, "none", None, 0.0, "lot,multiple_mpns"),
+        6: ("accept", 2, "family", "seagate/ironwolf", 0.75, "mpn_decode"),
+        7: ("none", None, "none", None, 0.0, "no_evidence"),
+        8: ("review", 1, "none", None, 0.0, "no_brand_evidence"),
+        9: ("accept", 1, "model", "10", 0.98, "exact_alias"),
     }
     assert resolve.changed_edges(out, out).count() == 0
     assert resolve.changed_edges(out, out.where("listing_id > 1")).count() == 1
 
 
+TB = 10**12
+
+
+def _ladders(table, cases):
+    """(outcome, rung, grain, target, confidence, reason) of each case; a case says only what differs from nothing known."""
+    spec = "struct<capacity: bigint, interface: string, form_factor: string, sector_format: string, security: string, family: struct<brand: string, name: string>>"
+    full = lambda d: {"capacity": None, "interface": None, "form_factor": None, "sector_format": None, "security": None, "family": None} | d
+    names = ("norm", "alias_type", "source_kind", "grain", "family_id", "model_id", "variant_id", "brand", "vendor", "structured", "review_only", "spec")
+    hit = {"norm": "st1", "alias_type": "mpn", "source_kind": "catalog_authoritative", "grain": "model", "family_id": "f1", "model_id": "m1", "variant_id": None, "brand": "seagate", "vendor": None, "structured": None, "review_only": None, "spec": {}}
+    said, hits, decoded, priors = [], [], [], []
+    for i, case in enumerate(cases):
+        base = {"brand": None, "quantity": None, "mpns": None, "one_mpn": None, "spec": {}, "mentions": None} | case.get("listing", {})
+        base["spec"] = full(base["spec"])
+        said.append((i, *[base[k] for k in ("brand", "quantity", "mpns", "one_mpn", "spec", "mentions")]))
+        for h in case.get("hits", ()):
+            h = hit | h
+            hits.append((i, *[full(h[k]) if k == "spec" else h[k] for k in names]))
+        decoded += [(i, *d) for d in case.get("decoded", ())]
+        if "prior" in case:
+            priors.append((i, "model", "m1", "m1", 0.9, full(case["prior"])))
+    lst = table(f"listing_id int, brand string, quantity int, mpns array<string>, one_mpn boolean, spec {spec}, mentions array<struct<brand: string, name: string>>", said)
+    hs = table(f"listing_id int, norm string, alias_type string, source_kind string, grain string, family_id string, model_id string, variant_id string, brand string, vendor string, structured boolean, review_only boolean, spec {spec}", hits)
+    ds = table("listing_id int, vendor string, family string, capacity bigint, provenance string", decoded)
+    ps = table(f"listing_id int, grain string, target string, model_id string, confidence double, spec {spec}", priors)
+    got = {r.listing_id: (r.outcome, r.rung, r.grain, r.target, r.confidence, r.reason) for r in resolve.decide(lst, hs, ds, ps).collect()}
+    return [got[i] for i in range(len(cases))]
+
+
+def test_ladder_by_cases(table):
+    sea, four = {"brand": "seagate"}, {"brand": "seagate", "spec": {"capacity": 4 * TB}}
+    toshiba = {"norm": "st2", "model_id": "m2", "family_id": "f2", "brand": "toshiba"}
+    pro, wolf = {"brand": "seagate", "name": "ironwolf pro"}, {"brand": "seagate", "name": "ironwolf"}
+    fan = [{"alias_type": "oem_pn", "model_id": m, "spec": {"capacity": c * TB}} for m, c in (("m1", 4), ("m2", 8))]
+    grammar = ("seagate", "ironwolf", 4 * TB, "vendor_official")
+    # a number that may only cast doubt: it grounds nothing, but its model's capacity counts
+    doubt = {"norm": "0f1", "model_id": "m9", "review_only": True, "spec": {"capacity": 24 * TB}}
+    two = sea | {"mpns": ["st1", "st2"]}
+    review = lambda rung, why: ("review", rung, "none", None, 0.0, why)
+    exact = lambda trust=0.98: ("accept", 1, "model", "m1", trust, "exact_alias")
+    cases = [
+        # a hit of a contrary brand goes before targets are compared, but the models its number names still count
+        ({"listing": sea, "hits": [{}, toshiba | {"norm": "st1"}]}, exact()),
+        ({"listing": sea, "hits": [{}, toshiba]}, review(1, "conflicting_alias_models")),
+        ({"hits": [{"vendor": "seagate"}, toshiba | {"brand": "seagate"}]}, review(1, "conflicting_targets")),
+        ({"listing": {"brand": "hgst"}, "hits": [{"brand": "western_digital"}]}, exact()),
+        ({"listing": {"brand": "hgst"}, "hits": [{}]}, review(1, "brand_contradicts_exact_alias")),
+        ({"listing": sea | {"spec": {"capacity": 14 * TB}}, "hits": [{"spec": {"capacity": 16 * TB}}]}, review(1, "veto")),
+        ({"listing": sea | {"spec": {"capacity": 16 * TB}}, "hits": [{"spec": {"capacity": 16 * TB + 10**11}}]}, exact()),
+        ({"listing": sea | {"spec": {"interface": "sas"}}, "hits": [{"spec": {"interface": "sata"}}]}, review(1, "veto")),
+        ({"listing": sea | {"spec": {"security": "sed"}}, "hits": [{}]}, exact()),
+        ({"listing": sea | {"mentions": [wolf]}, "hits": [{"spec": {"family": pro}}]}, exact()),  # a title may say less
+        ({"listing": sea | {"mentions": [pro]}, "hits": [{"spec": {"family": wolf}}]}, review(1, "veto")),
+        ({"listing": sea | {"mentions": [{"brand": "toshiba", "name": "n300"}]}, "hits": [{"spec": {"family": pro}}]}, exact()),
+        ({"hits": [{}]}, review(1, "no_brand_evidence")),
+        ({"hits": [{"vendor": "seagate"}]}, exact()),
+        ({"hits": [{"vendor": "toshiba"}]}, review(1, "no_brand_evidence")),
+        ({"hits": [{"structured": True}]}, exact()),
+        ({"listing": sea, "hits": [{"source_kind": "manual"}]}, exact(0.95)),
+        ({"listing": sea, "hits": [{"source_kind": "listing_derived"}]}, exact(0.85)),
+        ({"listing": sea, "hits": [{"source_kind": "else"}]}, exact(0.5)),
+        ({"listing": four, "hits": fan}, ("accept", 1, "family", "f1", 0.8, "oem_fan_out")),
+        ({"listing": sea | {"spec": {"capacity": 2 * TB}}, "hits": fan}, review(1, "conflicting_targets")),  # none is left
+        ({"listing": four, "hits": [fan[0], fan[1] | {"family_id": None}]}, review(1, "conflicting_targets")),
+        ({"listing": four, "decoded": [grammar]}, ("accept", 2, "family", "seagate/ironwolf", 0.92, "mpn_decode")),
+        ({"listing": {"brand": "toshiba"}, "decoded": [grammar]}, review(2, "brand_contradicts_decode")),
+        ({"listing": sea | {"mentions": [pro]}, "decoded": [grammar]}, review(2, "family_contradicts_decode")),
+        ({"listing": sea | {"spec": {"capacity": TB}}, "decoded": [grammar]}, review(2, "veto")),
+        ({"listing": sea, "decoded": [("seagate", None, TB, "inferred")]}, ("none", None, "none", None, 0.0, "no_evidence")),
+        ({"listing": four, "hits": [doubt], "decoded": [grammar]}, review(2, "review_only_alias_conflict")),
+        ({"listing": four, "hits": [doubt | {"spec": {"capacity": 4 * TB}}], "decoded": [grammar]}, ("accept", 2, "family", "seagate/ironwolf", 0.92, "mpn_decode")),
+        ({"listing": sea, "prior": {}}, ("accept", 0, "model", "m1", 0.9, "prior")),
+        ({"listing": sea | {"spec": {"capacity": TB}}, "hits": [{}], "prior": {"capacity": 2 * TB}}, review(0, "veto")),
+        ({"listing": sea, "hits": [{"model_id": "m2"}], "prior": {}}, review(0, "prior_model_not_named")),
+        ({"listing": sea, "hits": [{"model_id": "m2"}, {}], "prior": {}}, ("accept", 0, "model", "m1", 0.9, "prior")),
+        ({"listing": sea | {"quantity": 2}, "prior": {}}, review(0, "lot")),
+        ({"listing": two, "hits": [{}]}, review(1, "multiple_mpns")),
+        ({"listing": two | {"one_mpn": False}, "hits": [{}]}, exact()),
+        ({"listing": two, "hits": [{}, {"norm": "st2"}]}, exact()),  # two spellings of one model
+    ]
+    got = _ladders(table, [c for c, _ in cases])
+    assert [(i, g) for i, g in enumerate(got)] == [(i, w) for i, (_, w) in enumerate(cases)]
+
+
 def test_cohort_rank_counts_ties_half(table):
     df = table("c string, v double, w double", [("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 2.0, 1.0), ("a", 3.0, 1.0)])
     got = sorted((r.v, r.q, r.n_eff) for r in score.cohort_rank(df, "c", "v", F.col("w")).collect())

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import states
-from tidemark.operators import alerts, completeness, lifecycle, resolve
+from tidemark.operators import alerts, completeness, lifecycle, resolve, runs
 from tidemark.streaming import sources
 
 
@@ -37,12 +37,12 @@ def test_buckets(spark, table, tmp_path):
 
 
 def test_priors_and_gates(table):
-    now = table("listing_id int, brand string, matcher_version int, identifiers array<string>, vetoes array<string>", [(1, "x", 2, ["a", "b"], []), (2, "y", 2, ["a"], []), (3, None, 3, ["a"], ["capacity"]), (4, "x", 2, None, [])])
-    prior = table("listing_id int, target string, grain string, confidence double, brand string, matcher_version int, identifiers array<string>", [(1, "10", "model", 0.9, "x", 2, ["b", "a"]), (2, "11", "model", 0.9, "x", 2, ["a"]), (3, "12", "model", 0.9, "x", 2, ["c"])])
+    now = table("listing_id int, brand string, matcher_version int, identifiers array<string>, vetoes array<string>", [(1, "x", 2, ["a", "b"], []), (2, "y", 2, ["a"], []), (3, None, 3, ["a"], ["capacity"]), (4, "x", 2, None, []), (5, "x", 2, ["a"], ["capacity", "interface"])])
+    prior = table("listing_id int, target string, grain string, confidence double, brand string, matcher_version int, identifiers array<string>", [(1, "10", "model", 0.9, "x", 2, ["b", "a"]), (2, "11", "model", 0.9, "x", 2, ["a"]), (3, "12", "model", 0.9, "x", 2, ["c"]), (5, "13", "model", 0.9, "x", 2, ["a"])])
     priors = resolve.reconsider(prior, now)
-    assert {r.listing_id: r.doubts for r in priors.collect()} == {1: [], 2: ["brand"], 3: ["matcher_version", "identifiers", "veto:capacity"]}
-    fresh = table("listing_id int, outcome string, grain string, target string, confidence double, reason string", [(i, "none", "none", None, 0.0, "no_evidence") for i in (1, 2, 3, 4)])
-    assert {r.listing_id: (r.outcome, r.target, r.reason) for r in resolve.inherit(fresh, priors).collect()} == {1: ("accept", "10", "prior"), **{i: ("none", None, "no_evidence") for i in (2, 3, 4)}}
+    assert {r.listing_id: r.doubts for r in priors.collect()} == {1: [], 2: ["brand"], 3: ["matcher_version", "identifiers", "veto:capacity"], 5: ["veto:capacity,interface"]}
+    fresh = table("listing_id int, outcome string, grain string, target string, confidence double, reason string", [(i, "none", "none", None, 0.0, "no_evidence") for i in (1, 2, 3, 4, 5)])
+    assert {r.listing_id: (r.outcome, r.target, r.reason) for r in resolve.inherit(fresh, priors).collect()} == {5: ("review", None, "veto"), 1: ("accept", "10", "prior"), **{i: ("none", None, "no_evidence") for i in (2, 3, 4)}}
     rules = table("category string, auto_accept boolean, grains array<string>, families array<string>", [("drive", True, None, None), ("gpu", False, None, None), ("cpu", True, ["family"], ["epyc"])])
     d = "listing_id int, outcome string, grain string, target string, reason string, category string, target_category string"
     rows = [(1, "accept", "model", "1", "alias", "drive", "drive"), (2, "accept", "model", "1", "alias", "drive", "gpu"), (3, "accept", "model", "1", "alias", "gpu", None), (4, "accept", "model", "1", "alias", "cpu", None), (5, "accept", "family", "xeon", "decoded", "cpu", None), (6, "accept", "family", "epyc", "decoded", "cpu", None), (7, "accept", "model", "1", "alias", "toy", None), (8, "none", "none", None, "no_evidence", "gpu", None)]
@@ -60,10 +60,57 @@ def test_what_is_learnt(table):
     assert [(r.model, r.condition) for r in made] == [("10", "used")]
 
 
+REPORT = "struct<schema_ok: boolean, valid: boolean, scope_ok: boolean, complete: boolean, truncated: boolean, succeeded: boolean, limits: array<string>, items_emitted: int, items_declared: int, pages_fetched: int, pages_declared: int, errors: array<string>>"
+FINE = {"schema_ok": True, "valid": True, "scope_ok": True, "complete": True, "truncated": False, "succeeded": True, "limits": [], "items_emitted": 3, "items_declared": None, "pages_fetched": 1, "pages_declared": None, "errors": []}
+
+
 def test_run_classes_in_order(table):
-    df = table("status string, output boolean, counted int, usable int, claimed int, hit string, scope boolean, sch boolean, empty boolean", [("SUCCEEDED", True, 3, 3, 3, None, True, True, False), ("SUCCEEDED", False, 3, 3, 3, None, False, False, False), ("SUCCEEDED", True, 3, 0, 3, None, True, True, False), ("SUCCEEDED", True, 0, 0, 0, None, True, True, True), ("SUCCEEDED", True, 0, 0, 0, None, True, True, False), ("SUCCEEDED", True, 3, 2, 3, "items", True, True, False), ("SUCCEEDED", True, 3, 2, 3, None, True, True, False), ("SUCCEEDED", True, 3, 3, None, None, True, True, False)])
-    got = [tuple(r.c) for r in df.select(completeness.run_class(*[F.col(x) for x in df.columns]).alias("c")).collect()]
-    assert got == [("complete", None), ("failed", "output_missing"), ("failed", "unusable"), ("complete", None), ("failed", "ambiguous_empty"), ("truncated", "items"), ("partial", "some_unusable"), ("failed", "contradictory")]
+    empty = {"items_emitted": 0, "items_declared": 0}
+    cases = [
+        ("SUCCEEDED", {}, 3, 3, ("complete", "complete", None)),
+        ("SUCCEEDED", None, 3, 3, ("failed", "missing_output", None)),
+        ("SUCCEEDED", {"schema_ok": False, "scope_ok": False}, 3, 3, ("failed", "unknown_schema_version", None)),
+        ("SUCCEEDED", {"scope_ok": False, "limits": ["time"]}, 3, 3, ("failed", "scope_mismatch", None)),
+        ("SUCCEEDED", {"limits": ["items"], "truncated": True}, 3, 3, ("failed", "contradictory_report: complete_with_limit_hit, complete_and_truncated", None)),
+        ("SUCCEEDED", {"complete": False, "truncated": True}, 3, 3, ("failed", "contradictory_report: truncated_without_limit_hit", None)),
+        ("SUCCEEDED", {"succeeded": False, "items_emitted": 2, "items_declared": 9}, 3, 3, ("failed", "contradictory_report: status_mismatch, count_mismatch", None)),
+        ("SUCCEEDED", {"items_declared": 9, "pages_declared": 2}, 3, 3, ("failed", "contradictory_report: complete_with_items_declared_mismatch, complete_with_pages_unfetched", None)),
+        ("SUCCEEDED", {"pages_declared": 1, "pages_fetched": 2}, 3, 3, ("failed", "contradictory_report: pages_fetched_exceed_declared", None)),
+        ("FAILED", {"complete": False, "succeeded": False}, 3, 0, ("failed", "no_usable_items", None)),
+        ("FAILED", {"complete": False, "succeeded": False}, 3, 3, ("partial_failure", "remote_failed_with_items", None)),
+        ("ABORTED", {"complete": False, "succeeded": False} | {"items_emitted": 0}, 0, 0, ("failed", "remote_failed_empty", None)),
+        ("SUCCEEDED", {"complete": False, "limits": ["pages"], "truncated": True, "errors": ["z", "a", "z"]}, 3, 3, ("partial_failure", "errors_reported: a, z", None)),
+        ("SUCCEEDED", {"complete": False, "limits": ["items", "bytes"], "truncated": True}, 3, 2, ("truncated", "truncated: bytes, items", "bytes")),
+        ("TIMED-OUT", {"complete": False, "truncated": True, "succeeded": False, "limits": ["items"]}, 3, 3, ("truncated", "truncated: time, items", "time")),
+        ("SUCCEEDED", empty, 0, 0, ("complete", "complete_empty", None)),
+        ("SUCCEEDED", empty | {"items_declared": None}, 0, 0, ("failed", "ambiguous_empty", None)),
+        ("SUCCEEDED", {"complete": False}, 3, 3, ("failed", "unexplained_incomplete", None)),
+        ("SUCCEEDED", {}, 3, 2, ("partial_failure", "unusable_items", None)),
+    ]
+    df = table(f"i int, status string, report {REPORT}, counted int, usable int", [(i, s, None if r is None else FINE | r, n, u) for i, (s, r, n, u, _) in enumerate(cases)])
+    got = [tuple(r.c) for r in df.select("i", completeness.run_class(*[F.col(x) for x in df.columns[1:]]).alias("c")).orderBy("i").collect()]
+    assert got == [c[-1] for c in cases]
+
+
+def test_response_classes_in_order(table):
+    cases = [(503, True, True, False, 9, 9, "anti_bot"), (408, True, True, True, 9, 9, "transient"), (200, False, True, False, 9, 9, "anti_bot"), (200, False, False, False, 9, 9, None), (404, False, True, False, 9, 9, "anti_bot"), (404, True, True, False, 9, 9, "unknown"), (200, True, True, True, 9, 9, "anti_bot"), (200, True, True, None, 1, 9, "anti_bot"), (200, True, True, None, 0, 0, None), (505, None, False, None, None, None, "unknown")]
+    df = table("i int, s int, j boolean, e boolean, c boolean, n int, m int", [(i, *c[:-1]) for i, c in enumerate(cases)])
+    got = [r.c for r in df.select("i", runs.response_class(*[F.col(x) for x in df.columns[1:]]).alias("c")).orderBy("i").collect()]
+    assert got == [c[-1] for c in cases]
+
+
+def test_first_bad_page_decides(table):
+    kind = "s string, page_no int, parsed boolean, offset int, total int, items int, distinct_ids array<int>, has_next boolean, dropped int"
+    fine = lambda s, n, **k: tuple(({"s": s, "page_no": n, "parsed": True, "offset": n * 10, "total": 2, "items": 1, "distinct_ids": [n], "has_next": False, "dropped": 0} | k).values())
+    pages = [fine("total", 0, total=None), fine("total", 1, offset=5), fine("gap", 0), fine("gap", 1, offset=5, total=None), fine("one", 0, total=1), fine("more", 0), fine("two", 0), fine("two", 1), fine("drop", 0, dropped=1, parsed=False), fine("cap", 0), fine("cap", 1, has_next=True)]
+    got = {r.s: r.verdict for r in completeness.sweep_verdicts(table(kind, pages), ["s"], 10, 2, table("s string", [("none",), ("one",), *{(p[0],) for p in pages}])).collect()}
+    assert got == {"total": "total_missing", "gap": "offset_gap", "one": None, "more": "total_exceeds_seen", "two": "multi_page_unprovable", "drop": "parse_drop", "cap": "page_cap", "none": "empty"}
+
+
+def test_pause_outlasts_reactivation_between_parser_failures(table):
+    events = ["parser_rot", "manual_reactivate", "parser_rot", "manual_reactivate", "success", "parser_rot"]
+    df = table("k string, n int, e string", [("a", i, e) for i, e in enumerate(events)])
+    assert [r.state for r in lifecycle.lifecycle(df, "k", "e", ["n"]).orderBy("n").collect()] == ["backing_off", "active", "paused_pending_fix", "active", "active", "backing_off"]
 
 
 def test_denials_in_order(table):

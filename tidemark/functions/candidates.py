@@ -34,6 +34,11 @@ def candidates(title: Column, structured: Column | None = None, house: str | Non
     return F.array_distinct(F.filter(F.concat(*parts), lambda c: c["norm"] != ""))
 
 
+def mpns(found: Column) -> Column:
+    """The makers' numbers that a title names, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda c: c["kind"] == "manufacturer_mpn"), lambda c: c["norm"])))
+
+
 def distinct_mpns(found: Column) -> Column:
     """How many makers' numbers a title names."""
-    return F.size(F.array_distinct(F.transform(F.filter(found, lambda c: c["kind"] == "manufacturer_mpn"), lambda c: c["norm"])))
+    return F.size(mpns(found))

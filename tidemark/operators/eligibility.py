@@ -135,3 +135,24 @@ def all_of(outcomes: list[Column]) -> Column:
     """The verdict of single outcomes."""
     worst = reduce(F.greatest, [F.when(o == NO_MATCH, 2).when(o == UNKNOWN, 1).otherwise(0) for o in outcomes])
     return F.when(worst == 2, NO_MATCH).when(worst == 1, UNKNOWN).otherwise(MATCH)
+
+
+def vendor_lock_outcome(require_unlocked: Column, lock: Column, confidence: Column, least: float = 0.85) -> Column:
+    """Only a stated unlock satisfies the requirement: a part that may be locked may not start in the buyer's board."""
+    stated = F.when(confidence >= least, lock)
+    return F.when(~F.coalesce(require_unlocked, F.lit(False)), MATCH).when(stated == "unlocked", MATCH).when(stated == "locked", NO_MATCH).otherwise(UNKNOWN)
+
+
+def target_outcome(target_family: Column, target_model: Column, grain: Column, family: Column, model: Column) -> Column:
+    """Null without a target. A family can't tell a model: that is unknown, not another one."""
+    known = grain.isNotNull() & (grain != "none")
+    same = lambda a, b: F.when(a.eqNullSafe(b), MATCH).otherwise(NO_MATCH)
+    of_model = F.when(grain == "family", UNKNOWN).otherwise(same(model, target_model))
+    of_family = F.when(family.isNull(), UNKNOWN).otherwise(same(family, target_family))
+    return F.when(target_model.isNotNull(), F.when(known, of_model).otherwise(UNKNOWN)).when(target_family.isNotNull(), F.when(known, of_family).otherwise(UNKNOWN))
+
+
+def recording_contradicted(allowed: Column, said: Column) -> Column:
+    """A title says only the kind; a kind of subtypes goes with any of them."""
+    subtype = F.exists(allowed, lambda a: F.startswith(a, F.lit("smr")))
+    return F.coalesce(~F.when(said == "smr", subtype).otherwise(F.array_contains(allowed, said)), F.lit(False))

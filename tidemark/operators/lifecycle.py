@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 #: Events and states of the closed vocabulary.
 EVENTS = ("success", "transient_failure", "parser_rot", "anti_bot", "unknown_failure", "degradation", "probe_success", "probe_failure", "manual_skip", "manual_reactivate")
+STREAK = ("success", "probe_success", "transient_failure", "anti_bot", "parser_rot", "unknown_failure")
 ACTIVE, BACKING_OFF, PAUSED, SKIP = "active", "backing_off", "paused_pending_fix", "skip"
 
 
@@ -15,12 +16,13 @@ def lifecycle(log: DataFrame, key: str, event: str, order: list[str]) -> DataFra
     """``log`` with ``state`` after each event.
 
     A skip lasts until it is reactivated by hand. A pause (anti-bot, an unknown failure, a second parser failure
-    in a row) lasts until a probe succeeds or it is reactivated. Else the last success or failure decides.
+    in a row) lasts until a probe succeeds or it is reactivated. Else the last success or failure decides. A row of
+    parser failures ends with a success or with another failure, not by hand.
     """
     own = Window.partitionBy(key).orderBy(*order)
     rows = log.withColumn("_n", F.row_number().over(own))
     e = F.col(event)
-    ordinary = ~e.isin("degradation", "probe_failure", "manual_skip")
+    ordinary = e.isin(*STREAK)
     # the event before, of those that count for a streak
     before = F.last(F.when(ordinary, e), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_hold", e.isin("anti_bot", "unknown_failure") | ((e == "parser_rot") & F.coalesce(before == "parser_rot", F.lit(False))))

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Confidence of an exact alias by how its brand is known, of an OEM number that several models share.
-ALIAS_BRAND_STATED, ALIAS_BRAND_SILENT, ALIAS_WEAK, OEM_FANOUT = 0.98, 0.95, 0.85, 0.8
+#: Confidence of an alias by where it came from, of a decoded number by its grammar's source, of an
+#: OEM number that several models share; brands of one lineage; how far capacities of one product may differ.
+BY_SOURCE = {"catalog_authoritative": 0.98, "manual": 0.95, "listing_derived": 0.85}
+BY_SOURCE_OTHER = 0.5
+BY_PROVENANCE = {"vendor_official": 0.92, "corroborated_community": 0.85, "inferred": 0.75}
+OEM_FANOUT = 0.8
+LINEAGE = ("western_digital", "hgst", "sandisk")
+CAPACITY_TOLERANCE = 0.01
 #: Alias types that a kind of token may ground.
 COMPATIBLE = {"manufacturer_mpn": ("mpn",), "oem": ("oem_pn",), "house_sku": ("house_sku",), "structured": ("mpn", "oem_pn", "house_sku")}
 
 
 def alias_hits(listings: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(listing_id, norm, kind, alias_type, model_id, family_id, brand) of every candidate token that is an alias:
-    of the listing's site or of none, and of a type that the token's kind may ground.
+    """(listing_id, norm, kind, alias_type, model_id, family_id, brand, structured) of every candidate token that is an alias:
+    of the listing's site or of none, and of a type that the token's kind may ground. Where the aliases say more
+    (source_kind, variant_id, spec and so on), that follows.
 
     ``listings``: listing_id, site, candidates array<struct<norm, kind>>. ``aliases``: norm, alias_type, site, model_id, family_id, brand.
     The join is on the normalized text; the rest are conditions on its pairs.
@@ -22,58 +29,168 @@ def alias_hits(listings: DataFrame, aliases: DataFrame) -> DataFrame:
     tokens = tokens.select("listing_id", "_site", F.col("_c.norm").alias("_norm"), F.col("_c.kind").alias("kind"))
     allowed = F.create_map(*[x for k, ts in COMPATIBLE.items() for x in (F.lit(k), F.array(*map(F.lit, ts)))])
     met = tokens.join(aliases, (F.col("_norm") == F.col("norm")) & (F.col("site").isNull() | (F.col("site") == F.col("_site"))))
-    return met.where(F.array_contains(allowed[F.col("kind")], F.col("alias_type"))).select("listing_id", "norm", "kind", "alias_type", "model_id", "family_id", "brand")
+    more = [c for c in aliases.columns if c in ("source_kind", "grain", "variant_id", "spec")]
+    met = met.where(F.array_contains(allowed[F.col("kind")], F.col("alias_type")))
+    return met.select("listing_id", "norm", "kind", "alias_type", "model_id", "family_id", "brand", (F.col("kind") == "structured").alias("structured"), *more)
 
 
-def decide(listings: DataFrame, hits: DataFrame, decoded: DataFrame) -> DataFrame:
-    """Per listing: outcome (accept, review, none), grain, target, confidence, reason.
+#: What the ladder compares between a listing and a catalog record, besides capacity and family.
+_WORDS = ("interface", "form_factor", "sector_format", "security")
+_SPEC = "struct<capacity: bigint, interface: string, form_factor: string, sector_format: string, security: string, family: struct<brand: string, name: string>>"
 
-    Rungs, the first that applies: every hit contradicts the stated brand; one model; several models of one
-    family reached by OEM numbers alone; conflicting targets; a decoded number of consistent brand. Demotions
-    come after: more than one manufacturer number, or a lot, turn an accept into a review.
 
-    ``listings``: listing_id, brand, quantity, n_mpns. ``decoded``: listing_id, vendor, family.
-    """
-    per = hits.groupBy("listing_id").agg(
-        F.collect_set("model_id").alias("models"),
-        F.collect_set("family_id").alias("families"),
-        F.collect_set("brand").alias("brands"),
-        F.every(F.col("alias_type") == "oem_pn").alias("oem_only"),
+def brands_agree(a: Column, b: Column) -> Column:
+    """An unknown brand agrees with any; brands of one lineage agree."""
+    kin = F.array(*map(F.lit, LINEAGE))
+    return a.isNull() | b.isNull() | (a == b) | (F.array_contains(kin, a) & F.array_contains(kin, b))
+
+
+def _narrower(title: Column, target: Column) -> Column:
+    """A title may name the target's family, or one whose name the target's goes on from."""
+    return (title == target) | F.startswith(target, F.concat(title, F.lit(" ")))
+
+
+def _far(a: Column, b: Column) -> Column:
+    return F.coalesce(F.abs(a - b) > F.greatest(a, b) * CAPACITY_TOLERANCE, F.lit(False))
+
+
+def other_families(mentions: Column, brand: Column, family: Column) -> Column:
+    """The families (array of {brand, name}) a title names of this maker that don't go with ``family``, sorted."""
+    wrong = F.filter(mentions, lambda m: brands_agree(m["brand"], brand) & ~_narrower(m["name"], family))
+    return F.when(mentions.isNotNull() & brand.isNotNull() & family.isNotNull(), F.array_sort(F.transform(wrong, lambda m: m["name"]))).otherwise(F.array().cast("array<string>"))
+
+
+def contradicted(said: Column, mentions: Column, spec: Column) -> Column:
+    """Fields that a listing and a catalog record both state, and differently; family last."""
+    named = [F.when(_far(said["capacity"], spec["capacity"]), F.lit("capacity"))]
+    named += [F.when(said[w] != spec[w], F.lit(w)) for w in _WORDS]
+    named.append(F.when(F.size(other_families(mentions, spec["family"]["brand"], spec["family"]["name"])) > 0, F.lit("family")))
+    return F.array_compact(F.array(*named))
+
+
+def _defaults(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns that the caller has nothing to say about are null."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
+
+
+def _ambiguities(grounded: Column, named: Column) -> Column:
+    """Why an accept can't stand on its own, whatever the rung; ``grounded``: what is known of the accepted target."""
+    hits = F.col("hits")
+    carrying = F.filter(hits, lambda h: h["model_id"].isNotNull())
+    norms = F.array_distinct(F.transform(carrying, lambda h: h["norm"]))
+    models = F.array_distinct(F.transform(carrying, lambda h: h["model_id"]))
+    # a model that every identifier names
+    shared = F.exists(models, lambda m: F.forall(norms, lambda n: F.exists(carrying, lambda h: (h["norm"] == n) & (h["model_id"] == m))))
+    conflicting = (F.size(norms) > 1) & ~shared
+    moved = (F.col("rung") == 0) & named.isNotNull() & (F.size(models) > 0) & ~F.array_contains(models, named)
+
+    def disowns(h: Column) -> Column:
+        ours, theirs = grounded["family"], h["spec"]["family"]
+        kin = brands_agree(ours["brand"], theirs["brand"]) & (_narrower(ours["name"], theirs["name"]) | _narrower(theirs["name"], ours["name"]))
+        apart = _far(h["spec"]["capacity"], grounded["capacity"]) | (F.coalesce(ours["name"].isNotNull() & theirs["name"].isNotNull(), F.lit(False)) & ~kin)
+        return h["review_only"] & ~F.coalesce(h["model_id"] == named, F.lit(False)) & apart
+
+    beside = F.exists(carrying, disowns)
+    of_mpns = F.filter(hits, lambda h: F.array_contains(F.col("mpns"), h["norm"]))
+    one = (F.size(F.array_distinct(F.transform(of_mpns, lambda h: F.coalesce(h["model_id"], F.lit("")))))) == 1
+    one = one & F.forall(of_mpns, lambda h: h["model_id"].isNotNull()) & F.forall("mpns", lambda m: F.exists(of_mpns, lambda h: h["norm"] == m))
+    several = F.col("one_mpn") & (F.size("mpns") > 1) & ~one
+    return F.array_compact(
+        F.array(
+            F.when(conflicting, F.lit("conflicting_alias_models")),
+            F.when(moved, F.lit("prior_model_not_named")),
+            F.when(beside, F.lit("review_only_alias_conflict")),
+            F.when(F.col("quantity") > 1, F.lit("lot")),
+            F.when(several, F.lit("multiple_mpns")),
+        )
     )
-    d = decoded.select("listing_id", "vendor", F.col("family").alias("decoded_family"))
-    rows = listings.join(per, "listing_id", "left").join(d, "listing_id", "left")
-    hit = F.col("models").isNotNull()
-    silent = F.col("brand").isNull()
-    wrong = hit & ~silent & ~F.array_contains("brands", F.col("brand"))
-    one = hit & (F.size("models") == 1)
-    fan = hit & F.col("oem_only") & (F.size("families") == 1)
-    grammar = ~hit & F.col("decoded_family").isNotNull() & (silent | (F.col("brand") == F.col("vendor")))
-    nowhere = F.lit(None).cast("string")
-
-    def found(outcome: str, grain: str, target: Column, confidence: Column, reason: str) -> Column:
-        return F.struct(F.lit(outcome).alias("outcome"), F.lit(grain).alias("grain"), target.cast("string").alias("target"), confidence.cast("double").alias("confidence"), F.lit(reason).alias("reason"))
-
-    zero = F.lit(0.0)
-    stated = F.when(silent, ALIAS_BRAND_SILENT).otherwise(ALIAS_BRAND_STATED)
-    rung = (
-        F.when(wrong, found("review", "none", nowhere, zero, "brand_contradiction"))
-        .when(one, found("accept", "model", F.get("models", F.lit(0)), stated, "alias"))
-        .when(fan, found("accept", "family", F.get("families", F.lit(0)), F.lit(OEM_FANOUT), "oem_fan_out"))
-        .when(hit, found("review", "none", nowhere, zero, "conflicting_targets"))
-        .when(grammar, found("accept", "family", F.col("decoded_family"), F.lit(ALIAS_WEAK), "decoded"))
-        .otherwise(found("none", "none", nowhere, zero, "no_evidence"))
+
+
+def decide(listings: DataFrame, hits: DataFrame, decoded: DataFrame, priors: DataFrame | None = None) -> DataFrame:
+    """Per listing: outcome (accept, review, none), rung, grain, target, confidence, reason.
+
+    Rung 0 keeps a prior unless what the listing says contradicts it. Rung 1: of the hits that may ground a
+    decision, those of a contrary brand go (all gone: review); hits on one target accept it, given no
+    contradiction and some evidence of the brand (stated, implied by the number's shape, or a structured
+    field); OEM numbers that fan out inside one family accept the family. Rung 2 accepts the family of a
+    decoded number, as far as brand, named families and capacity allow. Whatever accepts is turned into a
+    review by any of ``_ambiguities``; their names are the reason, joined by commas.
+
+    ``listings``: listing_id, brand; and where known quantity (trusted), mpns array (the title's manufacturer
+    numbers), one_mpn (whether these must be one model; true by default), spec (of _SPEC, without its family),
+    mentions array<struct<brand, name>>. ``hits``: listing_id, norm, alias_type, brand; and where known source_kind,
+    grain, family_id, model_id, variant_id, vendor (of the number's shape), structured, review_only, spec (of _SPEC).
+    ``decoded``: listing_id, vendor, family; capacity, provenance. ``priors``: listing_id, grain, target, model_id,
+    confidence, spec. Ids are texts. Hits and decodes of one listing are few; they meet by listing.
+    """
+    listings = _defaults(listings, {"quantity": "int", "mpns": "array<string>", "one_mpn": "boolean", "spec": _SPEC, "mentions": "array<struct<brand: string, name: string>>"})
+    rows = listings.select("listing_id", "brand", "quantity", F.coalesce("mpns", F.array().cast("array<string>")).alias("mpns"), F.coalesce("one_mpn", F.lit(True)).alias("one_mpn"), F.col("spec").cast(_SPEC).alias("spec"), "mentions")
+    hits = _defaults(hits, {"source_kind": "string", "grain": "string", "family_id": "string", "model_id": "string", "variant_id": "string", "vendor": "string", "structured": "boolean", "review_only": "boolean", "spec": _SPEC})
+    ids = [F.col(c).cast("string").alias(c) for c in ("family_id", "model_id", "variant_id")]
+    grain = F.coalesce("grain", F.when(F.col("variant_id").isNotNull(), "variant").when(F.col("model_id").isNotNull(), "model").otherwise("family"))
+    trust = F.coalesce(F.create_map(*[F.lit(x) for kv in BY_SOURCE.items() for x in kv])[F.col("source_kind")], F.lit(BY_SOURCE_OTHER))
+    # in the order of trust; ties by what the hit names
+    each = hits.select("listing_id", (-trust).alias("order"), trust.alias("trust"), "norm", "alias_type", grain.alias("grain"), *ids, "brand", "vendor", F.coalesce("structured", F.lit(False)).alias("structured"), F.coalesce("review_only", F.lit(False)).alias("review_only"), F.col("spec").cast(_SPEC).alias("spec"))
+    each = each.groupBy("listing_id").agg(F.collect_set(F.struct(*[c for c in each.columns if c != "listing_id"])).alias("hits"))
+    d = _defaults(decoded, {"capacity": "bigint", "provenance": "string"}).select("listing_id", F.struct("vendor", "family", F.col("capacity").cast("bigint").alias("capacity"), "provenance").alias("decoded"))
+    rows = rows.join(each, "listing_id", "left").join(d, "listing_id", "left")
+    if priors is None:
+        rows = rows.withColumn("prior", F.lit(None).cast(f"struct<grain: string, target: string, model_id: string, confidence: double, spec: {_SPEC}>"))
+    else:
+        p = _defaults(priors, {"model_id": "string", "spec": _SPEC})
+        p = p.select("listing_id", F.struct("grain", F.col("target").cast("string").alias("target"), F.col("model_id").cast("string").alias("model_id"), F.col("confidence").cast("double").alias("confidence"), F.col("spec").cast(_SPEC).alias("spec")).alias("prior"))
+        rows = rows.join(p, "listing_id", "left")
+
+    brand, said, mentions = F.col("brand"), F.col("spec"), F.col("mentions")
+    rows = rows.withColumn("hits", F.coalesce("hits", F.filter(F.array(F.lit(None).cast(each.schema["hits"].dataType.elementType)), lambda h: h.isNotNull())))
+    rows = rows.withColumn("ground", F.filter("hits", lambda h: ~h["review_only"]))
+    rows = rows.withColumn("viable", F.array_sort(F.filter("ground", lambda h: brands_agree(brand, h["brand"]))))
+    rows = rows.withColumn("clean", F.filter("viable", lambda h: F.size(contradicted(said, mentions, h["spec"])) == 0))
+    target_of = lambda h: F.struct(h["grain"].alias("g"), h["family_id"].alias("f"), h["model_id"].alias("m"), h["variant_id"].alias("v"))
+    n_targets = F.size(F.array_distinct(F.transform("viable", target_of)))
+    families = F.array_distinct(F.transform("viable", lambda h: F.coalesce(h["family_id"], F.lit(""))))
+    best, best_clean = F.get("viable", F.lit(0)), F.get("clean", F.lit(0))
+    shown = brand.isNotNull() | best["structured"] | (best["vendor"].isNotNull() & brands_agree(best["vendor"], best["brand"]))
+    fan = (F.size(families) == 1) & (families[0] != "") & F.forall("viable", lambda h: h["alias_type"] == "oem_pn") & (F.size("clean") > 0)
+    dec = F.col("decoded")
+    by_provenance = F.create_map(*[F.lit(x) for kv in BY_PROVENANCE.items() for x in kv])[dec["provenance"]]
+    no_spec = F.lit(None).cast(_SPEC)
+
+    def found(outcome: str, rung: int | None, reason: str, grain: Column | None = None, target: Column | None = None, confidence: Column | None = None, model: Column | None = None, spec: Column | None = None) -> Column:
+        text, zero = F.lit(None).cast("string"), F.lit(0.0)
+        return F.struct(F.lit(outcome).alias("outcome"), F.lit(rung).cast("int").alias("rung"), (F.lit("none") if grain is None else grain).alias("grain"), (text if target is None else target).alias("target"), (zero if confidence is None else confidence).cast("double").alias("confidence"), F.lit(reason).alias("reason"), (text if model is None else model).alias("model"), (no_spec if spec is None else spec).alias("ground_spec"))
+
+    family_alone = F.when(best_clean["spec"].isNotNull(), F.struct(F.lit(None).cast("bigint").alias("capacity"), *[F.lit(None).cast("string").alias(w) for w in _WORDS], best_clean["spec"]["family"].alias("family")))
+    of_decode = F.struct(dec["capacity"].alias("capacity"), *[F.lit(None).cast("string").alias(w) for w in _WORDS], F.struct(dec["vendor"].alias("brand"), dec["family"].alias("name")).alias("family"))
+    finest = F.coalesce(best["variant_id"], best["model_id"], best["family_id"])
+    old = F.col("prior")
+    hit = F.size("ground") > 0
+    verdict = (
+        F.when(old.isNotNull() & (F.size(contradicted(said, mentions, old["spec"])) > 0), found("review", 0, "veto"))
+        .when(old.isNotNull(), found("accept", 0, "prior", old["grain"], old["target"], old["confidence"], old["model_id"], old["spec"]))
+        .when(hit & (F.size("viable") == 0), found("review", 1, "brand_contradicts_exact_alias"))
+        .when(hit & (n_targets == 1) & (F.size(contradicted(said, mentions, best["spec"])) > 0), found("review", 1, "veto"))
+        .when(hit & (n_targets == 1) & ~F.coalesce(shown, F.lit(False)), found("review", 1, "no_brand_evidence"))
+        .when(hit & (n_targets == 1), found("accept", 1, "exact_alias", best["grain"], finest, best["trust"], best["model_id"], best["spec"]))
+        .when(hit & fan, found("accept", 1, "oem_fan_out", F.lit("family"), families[0], F.lit(OEM_FANOUT), None, family_alone))
+        .when(hit, found("review", 1, "conflicting_targets"))
+        .when(dec["family"].isNull(), found("none", None, "no_evidence"))
+        .when(~brands_agree(brand, dec["vendor"]), found("review", 2, "brand_contradicts_decode"))
+        .when(F.size(other_families(mentions, dec["vendor"], dec["family"])) > 0, found("review", 2, "family_contradicts_decode"))
+        .when(_far(said["capacity"], dec["capacity"]), found("review", 2, "veto"))
+        .otherwise(found("accept", 2, "mpn_decode", F.lit("family"), F.concat_ws("/", dec["vendor"], dec["family"]), F.coalesce(by_provenance, F.lit(BY_PROVENANCE["inferred"])), None, of_decode))
     )
-    rows = rows.select("listing_id", "quantity", "n_mpns", rung.alias("r"))
-    demoted = F.array_compact(F.array(F.when(F.col("n_mpns") > 1, F.lit("several_mpns")), F.when(F.col("quantity") > 1, F.lit("lot"))))
-    rows = rows.withColumn("_d", F.when(F.col("r.outcome") == "accept", demoted).otherwise(F.array().cast("array<string>")))
-    down = F.size("_d") > 0
+    rows = rows.select("listing_id", "quantity", "mpns", "one_mpn", "hits", verdict.alias("r")).select("*", F.col("r.rung").alias("rung"))
+    rows = rows.withColumn("why", F.when(F.col("r.outcome") == "accept", _ambiguities(F.col("r.ground_spec"), F.col("r.model"))).otherwise(F.array().cast("array<string>")))
+    down = F.size("why") > 0
     return rows.select(
         "listing_id",
         F.when(down, "review").otherwise(F.col("r.outcome")).alias("outcome"),
+        "rung",
         F.when(down, "none").otherwise(F.col("r.grain")).alias("grain"),
         F.when(~down, F.col("r.target")).alias("target"),
         F.when(down, 0.0).otherwise(F.col("r.confidence")).alias("confidence"),
-        F.when(down, F.array_join("_d", ",")).otherwise(F.col("r.reason")).alias("reason"),
+        F.when(down, F.array_join("why", ",")).otherwise(F.col("r.reason")).alias("reason"),
     )
 
 
@@ -115,17 +232,19 @@ def reconsider(prior: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def inherit(decisions: DataFrame, priors: DataFrame) -> DataFrame:
-    """Decisions, but for listings whose prior stands without a doubt: those keep it at its confidence."""
-    good = priors.where(F.size("doubts") == 0).select(F.col("listing_id").alias("_id"), "prior_target", "prior_grain", "prior_confidence")
-    out = decisions.join(good, F.col("listing_id") == F.col("_id"), "left")
-    kept = F.col("_id").isNotNull()
+    """Decisions, but for listings whose prior stands without a doubt: those keep it at its confidence. A prior
+    that nothing but a veto speaks against goes to review; one that is stale gives way to the fresh decision."""
+    old = priors.select(F.col("listing_id").alias("_id"), "prior_target", "prior_grain", "prior_confidence", "doubts")
+    out = decisions.join(old, F.col("listing_id") == F.col("_id"), "left")
+    kept = F.coalesce(F.size("doubts") == 0, F.lit(False))
+    vetoed = F.coalesce((F.size("doubts") > 0) & F.forall("doubts", lambda d: F.startswith(d, F.lit("veto:"))), F.lit(False))
     return out.select(
         "listing_id",
-        F.when(kept, "accept").otherwise(F.col("outcome")).alias("outcome"),
-        F.when(kept, F.col("prior_grain")).otherwise(F.col("grain")).alias("grain"),
-        F.when(kept, F.col("prior_target")).otherwise(F.col("target")).alias("target"),
-        F.when(kept, F.col("prior_confidence")).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(kept, "prior").otherwise(F.col("reason")).alias("reason"),
+        F.when(kept, "accept").when(vetoed, "review").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(kept, F.col("prior_grain")).when(vetoed, "none").otherwise(F.col("grain")).alias("grain"),
+        F.when(kept, F.col("prior_target")).when(~vetoed, F.col("target")).alias("target"),
+        F.when(kept, F.col("prior_confidence")).when(vetoed, 0.0).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(kept, "prior").when(vetoed, "veto").otherwise(F.col("reason")).alias("reason"),
     )
 
 

@@ -51,35 +51,43 @@ def median_of_last(runs: DataFrame, key: str, at: str, tie: str, value: str, n:
 
 def change_decisions(readings: DataFrame, keys: list[str], at: str, tie: str, price: str, stock: str, fingerprint: Column, least_drop: float = 0.0) -> DataFrame:
     """``readings`` with ``decision``: failed without a stock state, ambiguous where it is unknown, transition_detected
-    at the first sighting, a new state or a price that fell by ``least_drop`` or more, else unchanged."""
-    own = Window.partitionBy(*keys).orderBy(at, tie)
-    seen = readings.withColumn("_fp", fingerprint)
-    for c in (price, stock, "_fp"):
-        seen = seen.withColumn(f"_was_{c}", F.lag(c).over(own))
-    first = F.row_number().over(own) == 1
-    was, now = F.col(f"_was_{price}").cast("double"), F.col(price).cast("double")
+    at the first sighting, a new state or a price that fell by ``least_drop`` or more, else unchanged. A failed
+    reading is none to compare with: the next one looks at the last that worked."""
+    own = Window.partitionBy(*keys).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
+    this = F.struct(F.col(price).cast("double").alias("price"), F.col(stock).alias("stock"), fingerprint.alias("fp"))
+    seen = readings.withColumn("_this", this).withColumn("_was", F.last(F.when(F.col(stock).isNotNull(), F.col("_this")), ignorenulls=True).over(own))
+    was, now = F.col("_was.price"), F.col("_this.price")
     fell = F.coalesce((now < was) & ((was - now) / was >= least_drop), F.lit(False))
     decision = (
         F.when(F.col(stock).isNull(), "failed")
         .when(F.col(stock) == "unknown", "ambiguous")
-        .when(first, "transition_detected")
-        .when(F.col("_fp") == F.col("_was__fp"), "unchanged")
-        .when(~F.col(stock).eqNullSafe(F.col(f"_was_{stock}")) | fell, "transition_detected")
+        .when(F.col("_was").isNull(), "transition_detected")
+        .when(F.col("_this.fp") == F.col("_was.fp"), "unchanged")
+        .when((F.col(stock) != F.col("_was.stock")) | fell, "transition_detected")
         .otherwise("unchanged")
     )
-    return seen.withColumn("decision", decision).drop("_fp", "_was__fp", f"_was_{price}", f"_was_{stock}")
+    return seen.withColumn("decision", decision).drop("_this", "_was")
 
 
 def daily_counts(rows: DataFrame, at: str, by: list[str]) -> DataFrame:
     return rows.groupBy(F.to_date(at).alias("day"), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Statuses that pass by themselves and statuses that shut a collector out; a body this small is a block.
+TRANSIENT_STATUSES = (408, 500, 502, 504)
+ANTI_BOT_STATUSES = (401, 403, 429, 503)
+SOFT_BLOCK = 0.2
+
+
 def response_class(status: Column, is_json: Column, expects_json: Column, challenge: Column, size: Column, median_size: Column) -> Column:
-    """How a fetch went, by its first failing sign; null is healthy."""
+    """How a fetch went, by its first failing sign; null is healthy so far. A wrong type, a challenge in the body
+    (``challenge``) and a body far below the source's usual size are blocks, whatever the status says."""
+    no = F.lit(False)
     return (
-        F.when(status.isin(401, 403, 429) | F.coalesce(challenge, F.lit(False)), "anti_bot")
-        .when(status >= 500, "transient")
+        F.when(status.isin(*TRANSIENT_STATUSES), "transient")
+        .when(status.isin(*ANTI_BOT_STATUSES), "anti_bot")
+        .when(expects_json & ~F.coalesce(is_json, no), "anti_bot")
+        .when(F.coalesce(challenge, no), "anti_bot")
+        .when(F.coalesce((median_size > 0) & (size < SOFT_BLOCK * median_size), no), "anti_bot")
         .when(status >= 400, "unknown")
-        .when(expects_json & ~is_json, "parser_rot")
-        .when(size < 0.2 * median_size, "degradation")
     )

@@ -1,4 +1,6 @@
-"""One collection run, end to end: parsed listings to verdicts. Each step is a DataFrame to a DataFrame; nothing runs until it is read."""
+"""One collection run, end to end: parsed listings to verdicts. Each step is a DataFrame to a DataFrame; nothing runs until it is read.
+Write what ``read_titles`` and ``resolved`` return before the next step reads it: their expressions are long, and planning them again
+for each step takes longer than the rows do."""
 
 from __future__ import annotations
 
@@ -36,16 +38,21 @@ def read_titles(offers: DataFrame) -> DataFrame:
     text = F.when(label != "", F.concat_ws(" | ", "title", label)).otherwise(F.col("title"))
     rows = offers.withColumn("canonical", title.canonical_title(text)).withColumn("listing_id", F.xxhash64("site", "source_listing_key"))
     a = title.attributes(F.col("canonical"))
-    wanted = ("capacity", "interface", "form_factor", "brand", "condition", "quantity", "recording")
+    wanted = ("capacity", "interface", "form_factor", "sector_format", "security", "brand", "families", "condition", "quantity", "recording")
     return rows.withColumns({**{f"said_{k}": a[k] for k in wanted}, "candidates": candidates.candidates(F.col("canonical"), F.col("mpn")), "priced_quantity": title.offer_quantity(F.col("canonical"))})
 
 
-def resolved(offers: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolved(offers: DataFrame, aliases: DataFrame, priors: DataFrame | None = None) -> DataFrame:
     """The ladder's decision for each offer that ``read_titles`` made."""
-    rows = offers.select("listing_id", "site", "candidates", F.col("said_brand").alias("brand"), F.coalesce("said_quantity.n", F.lit(1)).alias("quantity"), candidates.distinct_mpns(F.col("candidates")).alias("n_mpns"))
+    sure = lambda c, least: F.when(F.col(f"{c}.confidence") >= least, F.col(c))
+    spec = F.struct(F.col("said_capacity.bytes").alias("capacity"), F.col("said_interface").alias("interface"), F.col("said_form_factor").alias("form_factor"), F.col("said_sector_format").alias("sector_format"), F.col("said_security").alias("security"), F.lit(None).cast("struct<brand: string, name: string>").alias("family"))
+    mentions = F.transform("said_families", lambda f: F.struct(F.split_part(f, F.lit("/"), F.lit(1)).alias("brand"), F.split_part(f, F.lit("/"), F.lit(2)).alias("name")))
+    rows = offers.select("listing_id", "site", "candidates", F.col("said_brand").alias("brand"), sure("said_quantity", 0.9)["n"].alias("quantity"), candidates.mpns(F.col("candidates")).alias("mpns"), spec.alias("spec"), mentions.alias("mentions"))
     token = F.get(F.filter("candidates", lambda c: c["kind"] == "manufacturer_mpn"), F.lit(0))["norm"]
-    decoded = rows.select("listing_id", mpn.decode(token).alias("d")).where("d is not null").select("listing_id", "d.vendor", "d.family")
-    return resolve.decide(rows, resolve.alias_hits(rows, aliases), decoded)
+    decoded = rows.select("listing_id", mpn.decode(token).alias("d")).where("d is not null").select("listing_id", "d.vendor", "d.family", F.col("d.capacity_bytes").alias("capacity"), "d.provenance")
+    hits = resolve.alias_hits(rows, aliases)
+    hits = hits.withColumn("vendor", F.when(F.col("kind") == "manufacturer_mpn", mpn.decode(F.col("norm"))["vendor"]))
+    return resolve.decide(rows, hits, decoded, priors)
 
 
 def _catalog_or_unknown(required: Column, value: Column, ok: Column, contradicts: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,22 +9,9 @@ from pyspark.sql import types as T
 from ..functions import keys, money, mpn, title
 from ..operators import alerts, asof, completeness, eligibility, latest, lifecycle, presence, reports, resolve, runs, score
 from ..sources import listings
-from ..streaming import heartbeat
+from ..streaming import heartbeat, sources
 from .common import table, work_path
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from .registry import QUERIES, SQL, Query, query
 
 
 # shortlist: parts are the catalog, their newest line items the offers, a literal watch the requirement
@@ -143,9 +128,8 @@ FROM (SELECT *, CASE WHEN event_type = 'view' THEN props END AS note FROM events
 def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newer half is upserted into the older; a note that is null never overwrites one."""
     rows = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_type", F.when(F.col("event_type") == "view", F.col("props")).alias("note"))
-    old = latest.upsert(rows.where("at.event_id % 2 = 0"), rows.where("at.event_id < 0"), ["user_id"], "at", ["note"])
     # as both halves interleave in time, older rows of the second half must not win
-    return latest.upsert(rows.where("at.event_id % 2 = 0"), rows.where("at.event_id % 2 = 1"), ["user_id"], "at", ["note"]).join(old.select("user_id"), "user_id", "full").select("user_id", "event_type", "note")
+    return latest.upsert(rows.where("at.event_id % 2 = 0"), rows.where("at.event_id % 2 = 1"), ["user_id"], "at", ["note"]).select("user_id", "event_type", "note")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -172,13 +156,13 @@ def q_asof_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.asof_backward(bought, views, "user_id", "ts", "view_ts", 7 * 86_400, ["view_ts", "view_id"]).select("event_id", "view_ts", "view_id")
 
 
-@query("""WITH r AS (SELECT event_type AS base, CAST(ts AS DATE) AS d, count(*) AS rate FROM events WHERE event_type IN ('error', 'signup') AND day(ts) % 9 = 1 GROUP BY 1, 2),
+@query("""WITH r AS (SELECT event_type AS base, CAST(ts AS DATE) AS d, count(*) AS rate FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1, 2 HAVING count(*) > 90),
 p AS (SELECT event_id, CAST(ts AS DATE) AS d, CASE user_id % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'error' WHEN 2 THEN 'signup' ELSE 'none' END AS currency FROM events WHERE event_type = 'purchase')
 SELECT event_id, currency, CAST(CASE WHEN currency = 'USD' THEN 1 ELSE r.rate END AS BIGINT) AS fx_rate, CAST(CASE WHEN currency = 'USD' THEN p.d ELSE r.d END AS VARCHAR) AS fx_date
 FROM p LEFT JOIN LATERAL (SELECT d, rate FROM r WHERE r.base = p.currency AND r.d <= p.d AND r.d >= p.d - 7 ORDER BY d DESC LIMIT 1) r ON true""")
 def q_fx_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
-    rates = e.where("event_type in ('error', 'signup') and day(ts) % 9 = 1").groupBy(F.col("event_type").alias("base"), F.col("d").alias("rate_date")).agg(F.count(F.lit(1)).alias("rate")).withColumn("source", F.lit("events"))
+    rates = e.where("event_type in ('error', 'signup')").groupBy(F.col("event_type").alias("base"), F.col("d").alias("rate_date")).agg(F.count(F.lit(1)).alias("rate")).where("rate > 90").withColumn("source", F.lit("events"))
     currency = F.when(F.col("user_id") % 4 == 0, "USD").when(F.col("user_id") % 4 == 1, "error").when(F.col("user_id") % 4 == 2, "signup").otherwise("none")
     bought = e.where("event_type = 'purchase'").select("event_id", "d", currency.alias("currency"))
     return asof.stamp_rates(bought, rates, "currency", "d").select("event_id", "currency", F.col("fx_rate").cast("long").alias("fx_rate"), F.col("fx_date").cast("string").alias("fx_date"))
@@ -219,20 +203,35 @@ def q_absent_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presence.unseen(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), o, ["c_custkey"])
 
 
-@query("""WITH l AS (SELECT user_id, user_id % 5 AS scope, max(ts) AS last_seen FROM events GROUP BY user_id),
-s AS (SELECT user_id % 5 AS scope, max(ts) AS swept, max(CASE WHEN event_type <> 'error' THEN ts END) AS complete_at FROM events WHERE user_id % 5 < 4 GROUP BY 1),
+@query("""WITH l AS (SELECT user_id, user_id % 5 AS scope, max(CASE WHEN event_type = 'signup' THEN ts END) AS last_seen FROM events GROUP BY user_id),
+w AS (SELECT user_id % 5 AS scope, ts, user_id % 5 = 0 AND event_type <> 'error' AS complete, CASE WHEN user_id % 5 < 3 THEN TIMESTAMP '2024-01-02' ELSE TIMESTAMP '2024-01-30' END AS since FROM events WHERE user_id % 5 < 4),
+s AS (SELECT scope, max(CASE WHEN complete THEN ts END) AS complete_at, max(CASE WHEN NOT complete AND scope <> 1 AND ts - since >= INTERVAL 2 DAY THEN ts END) AS stale_at FROM w GROUP BY 1),
 seen AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-28'),
-j AS (SELECT l.user_id, last_seen, swept, complete_at, seen.user_id IS NOT NULL AS there FROM l LEFT JOIN s USING (scope) LEFT JOIN seen ON l.user_id = seen.user_id)
-SELECT user_id, CASE WHEN NOT there AND last_seen <= complete_at THEN complete_at WHEN NOT there AND swept IS NOT NULL AND last_seen < TIMESTAMP '2024-01-20' THEN swept END AS delisted_at,
-CASE WHEN NOT there AND last_seen <= complete_at THEN 'absent_from_complete_sweep' WHEN NOT there AND swept IS NOT NULL AND last_seen < TIMESTAMP '2024-01-20' THEN 'stale' END AS delist_reason FROM j""")
+j AS (SELECT l.user_id, last_seen, complete_at, stale_at, seen.user_id IS NOT NULL AS there FROM l LEFT JOIN s USING (scope) LEFT JOIN seen ON l.user_id = seen.user_id),
+k AS (SELECT *, NOT there AND complete_at IS NOT NULL AND coalesce(last_seen <= complete_at, true) AS gone, NOT there AND coalesce(last_seen < stale_at - INTERVAL 2 DAY, false) AS stale FROM j)
+SELECT user_id, CASE WHEN gone THEN complete_at WHEN stale THEN stale_at END AS delisted_at, CASE WHEN gone THEN 'absent_from_complete_sweep' WHEN stale THEN 'stale' END AS delist_reason FROM k""")
 def q_delist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users are listings, a fifth of them a scope, events its sweeps (errors incomplete), late purchases the observations."""
+    """Users are listings last seen when they signed up, a fifth of them a scope, events its sweeps, late purchases the observations."""
     e = table(spark, sf_dir, "events").withColumn("scope", F.col("user_id") % 5).withColumn("site", F.lit(1))
-    rows = e.groupBy("site", "scope", F.col("user_id").alias("key")).agg(F.max("ts").alias("last_seen")).withColumn("delisted_at", F.lit(None).cast("timestamp_ntz")).withColumn("delist_reason", F.lit(None).cast("string"))
-    swept = e.where("scope < 4").select("site", "scope", F.col("ts").alias("swept_at"), (F.col("event_type") != "error").alias("complete"))
+    rows = e.groupBy("site", "scope", F.col("user_id").alias("key")).agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("last_seen"))
+    rows = rows.withColumn("delisted_at", F.lit(None).cast("timestamp_ntz")).withColumn("delist_reason", F.lit(None).cast("string"))
+    since = F.when(F.col("scope") < 3, F.expr("timestamp_ntz'2024-01-02'")).otherwise(F.expr("timestamp_ntz'2024-01-30'"))
+    swept = e.where("scope < 4").select("site", "scope", F.col("ts").alias("swept_at"), ((F.col("scope") == 0) & (F.col("event_type") != "error")).alias("complete"), (F.col("scope") != 1).alias("stale_allowed"), since.alias("continuous_since"), F.lit(172_800).alias("grace_s"))
     there = e.where("event_type = 'purchase' and ts >= timestamp_ntz'2024-01-28'").select("site", F.col("user_id").alias("key"))
-    out = presence.delist(rows, swept, there, F.expr("timestamp_ntz'2024-01-20'"))
-    return out.select(F.col("key").alias("user_id"), "delisted_at", "delist_reason")
+    return presence.delist(rows, swept, there).select(F.col("key").alias("user_id"), F.col("delisted_at").cast("timestamp_ntz").alias("delisted_at"), "delist_reason")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id % 10 AS scope, event_id AS n, ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL '-3 days' ELSE INTERVAL 0 SECOND END AS moment, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS i FROM events),
+f AS (SELECT DISTINCT scope, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS since, CAST(NULL AS TIMESTAMP) AS newest, CAST(NULL AS TIMESTAMP) AS broken, CAST(NULL AS TIMESTAMP) AS said FROM e
+UNION ALL SELECT f.scope, e.n, e.i, CASE WHEN NOT ok THEN NULL WHEN moment <= broken OR moment < newest THEN since WHEN since IS NULL OR newest IS NULL OR moment - newest > INTERVAL '9000 seconds' THEN moment ELSE since END,
+CASE WHEN ok AND NOT coalesce(moment <= broken OR moment < newest, false) THEN moment ELSE newest END, CASE WHEN NOT ok AND coalesce(broken < moment, true) THEN moment ELSE broken END,
+CASE WHEN ok AND NOT coalesce(moment <= broken, false) AND NOT coalesce(moment < newest, false) THEN CASE WHEN since IS NULL OR newest IS NULL OR moment - newest > INTERVAL '9000 seconds' THEN moment ELSE since END END FROM f JOIN e ON e.scope = f.scope AND e.i = f.i + 1)
+SELECT n AS event_id, said AS continuous_since FROM f WHERE i > 0""")
+def q_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenths of the users are scopes, events their sweeps in order of arrival, a seventh of them reports of three days ago, errors breaks."""
+    late = F.when(F.col("event_id") % 7 == 0, F.expr("ts - interval 3 days")).otherwise(F.col("ts"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("scope"), "event_id", late.alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return presence.continuity(rows, ["scope"], "at", "event_id", F.col("ok"), F.lit(9000)).select("event_id", "continuous_since")
 
 
 @query("""SELECT fate, event_type, count(*) AS n FROM (SELECT event_type, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN 'keep'
@@ -255,13 +254,20 @@ def q_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _READINGS_SQL = """SELECT event_id, user_id, ts, value, CASE event_type WHEN 'purchase' THEN 'out_of_stock' WHEN 'error' THEN 'unknown' WHEN 'signup' THEN NULL ELSE 'in_stock' END AS stock FROM events"""
 
 
-@query(f"""SELECT event_id, CASE WHEN stock IS NULL THEN 'failed' WHEN stock = 'unknown' THEN 'ambiguous' WHEN n = 1 THEN 'transition_detected'
-WHEN stock IS DISTINCT FROM was_stock THEN 'transition_detected' WHEN value < was AND (was - value) / was >= 0.1 THEN 'transition_detected' ELSE 'unchanged' END AS decision
-FROM (SELECT *, lag(stock) OVER w AS was_stock, lag(value) OVER w AS was, row_number() OVER w AS n FROM ({_READINGS_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+def _stock() -> F.Column:
+    kind = F.col("event_type")
+    return F.when(kind == "purchase", "out_of_stock").when(kind == "error", "unknown").when(kind != "signup", "in_stock")
+
+
+_DECISIONS_SQL = f"""SELECT event_id, user_id, ts, CASE WHEN stock IS NULL THEN 'failed' WHEN stock = 'unknown' THEN 'ambiguous' WHEN was IS NULL THEN 'transition_detected'
+WHEN stock <> was_stock OR (value < was AND (was - value) / was >= 0.1) THEN 'transition_detected' ELSE 'unchanged' END AS decision
+FROM (SELECT *, last_value(CASE WHEN stock IS NOT NULL THEN stock END IGNORE NULLS) OVER w AS was_stock, last_value(CASE WHEN stock IS NOT NULL THEN value END IGNORE NULLS) OVER w AS was FROM ({_READINGS_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"SELECT event_id, decision FROM ({_DECISIONS_SQL})")
 def q_change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    stock = F.when(F.col("event_type") == "purchase", "out_of_stock").when(F.col("event_type") == "error", "unknown").when(F.col("event_type") != "signup", "in_stock")
-    rows = e.select("event_id", "user_id", "ts", "value", stock.alias("stock"))
+    rows = e.select("event_id", "user_id", "ts", "value", _stock().alias("stock"))
     out = runs.change_decisions(rows, ["user_id"], "ts", "event_id", "value", "stock", keys.reading_fingerprint(F.col("value"), F.col("stock")), 0.1)
     return out.select("event_id", "decision")
 
@@ -348,11 +354,12 @@ def q_matcher_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.precision(table(spark, sf_dir, "events"), F.col("value") > 50, F.col("user_id") % 200 != 0, ["event_type"])
 
 
-@query("SELECT coalesce(c_mktsegment, 'none') AS c_mktsegment, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) ON o_custkey = c_custkey GROUP BY 1")
+@query("SELECT coalesce(CASE WHEN c_acctbal >= 0 THEN c_mktsegment END, 'none') AS c_mktsegment, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def q_grain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids repeat and count as often as they do."""
-    batches = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey") % 1000).agg(F.collect_list("o_custkey").alias("ids"))
-    return reports.grain_counts(batches, "ids", table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0"), "c_custkey", "c_mktsegment")
+    """Ids repeat and count as often as they do; a thousand orders are a batch. Customers in debt have no segment."""
+    batches = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000)).agg(F.collect_list("o_custkey").alias("ids"))
+    named = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return reports.grain_counts(batches, "ids", named, "c_custkey", "c_mktsegment")
 
 
 @query("""SELECT o_custkey, n AS n_members, CASE WHEN a AND s THEN v END AS o_orderstatus, CASE WHEN a AND p THEN w END AS o_orderpriority FROM (
@@ -378,13 +385,13 @@ def q_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
 # money, text, catalog
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_extendedprice AS DECIMAL(10,2)) + CAST(coalesce(CASE WHEN l_tax > 0.02 THEN 9.5 END, 0) AS DECIMAL(10,2)) AS VARCHAR) AS landed,
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_extendedprice AS DECIMAL(10,2)) + CAST(coalesce(CASE WHEN l_returnflag <> 'R' THEN l_discount END, 0) AS DECIMAL(10,2)) + CAST(coalesce(CASE WHEN l_tax > 0.02 THEN 9.5 END, 0) AS DECIMAL(10,2)) AS VARCHAR) AS landed,
 CASE WHEN l_returnflag = 'R' THEN 'unknown' WHEN l_discount = 0 THEN 'free' ELSE 'paid' END AS shipping FROM lineitem""")
 def q_landed_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     ship = F.when(F.col("l_returnflag") != "R", F.col("l_discount"))
     tax = F.when(F.col("l_tax") > 0.02, F.lit("9.50").cast("decimal(10,2)"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", money.landed_total(F.col("l_extendedprice"), F.lit(None).cast("decimal(10,2)"), tax).cast("string").alias("landed"), money.shipping_bucket(ship).alias("shipping"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", money.landed_total(F.col("l_extendedprice"), ship, tax).cast("string").alias("landed"), money.shipping_bucket(ship).alias("shipping"))
 
 
 @query("SELECT p_partkey, regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]', '', 'g') AS alias_key, sha256(p_name) AS name_hash FROM part")
@@ -419,44 +426,120 @@ def q_title_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT regexp_replace(lower(p_type || p_size), '[^a-z0-9]', '', 'g') AS norm, CASE p_partkey % 3 WHEN 0 THEN 'mpn' WHEN 1 THEN 'oem_pn' ELSE 'house_sku' END AS alias_type, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 25 END AS site, p_partkey AS model_id FROM part),
-l AS (SELECT s_suppkey AS listing_id, s_nationkey AS site, regexp_replace(lower(p_type || p_size), '[^a-z0-9]', '', 'g') AS norm, CASE WHEN s_suppkey % 2 = 0 THEN 'manufacturer_mpn' ELSE 'structured' END AS kind FROM supplier JOIN part ON p_partkey = s_suppkey)
-SELECT listing_id, l.norm AS norm, kind, alias_type, model_id FROM l JOIN a ON l.norm = a.norm WHERE (a.site IS NULL OR a.site = l.site) AND (kind = 'structured' OR alias_type = 'mpn')""")
+l AS (SELECT event_id AS listing_id, user_id % 25 AS site, regexp_replace(lower(p_type || p_size), '[^a-z0-9]', '', 'g') AS norm, CASE event_type WHEN 'click' THEN 'manufacturer_mpn' WHEN 'view' THEN 'oem' WHEN 'error' THEN 'house_sku' ELSE 'structured' END AS kind FROM events JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part))
+SELECT listing_id, count(*) AS hits, count(DISTINCT model_id) AS models, sum(model_id) AS sum_model, count(*) FILTER (WHERE alias_type = 'oem_pn') AS oem FROM l JOIN a ON l.norm = a.norm WHERE (a.site IS NULL OR a.site = l.site) AND CASE kind WHEN 'manufacturer_mpn' THEN alias_type = 'mpn' WHEN 'oem' THEN alias_type = 'oem_pn' WHEN 'house_sku' THEN alias_type = 'house_sku' ELSE true END GROUP BY listing_id""")
 def q_alias_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).select("listing_id", "norm", "kind", "alias_type", "model_id")
-
-
-def _part_key() -> F.Column:
-    return keys.alias_key_ascii(F.concat("p_type", "p_size"))
-
-
-def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
-    kind = F.when(F.col("s_suppkey") % 2 == 0, "manufacturer_mpn").otherwise("structured")
-    rows = s.join(p, F.col("s_suppkey") == F.col("p_partkey"))
-    brand = F.when(F.col("s_suppkey") % 3 != 0, F.col("p_brand"))
-    return rows.select(F.col("s_suppkey").alias("listing_id"), F.col("s_nationkey").alias("site"), F.array(F.struct(_part_key().alias("norm"), kind.alias("kind"))).alias("candidates"), brand.alias("brand"), (F.col("s_suppkey") % 4).alias("quantity"), F.lit(1).alias("n_mpns"))
+    """Every event is a listing whose candidate is the key of some part."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    key = keys.alias_key_ascii(F.concat("p_type", "p_size"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (F.col("event_id") % part.count()).alias("n"))
+    kind = F.when(F.col("event_type") == "click", "manufacturer_mpn").when(F.col("event_type") == "view", "oem").when(F.col("event_type") == "error", "house_sku").otherwise("structured")
+    rows = e.join(part, F.col("n") == k).select(F.col("event_id").alias("listing_id"), (F.col("user_id") % 25).alias("site"), F.array(F.struct(key.alias("norm"), kind.alias("kind"))).alias("candidates"))
+    alias_type = F.when(k % 3 == 0, "mpn").when(k % 3 == 1, "oem_pn").otherwise("house_sku")
+    aliases = part.select(key.alias("norm"), alias_type.alias("alias_type"), F.when(k % 4 == 0, k % 25).alias("site"), k.alias("model_id"), F.col("p_size").alias("family_id"), F.col("p_brand").alias("brand"))
+    hits = resolve.alias_hits(rows, aliases)
+    return hits.groupBy("listing_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("model_id").alias("models"), F.sum("model_id").alias("sum_model"), F.count_if(F.col("alias_type") == "oem_pn").alias("oem"))
+
+
+_LADDER_SQL = """
+WITH makers AS (SELECT unnest(range(6)) AS i, unnest(['western_digital', 'hgst', 'seagate', 'toshiba', 'sandisk', 'samsung']) AS maker, unnest(['ultrastar', 'ultrastar', 'ironwolf', 'n300', 'optimus', 'evo']) AS line),
+listing AS (
+  SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'western_digital' WHEN '2-HIGH' THEN 'seagate' WHEN '3-MEDIUM' THEN 'toshiba' END AS brand, o_custkey % 11 = 0 AS lot, o_custkey % 7 = 0 AS two,
+         CASE WHEN o_orderstatus = 'P' THEN o_custkey % 4 + 1 END AS tb, CASE WHEN o_custkey % 6 = 0 THEN 'sas' END AS bus, o_custkey % 5 = 0 AS says_pro, o_custkey % 2 = 0 AS decodes, o_custkey % 13 = 0 AS has_prior,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 0.92 WHEN '2-HIGH' THEN 0.85 ELSE 0.75 END AS source
+  FROM orders
+),
+hit AS (
+  SELECT l_orderkey AS id, 'n' || (l_linenumber % 3) AS norm, CASE WHEN l_orderkey % 3 = 0 OR l_returnflag = 'R' THEN 'oem_pn' ELSE 'mpn' END AS kind,
+         CASE WHEN l_linestatus = 'O' THEN 0.98 WHEN l_suppkey % 3 = 0 THEN 0.95 WHEN l_suppkey % 3 = 1 THEN 0.85 ELSE 0.5 END AS trust,
+         'f' || (p_size % 12 // 2) AS family, 'm' || (p_size % 12) AS model, maker, line, CASE WHEN l_discount < 0.03 THEN maker WHEN l_discount < 0.05 THEN 'toshiba' ELSE '' END AS vendor,
+         l_tax >= 0.06 AS structured, l_quantity > 40 AS doubt_only, p_size % 4 + 1 AS tb, CASE WHEN p_size % 3 = 0 THEN 'sas' ELSE 'sata' END AS bus
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN makers ON i = p_size % 12 // 2
+),
+kin AS (SELECT * FROM (VALUES ('western_digital'), ('hgst'), ('sandisk')) k(brand)),
+judged AS (
+  SELECT h.*, l.brand IS NULL OR l.brand = maker OR (l.brand IN (FROM kin) AND maker IN (FROM kin)) AS agrees,
+         coalesce(l.tb <> h.tb, false) OR coalesce(l.bus <> h.bus, false) OR (says_pro AND maker = 'seagate') AS vetoed
+  FROM hit h JOIN listing l USING (id)
+),
+ground AS (SELECT id, count(*) AS n FROM judged WHERE NOT doubt_only GROUP BY id),
+viable AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY trust DESC, norm, kind, family, model, vendor, structured) AS rn FROM judged WHERE agrees AND NOT doubt_only),
+fit AS (SELECT id, count(*) AS n, count(DISTINCT model) AS targets, count(DISTINCT family) AS families, bool_and(kind = 'oem_pn') AS oem, bool_or(NOT vetoed) AS clean, min(family) AS family, min(line) FILTER (WHERE NOT vetoed) AS line, min(maker) AS maker FROM viable GROUP BY id),
+best AS (SELECT * FROM viable WHERE rn = 1),
+named AS (SELECT id, count(DISTINCT norm) AS norms, bool_or(model = 'm5') AS m5 FROM hit GROUP BY id),
+shared AS (SELECT id, max(n) AS most FROM (SELECT id, model, count(DISTINCT norm) AS n FROM hit GROUP BY id, model) GROUP BY id),
+mpns AS (SELECT id, count(DISTINCT norm) AS norms, count(DISTINCT model) AS models FROM hit WHERE norm IN ('n0', 'n1') GROUP BY id),
+rung AS (
+  SELECT l.*, g.n AS grounded, CASE
+    WHEN has_prior THEN CASE WHEN l.tb <> 2 OR l.bus <> 'sata' THEN '0review:veto' ELSE '0accept:prior' END
+    WHEN g.n > 0 AND f.n IS NULL THEN '1review:brand_contradicts_exact_alias'
+    WHEN g.n > 0 AND targets = 1 AND b.vetoed THEN '1review:veto'
+    WHEN g.n > 0 AND targets = 1 AND NOT (l.brand IS NOT NULL OR b.structured OR b.vendor = b.maker OR (b.vendor IN (FROM kin) AND b.maker IN (FROM kin))) THEN '1review:no_brand_evidence'
+    WHEN g.n > 0 AND targets = 1 THEN '1accept:exact_alias'
+    WHEN g.n > 0 AND families = 1 AND oem AND clean THEN '1accept:oem_fan_out'
+    WHEN g.n > 0 THEN '1review:conflicting_targets'
+    WHEN NOT decodes THEN '-none:no_evidence'
+    WHEN coalesce(l.brand <> 'seagate', false) THEN '2review:brand_contradicts_decode'
+    WHEN says_pro THEN '2review:family_contradicts_decode'
+    WHEN coalesce(l.tb <> 2, false) THEN '2review:veto'
+    ELSE '2accept:mpn_decode' END AS r, b.model AS best_model, b.trust AS best_trust, f.family AS fan_family,
+    CASE WHEN has_prior THEN 'toshiba' WHEN g.n > 0 AND targets = 1 THEN b.maker WHEN g.n > 0 THEN f.maker ELSE 'seagate' END AS g_maker,
+    CASE WHEN has_prior THEN 'n300' WHEN g.n > 0 AND targets = 1 THEN b.line WHEN g.n > 0 THEN f.line ELSE 'ironwolf' END AS g_line,
+    CASE WHEN has_prior THEN 2 WHEN g.n > 0 AND targets = 1 THEN b.tb WHEN g.n > 0 THEN NULL ELSE 2 END AS g_tb,
+    CASE WHEN has_prior THEN 'm5' WHEN g.n > 0 AND targets = 1 THEN b.model END AS g_model
+  FROM listing l LEFT JOIN ground g USING (id) LEFT JOIN fit f USING (id) LEFT JOIN best b USING (id)
+),
+beside AS (
+  SELECT r.id, bool_or(coalesce(h.tb <> g_tb, false) OR NOT ((h.maker = g_maker OR (h.maker IN (FROM kin) AND g_maker IN (FROM kin))) AND h.line = g_line)) AS disowned
+  FROM rung r JOIN hit h ON r.id = h.id WHERE doubt_only AND h.model IS DISTINCT FROM g_model GROUP BY r.id
+),
+whys AS (
+  SELECT r.*, concat_ws(',', CASE WHEN n.norms > 1 AND s.most < n.norms THEN 'conflicting_alias_models' END, CASE WHEN r[1] = '0' AND n.id IS NOT NULL AND NOT n.m5 THEN 'prior_model_not_named' END,
+    CASE WHEN disowned THEN 'review_only_alias_conflict' END, CASE WHEN lot THEN 'lot' END, CASE WHEN two AND NOT coalesce(p.norms = 2 AND p.models = 1, false) THEN 'multiple_mpns' END) AS why
+  FROM rung r LEFT JOIN named n USING (id) LEFT JOIN shared s USING (id) LEFT JOIN mpns p USING (id) LEFT JOIN beside USING (id)
+),
+said AS (SELECT *, regexp_extract(r, '.([a-z]+):', 1) AS o, split_part(r, ':', 2) AS reason, r LIKE '%accept%' AND why <> '' AS down FROM whys)
+SELECT id AS listing_id, CASE WHEN down THEN 'review' ELSE o END AS outcome, CASE WHEN r[1] <> '-' THEN CAST(r[1] AS INTEGER) END AS rung,
+  CASE WHEN down OR o <> 'accept' THEN 'none' WHEN reason IN ('prior', 'exact_alias') THEN 'model' ELSE 'family' END AS grain,
+  CASE WHEN down OR o <> 'accept' THEN NULL WHEN reason = 'prior' THEN 'm5' WHEN reason = 'exact_alias' THEN best_model WHEN reason = 'oem_fan_out' THEN fan_family ELSE 'seagate/ironwolf' END AS target,
+  CAST(CASE WHEN down OR o <> 'accept' THEN 0 WHEN reason = 'prior' THEN 0.9 WHEN reason = 'exact_alias' THEN best_trust WHEN reason = 'oem_fan_out' THEN 0.8 ELSE source END AS DOUBLE) AS confidence,
+  CASE WHEN down THEN why ELSE reason END AS reason
+FROM said
+"""
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    kind = F.when(k % 3 == 0, "mpn").when(k % 3 == 1, "oem_pn").otherwise("house_sku")
-    aliases = table(spark, sf_dir, "part").select(_part_key().alias("norm"), kind.alias("alias_type"), F.when(k % 4 == 0, k % 25).alias("site"), k.alias("model_id"), F.col("p_size").alias("family_id"), F.col("p_brand").alias("brand"))
-    return resolve.alias_hits(_listings(spark, sf_dir), aliases)
-
-
-@query("""WITH a AS (SELECT regexp_replace(lower(p_type || p_size), '[^a-z0-9]', '', 'g') AS norm, CASE p_partkey % 3 WHEN 0 THEN 'mpn' WHEN 1 THEN 'oem_pn' ELSE 'house_sku' END AS alias_type, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 25 END AS site, p_partkey AS model_id, p_size AS family_id, p_brand AS b FROM part),
-l AS (SELECT s_suppkey AS listing_id, s_nationkey AS site, regexp_replace(lower(p_type || p_size), '[^a-z0-9]', '', 'g') AS norm, CASE WHEN s_suppkey % 2 = 0 THEN 'manufacturer_mpn' ELSE 'structured' END AS kind, CASE WHEN s_suppkey % 3 <> 0 THEN p_brand END AS brand, s_suppkey % 4 AS quantity FROM supplier JOIN part ON p_partkey = s_suppkey),
-h AS (SELECT listing_id, count(DISTINCT model_id) AS models, min(model_id) AS model, count(DISTINCT family_id) AS families, min(family_id) AS family, bool_and(alias_type = 'oem_pn') AS oem, bool_or(b = brand) AS agrees FROM l JOIN a ON l.norm = a.norm WHERE (a.site IS NULL OR a.site = l.site) AND (kind = 'structured' OR alias_type = 'mpn') GROUP BY listing_id),
-r AS (SELECT l.listing_id, quantity, brand, CASE WHEN models IS NULL THEN 'none' WHEN brand IS NOT NULL AND NOT agrees THEN 'brand_contradiction' WHEN models = 1 THEN 'alias' WHEN oem AND families = 1 THEN 'oem_fan_out' ELSE 'conflicting_targets' END AS rung, model, family FROM l LEFT JOIN h USING (listing_id)),
-d AS (SELECT *, rung IN ('alias', 'oem_fan_out') AND quantity > 1 AS down FROM r)
-SELECT listing_id, CASE WHEN down THEN 'review' WHEN rung IN ('alias', 'oem_fan_out') THEN 'accept' WHEN rung = 'none' THEN 'none' ELSE 'review' END AS outcome,
-CASE WHEN down THEN 'none' WHEN rung = 'alias' THEN 'model' WHEN rung = 'oem_fan_out' THEN 'family' ELSE 'none' END AS grain,
-CASE WHEN down THEN NULL WHEN rung = 'alias' THEN CAST(model AS VARCHAR) WHEN rung = 'oem_fan_out' THEN CAST(family AS VARCHAR) END AS target,
-CASE WHEN down THEN 0.0 WHEN rung = 'alias' AND brand IS NULL THEN 0.95 WHEN rung = 'alias' THEN 0.98 WHEN rung = 'oem_fan_out' THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence,
-CASE WHEN down THEN 'lot' WHEN rung = 'none' THEN 'no_evidence' ELSE rung END AS reason FROM d""")
+@query(_LADDER_SQL)
 def q_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "listing_id long, vendor string, family string")
-    return resolve.decide(_listings(spark, sf_dir), _hits(spark, sf_dir), none)
+    """Orders are listings and their lines are hits on models made from parts: every rung, veto and ambiguity occurs."""
+    o, c, size = table(spark, sf_dir, "orders"), F.col("o_custkey"), F.col("p_size")
+    pick = lambda n, *xs: F.get(F.array(*map(F.lit, xs)), n.cast("int"))
+    null = lambda kind: F.lit(None).cast(kind)
+    tera = lambda n: n.cast("long") * 10**12
+
+    def spec(capacity: F.Column, interface: F.Column, maker: F.Column, line: F.Column) -> F.Column:
+        words = [interface.alias("interface"), *[null("string").alias(w) for w in ("form_factor", "sector_format", "security")]]
+        return F.struct(capacity.alias("capacity"), *words, F.struct(maker.alias("brand"), line.alias("name")).alias("family"))
+
+    pro = F.array(F.struct(F.lit("seagate").alias("brand"), F.lit("ironwolf pro").alias("name")))
+    said = spec(F.when(F.col("o_orderstatus") == "P", tera(c % 4 + 1)), F.when(c % 6 == 0, "sas"), null("string"), null("string"))
+    urgent = F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    lst = o.select(
+        F.col("o_orderkey").alias("listing_id"), pick(urgent, "western_digital", "seagate", "toshiba", None, None).alias("brand"), F.when(c % 11 == 0, 2).otherwise(1).alias("quantity"),
+        F.when(c % 7 == 0, F.array(F.lit("n0"), F.lit("n1"))).otherwise(F.array(F.lit("n0"))).alias("mpns"), said.alias("spec"), F.when(c % 5 == 0, pro).alias("mentions"),
+    )
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    nth = F.floor(size % 12 / 2)
+    maker, line = pick(nth, "western_digital", "hgst", "seagate", "toshiba", "sandisk", "samsung"), pick(nth, "ultrastar", "ultrastar", "ironwolf", "n300", "optimus", "evo")
+    hits = li.select(
+        F.col("l_orderkey").alias("listing_id"), F.concat(F.lit("n"), F.col("l_linenumber") % 3).alias("norm"), F.when((F.col("l_orderkey") % 3 == 0) | (F.col("l_returnflag") == "R"), "oem_pn").otherwise("mpn").alias("alias_type"),
+        F.when(F.col("l_linestatus") == "O", "catalog_authoritative").otherwise(pick(F.col("l_suppkey") % 3, "manual", "listing_derived", None)).alias("source_kind"), F.concat(F.lit("f"), nth).alias("family_id"), F.concat(F.lit("m"), size % 12).alias("model_id"),
+        maker.alias("brand"), F.when(F.col("l_discount") < 0.03, maker).when(F.col("l_discount") < 0.05, "toshiba").otherwise("").alias("vendor"), (F.col("l_tax") >= 0.06).alias("structured"), (F.col("l_quantity") > 40).alias("review_only"),
+        spec(tera(size % 4 + 1), F.when(size % 3 == 0, "sas").otherwise("sata"), maker, line).alias("spec"),
+    )
+    decoded = o.where(c % 2 == 0).select(F.col("o_orderkey").alias("listing_id"), F.lit("seagate").alias("vendor"), F.lit("ironwolf").alias("family"), F.lit(2 * 10**12).alias("capacity"), pick(urgent, "vendor_official", "corroborated_community", "inferred", "inferred", "inferred").alias("provenance"))
+    prior = spec(F.lit(2 * 10**12), F.lit("sata"), F.lit("toshiba"), F.lit("n300"))
+    priors = o.where(c % 13 == 0).select(F.col("o_orderkey").alias("listing_id"), F.lit("model").alias("grain"), F.lit("m5").alias("target"), F.lit("m5").alias("model_id"), F.lit(0.9).alias("confidence"), prior.alias("spec"))
+    return resolve.decide(lst, hits, decoded, priors)
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS n_links, sha256(url) AS url_hash FROM pages""")
@@ -510,29 +593,54 @@ def q_price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # completeness and alerts
 
 
-@query("""WITH p AS (SELECT o_custkey AS sweep, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page_no, o_orderkey, o_orderkey % 17 = 0 AS dropped, o_orderkey % 3 AS items, o_orderkey % 5 AS m FROM orders WHERE o_custkey % 4 = 0 OR o_orderkey % 10 = 0),
-g AS (SELECT sweep, count(*) AS n, bool_or(dropped) AS dropped, bool_or(m = 1 AND page_no > 0) AS gap, bool_or(items = 0 AND page_no > 0) AS silent, bool_or(m = 2) AS no_total, arg_max(m = 3, page_no) AS nxt, count(DISTINCT CASE WHEN m <> 2 THEN items END) AS totals, max(CASE WHEN m <> 2 THEN items END) AS total, count(DISTINCT o_orderkey % 7) AS ids FROM p GROUP BY sweep)
-SELECT sweep, n AS n_pages, CAST(ids AS INTEGER) AS n_ids, CASE WHEN dropped THEN 'parse_drop' WHEN gap THEN 'offset_gap' WHEN silent THEN 'silent_window_end' WHEN no_total THEN 'total_missing' WHEN nxt AND n >= 3 THEN 'page_cap' WHEN nxt THEN 'next_present'
-WHEN totals > 1 THEN 'total_unstable' WHEN total > ids THEN 'total_exceeds_seen' WHEN n > 1 THEN 'multi_page_unprovable' END AS verdict FROM g""")
+@query("""WITH p AS (SELECT o_custkey AS sweep, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1 AS page_no, o_orderpriority, o_orderkey, o_orderkey % 31 = 0 AS dropped, o_orderkey % 3 AS items, o_orderkey % 7 AS m FROM orders),
+b AS (SELECT *, CASE WHEN m = 6 THEN 'unparseable_page' WHEN m = 1 AND page_no > 0 THEN 'offset_gap' WHEN items = 0 AND page_no > 0 THEN 'silent_window_end' WHEN m = 2 THEN 'total_missing' END AS bad FROM p),
+g AS (SELECT sweep, o_orderpriority, count(*) AS n, bool_or(dropped) AS dropped, arg_min(bad, page_no) FILTER (WHERE bad IS NOT NULL) AS bad, arg_max(m = 3, page_no) AS nxt, count(DISTINCT CASE WHEN m <> 2 THEN items END) AS totals, max(CASE WHEN m <> 2 THEN items END) AS total, count(DISTINCT o_orderkey % 2) AS ids FROM b GROUP BY ALL),
+a AS (SELECT c_custkey AS sweep, unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS o_orderpriority FROM customer UNION SELECT sweep, o_orderpriority FROM g)
+SELECT sweep, o_orderpriority AS scope, coalesce(n, 0) AS n_pages, CAST(coalesce(ids, 0) AS INTEGER) AS n_ids, CASE WHEN n IS NULL THEN 'empty' WHEN dropped THEN 'parse_drop' WHEN bad IS NOT NULL THEN bad WHEN nxt AND n >= 3 THEN 'page_cap' WHEN nxt THEN 'next_present'
+WHEN totals <> 1 THEN 'total_unstable' WHEN total > ids THEN 'total_exceeds_seen' WHEN n > 1 THEN 'multi_page_unprovable' END AS verdict FROM a LEFT JOIN g USING (sweep, o_orderpriority)""")
 def q_sweep_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders are the pages of a sweep."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 4 = 0 or o_orderkey % 10 = 0").select(F.col("o_custkey").alias("sweep"), F.col("o_orderkey").alias("k"))
-    m = F.col("k") % 5
-    pages = o.withColumn("page_no", F.row_number().over(Window.partitionBy("sweep").orderBy("k")) - 1)
-    pages = pages.select("sweep", "page_no", F.lit(True).alias("parsed"), F.when((m == 1) & (F.col("page_no") > 0), -1).otherwise(F.col("page_no") * 200).alias("offset"), F.when(m != 2, F.col("k") % 3).alias("total"), (F.col("k") % 3).alias("items"), F.array(F.col("k") % 7).alias("distinct_ids"), (m == 3).alias("has_next"), (F.col("k") % 17 == 0).cast("int").alias("dropped"))
-    return completeness.sweep_verdicts(pages, ["sweep"], 200, 3)
-
-
-@query("""SELECT completeness, reason, count(*) AS n FROM (SELECT CASE WHEN e % 29 = 0 OR e % 23 = 0 OR e % 19 = 0 OR e % 13 = 0 OR (e % 10 > 0 AND e % 11 = 0) THEN 'failed' WHEN t = 'error' THEN 'truncated' WHEN t = 'signup' THEN 'partial' WHEN e % 7 = 1 THEN 'truncated'
-WHEN e % 10 = 0 AND e % 4 <> 0 THEN 'failed' WHEN e % 11 < e % 10 THEN 'partial' ELSE 'complete' END AS completeness,
-CASE WHEN e % 29 = 0 THEN 'output_missing' WHEN e % 23 = 0 THEN 'schema' WHEN e % 19 = 0 THEN 'scope' WHEN e % 13 = 0 THEN 'contradictory' WHEN e % 10 > 0 AND e % 11 = 0 THEN 'unusable' WHEN t = 'error' THEN 'time' WHEN t = 'signup' THEN 'status' WHEN e % 7 = 1 THEN 'pages'
-WHEN e % 10 = 0 AND e % 4 <> 0 THEN 'ambiguous_empty' WHEN e % 11 < e % 10 THEN 'some_unusable' END AS reason FROM (SELECT event_id AS e, event_type AS t FROM events)) GROUP BY ALL""")
+    """A customer's orders of one priority are the pages of a sweep; every customer has a sweep of every priority."""
+    k, n = F.col("o_orderkey"), F.col("page_no")
+    m = k % 7
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sweep"), F.col("o_orderpriority").alias("scope"), k)
+    pages = o.withColumn("page_no", F.row_number().over(Window.partitionBy("sweep", "scope").orderBy(k)) - 1)
+    pages = pages.select("sweep", "scope", n, (m != 6).alias("parsed"), F.when((m == 1) & (n > 0), -1).otherwise(n * 200).alias("offset"), F.when(m != 2, k % 3).alias("total"), (k % 3).alias("items"), F.array(k % 2).alias("distinct_ids"), (m == 3).alias("has_next"), (k % 31 == 0).cast("int").alias("dropped"))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sweep"), F.explode(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))).alias("scope"))
+    asked = asked.union(o.select("sweep", "scope"))
+    return completeness.sweep_verdicts(pages, ["sweep", "scope"], 200, 3, asked)
+
+
+@query("""WITH r AS (SELECT event_id AS e, event_type AS t, event_id % 10 AS counted, least(event_id % 13, event_id % 10) AS usable, event_id % 7 = 1 AS hit, event_id % 5 <> 0 AS whole, event_id % 41 = 0 AS cut, event_id % 37 = 0 AS miscounted, event_id % 3 AS pages, CASE WHEN event_id % 4 = 0 THEN event_id % 10 END AS said, event_id % 17 = 0 AS errors FROM events),
+s AS (SELECT *, CASE t WHEN 'error' THEN 'TIMED-OUT' WHEN 'signup' THEN 'ABORTED' ELSE 'SUCCEEDED' END AS status FROM r),
+c AS (SELECT *, concat_ws(', ', CASE WHEN whole AND hit THEN 'complete_with_limit_hit' END, CASE WHEN whole AND cut THEN 'complete_and_truncated' END, CASE WHEN cut AND NOT hit AND status <> 'TIMED-OUT' THEN 'truncated_without_limit_hit' END,
+ CASE WHEN miscounted THEN 'count_mismatch' END, CASE WHEN whole AND pages < 1 THEN 'complete_with_pages_unfetched' END) AS against FROM s),
+k AS (SELECT *, CASE WHEN e % 29 = 0 THEN 'failed/missing_output' WHEN e % 23 = 0 THEN 'failed/unknown_schema_version' WHEN e % 19 = 0 THEN 'failed/scope_mismatch' WHEN against <> '' THEN 'failed/contradictory_report: ' || against
+ WHEN counted > 0 AND usable = 0 THEN 'failed/no_usable_items' WHEN status = 'ABORTED' AND counted > 0 THEN 'partial_failure/remote_failed_with_items' WHEN status = 'ABORTED' THEN 'failed/remote_failed_empty' WHEN errors THEN 'partial_failure/errors_reported: a, b'
+ WHEN hit AND status = 'TIMED-OUT' THEN 'truncated/truncated: time, pages' WHEN hit THEN 'truncated/truncated: pages' WHEN status = 'TIMED-OUT' THEN 'truncated/truncated: time' WHEN counted = 0 AND whole AND pages >= 1 AND said = 0 THEN 'complete/complete_empty' WHEN counted = 0 THEN 'failed/ambiguous_empty'
+ WHEN NOT whole THEN 'failed/unexplained_incomplete' WHEN usable < counted THEN 'partial_failure/unusable_items' ELSE 'complete/complete' END AS c FROM c)
+SELECT split_part(c, '/', 1) AS completeness, split_part(c, '/', 2) AS reason, CASE WHEN c LIKE 'truncated/%' THEN CASE WHEN status = 'TIMED-OUT' THEN 'time' ELSE 'pages' END END AS "limit", count(*) AS n FROM k GROUP BY ALL""")
 def q_run_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     status = F.when(F.col("event_type") == "error", "TIMED-OUT").when(F.col("event_type") == "signup", "ABORTED").otherwise("SUCCEEDED")
-    limit = F.when(e % 7 == 1, "pages")
-    kind = completeness.run_class(status, e % 29 != 0, e % 10, e % 11, F.when(e % 13 == 0, -1).otherwise(e % 10), limit, e % 19 != 0, e % 23 != 0, e % 4 == 0)
-    return table(spark, sf_dir, "events").select(kind.alias("c")).groupBy("c.completeness", "c.reason").agg(F.count(F.lit(1)).alias("n"))
+    report = F.struct(
+        (e % 23 != 0).alias("schema_ok"), F.lit(True).alias("valid"), (e % 19 != 0).alias("scope_ok"), (e % 5 != 0).alias("complete"), (e % 41 == 0).alias("truncated"), F.lit(True).alias("succeeded"),
+        F.when(e % 7 == 1, F.array(F.lit("pages"))).otherwise(F.array().cast("array<string>")).alias("limits"), F.when(e % 37 == 0, -1).otherwise(e % 10).alias("items_emitted"), F.when(e % 4 == 0, e % 10).alias("items_declared"),
+        (e % 3).alias("pages_fetched"), F.greatest(e % 3, F.lit(1)).alias("pages_declared"), F.when(e % 17 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("errors"),
+    )
+    kind = completeness.run_class(status, F.when(e % 29 != 0, report), e % 10, F.least(e % 13, e % 10))
+    return table(spark, sf_dir, "events").select(kind.alias("c")).groupBy("c.completeness", "c.reason", "c.limit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT coalesce(CASE WHEN s IN (408, 500, 502, 504) THEN 'transient' WHEN s IN (401, 403, 429, 503) THEN 'anti_bot' WHEN e % 3 = 0 AND e % 11 = 0 THEN 'anti_bot' WHEN p LIKE '%7%' THEN 'anti_bot' WHEN value < 0.2 * m THEN 'anti_bot' WHEN s >= 400 THEN 'unknown' END, 'healthy') AS kind, s AS status, count(*) AS n
+FROM (SELECT event_id AS e, value, props AS p, list_extract([200, 200, 200, 401, 403, 404, 408, 410, 429, 500, 502, 503, 504, 505], CAST(event_id % 14 AS INTEGER) + 1) AS s, median(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY ALL""")
+def q_response_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    usual = rows.groupBy(F.col("event_type").alias("_t")).agg(F.median("value").alias("usual"))
+    rows = rows.join(usual, F.col("event_type") == F.col("_t"))
+    status = F.get(F.array(*map(F.lit, (200, 200, 200, 401, 403, 404, 408, 410, 429, 500, 502, 503, 504, 505))), (F.col("event_id") % 14).cast("int"))
+    kind = runs.response_class(status, F.col("event_id") % 11 != 0, F.col("event_id") % 3 == 0, F.col("props").contains("7"), F.col("value"), F.col("usual"))
+    return rows.select(F.coalesce(kind, F.lit("healthy")).alias("kind"), status.alias("status")).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT s_nationkey % 3 AS s, CASE WHEN s_suppkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS c, s_suppkey % 7 <> 0 AS ok FROM supplier) m WHERE ok AND m.s = o_custkey % 30 AND m.c = o_orderpriority)""")
@@ -542,7 +650,7 @@ def q_admission_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completeness.admitted(o, m).select("o_orderkey", "o_orderpriority")
 
 
-@query("""SELECT user_id, CASE WHEN user_id % 9 = 0 THEN 'budget_paused' WHEN max(ts) IS NULL THEN 'never' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) > 2 * 21600 * 1000000::BIGINT THEN 'stale' ELSE 'fresh' END AS freshness FROM events GROUP BY user_id""")
+@query("""SELECT user_id, CASE WHEN user_id % 9 = 0 THEN 'budget_paused' WHEN max(ts) IS NULL THEN 'stale' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) > 2 * 21600 * 1000000::BIGINT THEN 'stale' ELSE 'fresh' END AS freshness FROM events GROUP BY user_id""")
 def q_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
     return last.select("user_id", completeness.freshness(F.col("ts"), F.lit(21_600), F.expr("timestamp_ntz'2024-01-31'"), F.col("user_id") % 9 == 0).alias("freshness"))
@@ -591,22 +699,68 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id FROM events")
 def q_stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that come twice within the watermark are kept once."""
-    e = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _drained(heartbeat.new_only(e.union(e), ["event_id"], "ts").select("event_id", "user_id"), spark, "replay")
+    """Rows that come twice are kept once, however late they are."""
+    e, path = _event_stream(spark, sf_dir), work_path(spark, "replay")
+    heartbeat.append_history(e.union(e), ["event_id"], path, f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(path).select("event_id", "user_id")
 
 
-@query(f"""SELECT user_id AS key, ts, CASE WHEN stock = 'unknown' THEN 'ambiguous' WHEN n = 1 OR stock <> was_stock OR value < was THEN 'transition_detected' ELSE 'unchanged' END AS decision
-FROM (SELECT *, lag(stock) OVER w AS was_stock, lag(value) OVER w AS was, row_number() OVER w AS n FROM ({_READINGS_SQL}) WHERE stock IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+@query(f"SELECT user_id AS key, ts, decision FROM ({_DECISIONS_SQL})")
 def q_stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stock = F.when(F.col("event_type") == "purchase", "out_of_stock").when(F.col("event_type") == "error", "unknown").otherwise("in_stock")
-    rows = _event_stream(spark, sf_dir).where("event_type <> 'signup'").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), stock.alias("stock"))
-    return _drained(heartbeat.change_stream(rows), spark, "changes").select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "decision")
+    """The stream's decisions are the batch's."""
+    rows = _event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), _stock().alias("stock"))
+    return _drained(heartbeat.change_stream(rows, 0.1), spark, "changes").select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "decision")
+
+
+@query("""SELECT day, event_type, n FROM (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY""")
+def q_stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that the watermark has closed."""
+    e = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _drained(heartbeat.daily_stream(e, "ts", ["event_type"]), spark, "days")
+
+
+def _lifecycle_log(events: DataFrame) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, lifecycle.EVENTS)), (F.floor("value") % 10).cast("int"))
+    return events.select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("n"), kind.alias("event"))
+
+
+_LIFECYCLE_SQL = """WITH RECURSIVE l AS (SELECT user_id AS source, event_id AS n, list_extract(['success', 'transient_failure', 'parser_rot', 'anti_bot', 'unknown_failure', 'degradation', 'probe_success', 'probe_failure', 'manual_skip', 'manual_reactivate'], CAST(floor(value) AS BIGINT) % 10 + 1) AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT source, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS i, 'active' AS state, false AS again FROM (SELECT DISTINCT source FROM l)
+UNION ALL SELECT f.source, l.n, l.i, CASE WHEN e = 'manual_skip' THEN 'skip' WHEN e = 'manual_reactivate' THEN 'active' WHEN state = 'skip' OR (state = 'paused_pending_fix' AND e <> 'probe_success') THEN state WHEN e IN ('success', 'probe_success') THEN 'active'
+WHEN e IN ('anti_bot', 'unknown_failure') OR (e = 'parser_rot' AND again) THEN 'paused_pending_fix' WHEN e IN ('transient_failure', 'parser_rot') THEN 'backing_off' ELSE state END,
+CASE WHEN e IN ('success', 'probe_success', 'transient_failure', 'anti_bot', 'parser_rot', 'unknown_failure') THEN e = 'parser_rot' ELSE again END FROM f JOIN l ON l.source = f.source AND l.i = f.i + 1)
+SELECT CAST(source AS VARCHAR) AS source, n, state FROM f WHERE i > 0"""
+
+
+@query(_LIFECYCLE_SQL)
+def q_lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows give what the fold over events gives."""
+    return lifecycle.lifecycle(_lifecycle_log(table(spark, sf_dir, "events")), "source", "event", ["n"]).select("source", "n", "state")
+
+
+@query(_LIFECYCLE_SQL)
+def q_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(sources.lifecycle_stream(_lifecycle_log(_event_stream(spark, sf_dir))), spark, "lifecycle")
+
+
+@query("""WITH RECURSIVE l AS (SELECT user_id AS source, event_id, epoch_us(ts) / 1e6 AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT source, CAST(0 AS BIGINT) AS i, CAST(3 AS DOUBLE) AS tokens, CAST(NULL AS DOUBLE) AS moment, false AS granted FROM (SELECT DISTINCT source FROM l)
+UNION ALL SELECT source, i, full_ - CASE WHEN full_ >= 1 THEN 1 ELSE 0 END, moment, full_ >= 1 FROM (SELECT f.source, l.i, l.moment, CASE WHEN f.moment IS NULL THEN tokens ELSE least(3, tokens + (l.moment - f.moment) / 40000.0) END AS full_ FROM f JOIN l ON l.source = f.source AND l.i = f.i + 1))
+SELECT CAST(source AS VARCHAR) AS source, count(*) AS n, count(*) FILTER (WHERE granted) AS granted FROM f WHERE i > 0 GROUP BY source""")
+def q_token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tokens and one more every 40,000 seconds."""
+    e = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("at"))
+    out = _drained(sources.bucket_stream(e, 3.0, 1 / 40_000.0), spark, "buckets")
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("granted").alias("granted"))
 
 
 def queries() -> dict[str, Query]:
+    from . import report_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import report_queries  # noqa: F401
+
     return dict(SQL)

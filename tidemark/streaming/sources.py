@@ -1,4 +1,4 @@
-"""State of sources as streams: lifecycle events and token buckets, one small state a source."""
+"""State of sources as streams: lifecycle events and token buckets, one small state a source, kept for good: sources are few."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.lifecycle import ACTIVE, BACKING_OFF, PAUSED, SKIP
+from ..operators.lifecycle import ACTIVE, BACKING_OFF, PAUSED, SKIP, STREAK
 
 
 def next_state(state: str, event: str, again: bool) -> str:
@@ -32,7 +32,7 @@ def _live(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iter
         out = []
         for event in rows["event"]:
             state = next_state(state, event, again)
-            again = event == "parser_rot" if event not in ("degradation", "probe_failure", "manual_skip") else again
+            again = event == "parser_rot" if event in STREAK else again
             out.append(state)
         yield pd.DataFrame({"source": key[0], "n": rows["n"], "state": out})
     held.update((state, again))
