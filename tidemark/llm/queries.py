@@ -17,6 +17,7 @@ from .piece_bpe import encode_decode
 from .quality import learn, scored
 from .sharding import lpt_shards
 from .simhash import simhash_classes
+from .token_counts import token_counts
 from .token_file import read_tokens, write_tokens
 from .warc import read_warc, write_warc
 
@@ -173,6 +174,13 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 """
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
+        model = file.read()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, model, limit=1024).select("doc_id", "counts.n_bytes", "counts.n_tokens", "counts.over_limit")
+
+
 def queries() -> dict[str, Query]:
     named = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0])))
