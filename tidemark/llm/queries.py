@@ -14,6 +14,7 @@ from .decontaminate import contaminated
 from .kdtree import top_k
 from .line_dedup import line_dedup
 from .piece_bpe import encode_decode
+from .prefix_trie import grafted, ordered_turns, prefix_trie
 from .quality import learn, scored
 from .sharding import lpt_shards
 from .simhash import simhash_classes
@@ -181,10 +182,53 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, model, limit=1024).select("doc_id", "counts.n_bytes", "counts.n_tokens", "counts.over_limit")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = ordered_turns(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    c = F.col("c")
+    return prefix_trie(*grafted(turns, heads=5, base=c - c % 100, taken=F.crc32(c.cast("string").cast("binary")) % 6))
+
+
+OP12_SQL = """
+WITH o AS (
+  SELECT conv_id AS c, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS d
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+),
+b AS (SELECT c, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: CAST(ascii((c::VARCHAR)[i:i]) AS UBIGINT)) AS bytes FROM (SELECT DISTINCT c FROM o)),
+g AS (
+  SELECT c, c - c % 100 AS base, (xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda x, y:
+    list_reduce(list_prepend(xor(x, y), [1::UBIGINT, 1, 1, 1, 1, 1, 1, 1]), lambda v, one: xor(v >> 1, 3988292384::UBIGINT * (v & one)))), 4294967295::UBIGINT) % 6)::BIGINT AS h
+  FROM b
+),
+t AS (
+  SELECT g.c, 0 AS own, o.d, o.role, o.text FROM g JOIN o ON o.c = g.base AND o.d <= g.h
+  UNION ALL SELECT g.c, 1, o.d, o.role, o.text FROM g JOIN o ON o.c = g.c AND o.d > g.h
+),
+p AS (
+  SELECT g.c, coalesce(list(struct_pack(r := t.role, x := t.text) ORDER BY t.own, t.d) FILTER (WHERE t.c IS NOT NULL), []) AS path
+  FROM g LEFT JOIN t ON t.c = g.c GROUP BY g.c
+),
+m AS (SELECT c, len(path) AS e, unnest(range(0, len(path) + 1)) AS d, path FROM p),
+v AS (
+  SELECT d, path[1:d] AS k, min(c) AS conv_id, count(*) AS n_convs, CAST(coalesce(any_value(length(path[d].x)), 0) AS BIGINT) AS len,
+         count(*) = count(*) FILTER (WHERE e = d) AS leaf,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE e = d), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2
+),
+s AS (
+  SELECT i AS d, k[1:i] AS k, sum((n_convs - 1) * len) AS saved, count(*) FILTER (WHERE leaf) AS leaves, count(*) FILTER (WHERE d = i + 1) AS children
+  FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM v) GROUP BY 1, 2
+)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, s.children AS n_children, s.leaves AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.d = v.d AND s.k = v.k LEFT JOIN v u ON u.d = v.d - 1 AND u.k = v.k[1:v.d - 1]
+"""
+
+
 def queries() -> dict[str, Query]:
     named = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op12_prefix_trie": OP12_SQL}
