@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_trees, read_loss, read_turns, thread_messages
-from .common import new_path, read_table
+from .common import new_path, read_table, written
 from .decontaminate import contaminated
 from .kdtree import top_k
 from .line_dedup import line_dedup
@@ -20,6 +20,7 @@ from .sharding import lpt_shards
 from .simhash import simhash_classes
 from .token_counts import token_counts
 from .token_file import read_tokens, write_tokens
+from .vector_codes import codebooks_sha256, compress
 from .warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,10 +226,49 @@ FROM v JOIN s ON s.d = v.d AND s.k = v.k LEFT JOIN v u ON u.d = v.d - 1 AND u.k
 """
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    codes, books = compress(vectors, "embedding", "vec_id")
+    out = written(codes.select("rec.vec_id", "rec.label", F.lower(F.hex("code")).alias("code"), "error"), "codes")
+    by_label = out.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return out.join(by_label, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def _op13_round(n: int) -> str:
+    """Codes of round n, and the codebooks that they give."""
+    return f"""
+a{n} AS (
+  SELECT row, p, any_value(x) AS x, CAST(min(dist * 64 + e) % 64 AS BIGINT) AS e, min(dist) AS dist
+  FROM (SELECT v.row, v.p, v.x, b.e, CAST(list_sum(list_transform(range(1, w + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i]))) AS BIGINT) AS dist FROM v JOIN b{n - 1} b ON b.p = v.p)
+  GROUP BY row, p
+),
+m{n} AS (
+  SELECT p, e, list(m ORDER BY i) AS x
+  FROM (SELECT p, e, i, CAST(sum(c) - ((sum(c) % count(*)) + count(*)) % count(*) AS BIGINT) // count(*) AS m FROM (SELECT p, e, unnest(range(1, w + 1)) AS i, unnest(x) AS c FROM (SELECT a.*, len(x) AS w FROM a{n} a)) GROUP BY p, e, i)
+  GROUP BY p, e
+),
+b{n} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{n - 1} b LEFT JOIN m{n} m ON m.p = b.p AND m.e = b.e)"""
+
+
+OP13_SQL = f"""
+WITH q AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+r AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS row FROM q),
+v AS (SELECT row, p, len(e) // 16 AS w, e[p * (len(e) // 16) + 1:(p + 1) * (len(e) // 16)] AS x FROM (SELECT row, e, unnest(range(16)) AS p FROM r)),
+b0 AS (SELECT p, row - 1 AS e, x FROM v WHERE row <= 64),{_op13_round(1)},{_op13_round(2)},{_op13_round(3)},
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2),
+o AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a3 GROUP BY row)
+SELECT r.vec_id, o.code, o.error, CAST(sum(o.error) OVER (PARTITION BY r.label) AS BIGINT) AS label_error, h.codebooks_sha256
+FROM r JOIN o ON o.row = r.row CROSS JOIN h
+"""
+
+
 def queries() -> dict[str, Query]:
     named = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
