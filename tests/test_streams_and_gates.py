@@ -27,6 +27,17 @@ def test_lifecycle_stream_is_the_batch(spark, table, tmp_path):
     assert got == {(r.source, r.n): r.state for r in lifecycle.lifecycle(df, "source", "event", ["n"]).collect()}
 
 
+def test_lifecycle_stream_puts_the_files_of_a_trigger_in_order(spark, table, tmp_path):
+    rng = random.Random(11)
+    rows = [(f"s{k}", i, rng.choice(lifecycle.EVENTS)) for i in range(60) for k in range(2)]
+    df = table("source string, n long, event string", rows)
+    for part in (3, 0, 2, 1):  # every file holds rows from all over the log, backwards
+        df.where(f"n % 4 = {part}").orderBy(F.desc("n")).coalesce(1).write.parquet(str(tmp_path / f"in/p={part}"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in/*"))
+    got = {(r.source, r.n): r.state for r in drained(spark, sources.lifecycle_stream(stream), tmp_path).collect()}
+    assert got == {(r.source, r.n): r.state for r in lifecycle.lifecycle(df, "source", "event", ["n"]).collect()}
+
+
 def test_buckets(spark, table, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     df = table("source string, at timestamp", [("a", t0 + dt.timedelta(seconds=s)) for s in (0, 1, 2, 3, 20)] + [("b", t0)])

@@ -301,7 +301,7 @@ def q_median_last10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, CASE event_id % 23 WHEN 0 THEN 'anti_bot' WHEN 1 THEN 'parser_rot' WHEN 2 THEN 'transient_failure' WHEN 3 THEN 'probe_success' WHEN 4 THEN 'manual_skip' WHEN 5 THEN 'manual_reactivate'
 WHEN 6 THEN 'unknown_failure' WHEN 7 THEN 'degradation' WHEN 8 THEN 'probe_failure' WHEN 9 THEN 'parser_rot' ELSE 'success' END AS ev FROM events),
-n AS (SELECT *, row_number() OVER w AS n, last_value(CASE WHEN ev NOT IN ('degradation', 'probe_failure', 'manual_skip') THEN ev END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, row_number() OVER w AS n, last_value(CASE WHEN ev NOT IN ('degradation', 'probe_failure', 'manual_skip', 'manual_reactivate') THEN ev END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 h AS (SELECT *, coalesce(ev IN ('anti_bot', 'unknown_failure') OR (ev = 'parser_rot' AND was = 'parser_rot'), false) AS hold FROM n),
 l AS (SELECT *, coalesce(max(CASE WHEN ev = 'manual_reactivate' THEN n END) OVER w, 0) AS by_hand, coalesce(max(CASE WHEN ev IN ('manual_reactivate', 'probe_success') THEN n END) OVER w, 0) AS rel,
 coalesce(max(CASE WHEN ev IN ('success', 'probe_success', 'manual_reactivate') THEN n END) OVER w, 0) AS good, coalesce(max(CASE WHEN ev IN ('transient_failure', 'parser_rot') THEN n END) OVER w, 0) AS bad,

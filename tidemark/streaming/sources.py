@@ -28,18 +28,22 @@ def next_state(state: str, event: str, again: bool) -> str:
 
 def _live(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
     state, again = held.get if held.exists else (ACTIVE, False)
-    for rows in batches:
-        out = []
-        for event in rows["event"]:
-            state = next_state(state, event, again)
-            again = event == "parser_rot" if event in STREAK else again
-            out.append(state)
-        yield pd.DataFrame({"source": key[0], "n": rows["n"], "state": out})
+    rows = pd.concat(list(batches)).sort_values("n", kind="stable")  # files of a trigger come in any order
+    out = []
+    for event in rows["event"]:
+        state = next_state(state, event, again)
+        again = event == "parser_rot" if event in STREAK else again
+        out.append(state)
     held.update((state, again))
+    yield pd.DataFrame({"source": key[0], "n": rows["n"], "state": out})
 
 
 def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """``events``: source string, n long (order of arrival), event. Adds the state after each."""
+    """``events``: source string, n long (order of arrival), event. Adds the state after each.
+
+    A source's rows of one trigger are put in the order of ``n`` first, and are in memory at once (bound them by the
+    stream's files per trigger); what an earlier trigger has decided stays.
+    """
     return events.select("source", "n", "event").groupBy("source").applyInPandasWithState(_live, "source string, n long, state string", "state string, again boolean", "append", GroupStateTimeout.NoTimeout)
 
 
