@@ -47,13 +47,25 @@ def test_buckets(spark, table, tmp_path):
     assert [r.granted for r in got] == [True, True, False, False, True, True]
 
 
+def with_spec(rows):
+    """The capacity alone, as a whole spec."""
+    text = lambda n: F.lit(None).cast("string").alias(n)
+    return rows.withColumn("spec", F.when(F.col("spec").isNotNull(), F.struct(F.col("spec.capacity").alias("capacity"), *map(text, resolve._WORDS), F.lit(None).cast("struct<brand: string, name: string>").alias("family"))))
+
+
 def test_priors_and_gates(table):
     now = table("listing_id int, brand string, matcher_version int, identifiers array<string>, vetoes array<string>", [(1, "x", 2, ["a", "b"], []), (2, "y", 2, ["a"], []), (3, None, 3, ["a"], ["capacity"]), (4, "x", 2, None, []), (5, "x", 2, ["a"], ["capacity", "interface"])])
     prior = table("listing_id int, target string, grain string, confidence double, brand string, matcher_version int, identifiers array<string>", [(1, "10", "model", 0.9, "x", 2, ["b", "a"]), (2, "11", "model", 0.9, "x", 2, ["a"]), (3, "12", "model", 0.9, "x", 2, ["c"]), (5, "13", "model", 0.9, "x", 2, ["a"])])
     priors = resolve.reconsider(prior, now)
     assert {r.listing_id: r.doubts for r in priors.collect()} == {1: [], 2: ["brand"], 3: ["matcher_version", "identifiers", "veto:capacity"], 5: ["veto:capacity,interface"]}
-    fresh = table("listing_id int, outcome string, grain string, target string, confidence double, reason string", [(i, "none", "none", None, 0.0, "no_evidence") for i in (1, 2, 3, 4, 5)])
-    assert {r.listing_id: (r.outcome, r.target, r.reason) for r in resolve.inherit(fresh, priors).collect()} == {5: ("review", None, "veto"), 1: ("accept", "10", "prior"), **{i: ("none", None, "no_evidence") for i in (2, 3, 4)}}
+    spec = "struct<capacity: bigint>"
+    said = table(f"listing_id int, brand string, quantity int, spec {spec}", [(1, "x", None, (1,)), (2, "y", None, (1,)), (3, None, None, (1,)), (4, "x", None, None), (5, "x", None, (900,)), (6, "x", 4, None)])
+    prior6 = table("listing_id int, prior_target string, prior_grain string, prior_confidence double, doubts array<string>", [(6, "14", "model", 0.9, [])])
+    of_targets = table(f"listing_id int, model_id string, spec {spec}", [(5, "13", (1,))])
+    none = table("listing_id int, norm string, alias_type string, brand string", [])
+    got = resolve.decide(with_spec(said), none, table("listing_id int, vendor string, family string", []), with_spec(resolve.standing(priors.unionByName(prior6), of_targets)))
+    # a lot demotes an inherited prior as it does any other
+    assert {r.listing_id: (r.outcome, r.target, r.reason) for r in got.collect()} == {1: ("accept", "10", "prior"), 5: ("review", None, "veto"), 6: ("review", None, "lot"), **{i: ("none", None, "no_evidence") for i in (2, 3, 4)}}
     rules = table("category string, auto_accept boolean, grains array<string>, families array<string>", [("drive", True, None, None), ("gpu", False, None, None), ("cpu", True, ["family"], ["epyc"])])
     d = "listing_id int, outcome string, grain string, target string, reason string, category string, target_category string"
     rows = [(1, "accept", "model", "1", "alias", "drive", "drive"), (2, "accept", "model", "1", "alias", "drive", "gpu"), (3, "accept", "model", "1", "alias", "gpu", None), (4, "accept", "model", "1", "alias", "cpu", None), (5, "accept", "family", "xeon", "decoded", "cpu", None), (6, "accept", "family", "epyc", "decoded", "cpu", None), (7, "accept", "model", "1", "alias", "toy", None), (8, "none", "none", None, "no_evidence", "gpu", None)]

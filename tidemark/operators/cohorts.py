@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,9 +70,10 @@ def with_neighbours(bucket: Column, buckets: list[str]) -> Column:
     return F.array_compact(F.array(below.cast("string"), bucket, above.cast("string")))
 
 
-def relaxed(offers: DataFrame, baseline: DataFrame, buckets: list[str], parents: dict[str, str], weight: str) -> DataFrame:
+def relaxed(offers: DataFrame, baseline: DataFrame, buckets: list[str], parents: dict[str, str], weight: str, key: str = "offer_id") -> DataFrame:
     """``offers`` with ``step`` and ``n_eff`` of the first cohort of the ladder that has LEAST effective observations;
-    ``exhausted`` where none has, then at the last step. Both tables: bucket, tier, ifff, condition; ``baseline`` has ``weight``.
+    ``exhausted`` where none has, then at the last step. Both tables: bucket, tier, ifff, condition; ``baseline`` has ``weight``, and
+    ``offers`` a column ``key`` that tells its rows apart.
 
     Each step counts what the baseline sums up to (w and w squared) by its own components, and is met by equality:
     the baseline is rolled up per step before it is joined, so no observation meets an offer.
@@ -81,7 +81,7 @@ def relaxed(offers: DataFrame, baseline: DataFrame, buckets: list[str], parents:
     parent = F.create_map(*[F.lit(x) for kv in parents.items() for x in kv])
     known = baseline.withColumn("parent", F.coalesce(F.try_element_at(parent, F.col("tier")), F.col("tier")))
     sums = lambda keys: known.groupBy(*keys).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(weight)).alias("w2"))
-    rows = offers.withColumn("_id", F.monotonically_increasing_id()) if "offer_id" not in offers.columns else offers.withColumn("_id", F.col("offer_id"))
+    rows = offers.withColumn("_id", F.col(key))
     rows = rows.withColumn("parent", F.coalesce(F.try_element_at(parent, F.col("tier")), F.col("tier")))
     wide = rows.withColumn("bucket", F.explode(with_neighbours(F.col("bucket"), buckets)))
     levels = [(rows, ["bucket", "tier", "ifff", "condition"]), (rows, ["bucket", "tier", "ifff"]), (wide, ["bucket", "tier", "ifff"]), (wide, ["bucket", "parent", "ifff"])]
@@ -101,22 +101,21 @@ def steady_alerts(sightings: DataFrame, key: str, at: str, tie: str, polls: int,
     """(key, at, tie) of the sightings that alert: the condition (column ``holds``) has been seen ``polls`` times in a row,
     and the last alert is ``cooldown_s`` or more ago, unless the row may pass that by (column ``bypass``: a better price).
 
-    Whether a row alerts depends on the last that did, so the steady rows of a key are folded in one task, in
-    order; all others have gone before that.
+    Whether a row alerts depends on the last that did, so the steady rows of a key are folded in their order in one
+    expression, in one task; all others have gone before that.
     """
     own = Window.partitionBy(key).orderBy(at, tie)
     holds = F.coalesce("holds", F.lit(False))
     rows = sightings.withColumn("_run", F.sum((~holds).cast("int")).over(own))
     rows = rows.withColumn("_n", F.sum(holds.cast("int")).over(Window.partitionBy(key, "_run").orderBy(at, tie))).where(holds & (F.col("_n") >= polls))
-    rows = rows.select(key, at, tie, F.coalesce("bypass", F.lit(False)).alias("bypass"), F.unix_micros(F.col(at).cast("timestamp")).alias("micros"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
-
-    def fold(mine: pd.DataFrame) -> pd.DataFrame:
-        mine = mine.sort_values([at, tie])
-        last, sent = None, []
-        for t, anyway in zip(mine["micros"].tolist(), mine["bypass"].tolist(), strict=True):
-            sent.append(last is None or anyway or t - last >= cooldown_s * 1_000_000)
-            last = t if sent[-1] else last
-        return mine.loc[sent, [key, at, tie]]
-
-    return rows.groupBy(key).applyInPandas(fold, kind)
+    one = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.unix_micros(F.col(at).cast("timestamp")).alias("x"), F.coalesce("bypass", F.lit(False)).alias("anyway"))
+    steady = rows.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_rows"))
+    kind = steady.schema["_rows"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(kind).alias("sent"))
+
+    def step(s: Column, r: Column) -> Column:
+        alerts = s["last"].isNull() | r["anyway"] | (r["x"] - s["last"] >= int(cooldown_s * 1_000_000))
+        return F.when(alerts, F.struct(r["x"].alias("last"), F.concat(s["sent"], F.array(r)).alias("sent"))).otherwise(s)
+
+    sent = steady.select(key, F.explode(F.aggregate("_rows", start, step, lambda s: s["sent"])).alias("_r"))
+    return sent.select(key, F.col("_r.at").alias(at), F.col("_r.tie").alias(tie))

@@ -231,21 +231,13 @@ def reconsider(prior: DataFrame, now: DataFrame) -> DataFrame:
     return both.select("listing_id", F.col("target").alias("prior_target"), F.col("grain").alias("prior_grain"), F.col("confidence").alias("prior_confidence"), doubts.alias("doubts"))
 
 
-def inherit(decisions: DataFrame, priors: DataFrame) -> DataFrame:
-    """Decisions, but for listings whose prior stands without a doubt: those keep it at its confidence. A prior
-    that nothing but a veto speaks against goes to review; one that is stale gives way to the fresh decision."""
-    old = priors.select(F.col("listing_id").alias("_id"), "prior_target", "prior_grain", "prior_confidence", "doubts")
-    out = decisions.join(old, F.col("listing_id") == F.col("_id"), "left")
-    kept = F.coalesce(F.size("doubts") == 0, F.lit(False))
-    vetoed = F.coalesce((F.size("doubts") > 0) & F.forall("doubts", lambda d: F.startswith(d, F.lit("veto:"))), F.lit(False))
-    return out.select(
-        "listing_id",
-        F.when(kept, "accept").when(vetoed, "review").otherwise(F.col("outcome")).alias("outcome"),
-        F.when(kept, F.col("prior_grain")).when(vetoed, "none").otherwise(F.col("grain")).alias("grain"),
-        F.when(kept, F.col("prior_target")).when(~vetoed, F.col("target")).alias("target"),
-        F.when(kept, F.col("prior_confidence")).when(vetoed, 0.0).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(kept, "prior").when(vetoed, "veto").otherwise(F.col("reason")).alias("reason"),
-    )
+def standing(priors: DataFrame, specs: DataFrame | None = None) -> DataFrame:
+    """The priors that ``decide`` may start from, of those that ``reconsider`` has looked at: whatever is stale gives way
+    to a fresh decision. One that only a veto speaks against stays, for ``decide`` finds the veto itself, and any prior
+    it accepts is still held against the other ambiguities. ``specs``: listing_id, model_id, spec of the prior's target."""
+    fresh = priors.where(F.forall("doubts", lambda d: F.startswith(d, F.lit("veto:"))))
+    out = fresh.select("listing_id", F.col("prior_grain").alias("grain"), F.col("prior_target").alias("target"), F.col("prior_confidence").alias("confidence"))
+    return out if specs is None else out.join(specs.select("listing_id", "model_id", "spec"), "listing_id", "left")
 
 
 def gate(decisions: DataFrame, rules: DataFrame) -> DataFrame:

@@ -701,7 +701,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that come twice are kept once, however late they are."""
     e, path = _event_stream(spark, sf_dir), work_path(spark, "replay")
-    heartbeat.append_history(e.union(e), ["event_id"], path, f"{path}-checkpoint").awaitTermination()
+    heartbeat.append_history(e.union(e), ["event_id"], "ts", path, f"{path}-checkpoint").awaitTermination()
     return spark.read.parquet(path).select("event_id", "user_id")
 
 

@@ -69,13 +69,21 @@ def new_only(rows: DataFrame, keys: list[str], at: str, late: str = "3 days") ->
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def append_history(rows: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+def append_history(rows: DataFrame, keys: list[str], at: str, path: str, checkpoint: str) -> StreamingQuery:
     """Appends the rows whose key the history under ``path`` lacks, however late they are; started, and run to the
-    end of what is there. A batch that is played again finds its own rows and adds none."""
+    end of what is there. A batch that is played again finds its own rows and adds none.
+
+    The history is kept by day of ``at`` (column ``day``), and a batch reads the days that it holds rows of; a row that
+    comes again has the same time.
+    """
     spark = rows.sparkSession
-    spark.createDataFrame([], rows.schema).write.mode("append").parquet(path)
+    dated = rows.withColumn("day", F.to_date(at))
+    spark.createDataFrame([], dated.schema).write.mode("append").partitionBy("day").parquet(path)
 
     def add(batch: DataFrame, _: int) -> None:
-        absent_rows(batch.dropDuplicates(keys), spark.read.schema(rows.schema).parquet(path), keys).write.mode("append").parquet(path)
+        new = batch.dropDuplicates(keys)
+        days = [r["day"] for r in new.select("day").distinct().collect()]  # as many as a batch has days
+        there = spark.read.schema(dated.schema).parquet(path).where(F.col("day").isin(days) | (F.col("day").isNull() & F.lit(None in days)))
+        absent_rows(new, there, keys).write.mode("append").partitionBy("day").parquet(path)
 
-    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return dated.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
