@@ -127,12 +127,15 @@ def test_token_files_are_cut_whatever_repeats(spark, table, monkeypatch):
     """Small files: hot ids and equal rows are dealt to several, the order stays."""
     monkeypatch.setattr(token_file, "FILE", 600)
     monkeypatch.setattr(token_file, "SAMPLE", 150)
+    monkeypatch.setattr(token_file, "BLOCK", 100)
     rng = random.Random(8)
     rows = [(None, f"row {i}") for i in range(60)] + [(5, "the same text again and again")] * 90 + [(5, f"other {i}") for i in range(60)] + [(i, " ".join(rng.choice(["a", "bc", "def"]) for _ in range(rng.randrange(40)))) for i in range(-20, 60)] + [(7, "long " * 200)]
     path = new_path(spark, "tokens")
     index = write_tokens(table("doc_id long, text string", rows), path, WORDS)
     by_file = {r.file_no: r.docs for r in index.groupBy("file_no").agg(F.sum("docs").alias("docs")).collect()}
     assert len(by_file) > 8 and max(by_file.values()) < 90
+    # ranges are few (SHARE rows of the sample each), and fill several files one after the other
+    assert len({n >> 32 for n in by_file}) < len(by_file)
     got = [(r.start, r.id, np.frombuffer(r.ids, "<u4").tolist()) for r in read_tokens(spark, path, index).orderBy("start").collect()]
     assert [i for _, i, _ in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
     starts = np.cumsum([0] + [len(x) for *_, x in got])[:-1]

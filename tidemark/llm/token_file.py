@@ -11,8 +11,11 @@ document ids, in ascending order. A file is MAGIC and then blocks of whole docum
 tokens, the control bytes (each document's filled up to a whole byte), the data. An index table
 (file, place and size of each block, first token) tells where everything is.
 
-Files are cut where about FILE bytes of ids are full, at rows of a random sample of bounded size, so that
-their size doesn't grow with the corpus. Rows that share a doc_id may lie in several files.
+Files are cut in two levels. Rows are dealt to ranges of keys, at rows of a random sample of bounded size
+(SHARE of them or more a range, so that ranges are even); each range is sorted by one task, which begins a
+new file wherever its own running sum of ids has filled one. So files hold about FILE bytes of ids whatever
+the corpus; what grows beyond SAMPLE / SHARE ranges is how many files a task writes one after the other.
+Rows that share a doc_id may lie in several files.
 
 Cases: a null text is empty and has the end id only. A null doc_id comes first. Rows that share a
 doc_id follow each other by the hash of their ids; rows that are equal in both are interchangeable. An
@@ -42,8 +45,8 @@ MAGIC = b"TIDETOK1"
 BLOCK_HEAD = struct.Struct("<QQQQ")
 #: Ids of a block, and bytes of coded ids of a file, about.
 BLOCK, FILE = 1 << 18, 32 << 20
-#: Rows (about) that file limits are taken from.
-SAMPLE = 1_000_000
+#: Rows (about) that the limits of ranges are taken from, and as many of them a range as make it even.
+SAMPLE, SHARE = 1_000_000, 16
 #: Words a tokenizing task remembers.
 MEMORY = 2_000_000
 #: The normalizer and the splitting under which blanks part words, case doesn't count and no piece
@@ -209,28 +212,26 @@ def write_tokens(docs: DataFrame, path: str, model: str, end_id: int = 1, id_col
     ranged = coded.repartitionById(len(edges) + 1, "part").sortWithinPartitions(F.desc("none"), "id", "h")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = TaskContext.get().partitionId()
-        file = f"{path}/part-{number:06d}.tok"
-        index, held, n, first = [], [], 0, 0
-        with Replacing(file) as out:
-            out.write(MAGIC)
-
-            def flush() -> None:
-                nonlocal held, n, first
-                if held:
+        number, index = TaskContext.get().partitionId(), []
+        rows = (row for batch in batches for row in zip(batch["id"], batch["none"], batch["n"], batch["control"], batch["data"], strict=True))
+        row = next(rows, None)
+        while row is not None or not index:
+            part = len({x[0] for x in index})
+            file, first = f"{path}/part-{number:06d}-{part:06d}.tok", 0
+            with Replacing(file) as out:
+                out.write(MAGIC)
+                while row is not None and out.size < FILE + FILE // 2:
+                    held, n = [], 0
+                    while row is not None and (not held or n + int(row[2]) <= BLOCK):
+                        held.append(row)
+                        n += int(row[2])
+                        row = next(rows, None)
                     block, place = _block(held), out.size
                     out.write(block)
-                    index.append((number, file, place, len(block), first, len(held), n))
+                    index.append((number << 32 | part, file, place, len(block), first, len(held), n))
                     first += n
-                held, n = [], 0
-
-            for batch in batches:
-                for row in zip(batch["id"], batch["none"], batch["n"], batch["control"], batch["data"], strict=True):
-                    held.append(row)
-                    n += int(row[2])
-                    if n >= BLOCK:
-                        flush()
-            flush()
+            if not index:
+                break  # a range without rows leaves a file without blocks
         yield pd.DataFrame(index, columns=["file_no", "file", "place", "size", "first", "docs", "tokens"])
 
     return written(ranged.select("id", "none", "n", "control", "data").mapInPandas(write, "file_no long, file string, place long, size long, first long, docs long, tokens long"), "index")
@@ -247,15 +248,15 @@ def _keys(none: pd.Series, ids: pd.Series, hashes: pd.Series) -> np.ndarray:
 
 
 def _edges(tokens: DataFrame, least: int) -> np.ndarray:
-    """Keys at which a new file begins, so that files hold about FILE bytes of ids."""
+    """Keys at which a new range begins, so that ranges hold about FILE bytes of ids, or SHARE rows of the sample."""
     n, size = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
     some = tokens.select("none", "id", F.xxhash64("ids").alias("h"), F.octet_length("ids").alias("size"))
     some = (some.sample(SAMPLE / n, seed=1) if n > SAMPLE else some).toPandas()
     keys = _keys(some["none"], some["id"], some["h"])
     order = np.argsort(keys, kind="stable")
-    files = max(least, -(-size // FILE))
+    ranges = max(least, min(-(-size // FILE), len(keys) // SHARE))
     full = np.cumsum(some["size"].to_numpy(np.float64)[order])
-    at = np.searchsorted(full, full[-1] * np.arange(1, files) / files) if len(full) else np.empty(0, int)
+    at = np.searchsorted(full, full[-1] * np.arange(1, ranges) / ranges) if len(full) else np.empty(0, int)
     return keys[order][at]
 
 
