@@ -139,7 +139,7 @@ def test_processor_candidates(table):
     assert [c.norm for c in intel] == ["bx8071513900k", "srmgd", "coreultra7265k", "265k"]
     rows = table("t string, m string", [("amd epyc 7763", "100-000000314-04"), ("epyc 7742/7702", "EPYC 7742")])
     got = rows.select(processors.candidates(F.col("t"), F.col("m")).alias("c"), processors.attributes(F.col("t"), F.lower("m")).alias("a")).collect()
-    assert (got[0].c[0].norm, got[0].c[0].kind, got[0].a["sample"]) == ("10000000031404", "structured", "100-000000314-04")
+    assert (got[0].c[0].norm, got[0].c[0].kind, got[0].a["sample"]) == ("10000000031404", "manufacturer_mpn", "100-000000314-04")
     assert [c.norm for c in got[1].c] == ["epyc7742"]
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .candidates import CODE, MAKER, TWO_DIGITS, TWO_LETTERS, UNKNOWN, every, found, merged, none
 from .categories import sole
-from .keys import alias_key_ascii
 from .let import let
 from .spans import LOCK_REFERENCES, PROCESSOR_REFERENCES, blanked, masked
 from .wording import LOCK_OEMS, NEGATED_LOCK, assertions, says
@@ -43,11 +43,7 @@ SSPEC = r"\bsr[a-z0-9]{3}\b"
 SAMPLE = rf"(?<![a-z0-9])(?:es[12]?|qs|samples?|pre-?production|pre\s+production|100-\d{{9}}-(?!{LOCK_OEMS}(?![a-z0-9]))[a-z0-9]+)(?![a-z0-9])"
 BUNDLE = r"(?<![a-z0-9])(?:mother[-\s]?boards?|main[-\s]?boards?|mobo|barebones?|combos?|bundles?|kits?|(?:with|w/|incl|including|plus|\+)\s*[2-9]\s?x|[2-9]\s?x\s+(?:cpus?|processors?|amd|intel|epyc|xeon))(?![a-z0-9])"
 UNLOCKED, UNLOCK, LOCKED = r"\bun-?locked\b", r"\bun-?lock\b", rf"\blocked\b|\b(?:vendor|psb|{LOCK_OEMS})[-\s]lock\b|\b{LOCK_OEMS}\s+only\b"
-CODE, CODE_TAIL = r"\b[a-z0-9][a-z0-9./-]{5,23}\b", r"(?:\d(?:ghz|mhz|mb|gb|w)|lga\d+|\dc/\d+t|\d-?cores?)$"
-
-
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+TAILS = r"(?:\d(?:ghz|mhz|mb|gb|w)|lga\d+|\dc/\d+t|\d-?cores?)$"
 
 
 def _marker(text: Column, pattern: str) -> Column:
@@ -64,23 +60,19 @@ def brand(title: Column) -> Column:
     return sole(F.array(*[F.when(title.rlike(p), F.lit(b)) for p, b in BRANDS]))
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
-
-
 def _server_models(identity: Column) -> Column:
     """Model numbers of the line whose titles give them without the line's name."""
-    return F.when(identity.rlike(r"\bepyc\b"), _all(blanked(identity, PIN_COUNT, *SOCKETS), EPYC_MODEL)).otherwise(_none())
+    return F.when(identity.rlike(r"\bepyc\b"), every(blanked(identity, PIN_COUNT, *SOCKETS), EPYC_MODEL)).otherwise(none())
 
 
 def models(identity: Column) -> Column:
     """Sorted array of the different models that a title names, hyphens and blanks left out."""
 
     def others(bare: Column) -> Column:
-        runs = _all(bare, f"{TIER_MODEL}(?:{NEXT_MODEL})*")
-        tiers = F.flatten(F.transform(runs, lambda r: _all(r, r"\b\d{4}[a-z]{0,2}\+?(?![a-z0-9])")))
-        xeon = F.when(bare.rlike(r"\bxeon\b"), F.concat(tiers, _all(bare, E_MODEL, 1))).otherwise(_none())
-        return F.transform(F.concat(*[_all(bare, p, 1) for _, p in LINES], xeon), lambda m: F.regexp_replace(m, r"[\s-]", ""))
+        runs = every(bare, f"{TIER_MODEL}(?:{NEXT_MODEL})*")
+        tiers = F.flatten(F.transform(runs, lambda r: every(r, r"\b\d{4}[a-z]{0,2}\+?(?![a-z0-9])")))
+        xeon = F.when(bare.rlike(r"\bxeon\b"), F.concat(tiers, every(bare, E_MODEL, 1))).otherwise(none())
+        return F.transform(F.concat(*[every(bare, p, 1) for _, p in LINES], xeon), lambda m: F.regexp_replace(m, r"[\s-]", ""))
 
     return let(identity, lambda t: F.array_sort(F.array_distinct(F.concat(_server_models(t), let(blanked(t, PIN_COUNT), others)))))
 
@@ -121,12 +113,12 @@ def attributes(title: Column, structured: Column | None = None) -> Column:
     merchant's own part number (``structured``, canonical) counts, too."""
 
     def read(t: Column) -> Column:
-        cores = F.concat(_all(t, CORES, 1), _all(t, CORES, 2))
-        sockets = F.concat(*[_all(t, p) for p in SOCKETS])
+        cores = F.concat(every(t, CORES, 1), every(t, CORES, 2))
+        sockets = F.concat(*[every(t, p) for p in SOCKETS])
         return F.struct(
             sole(F.transform(sockets, socket_key)).alias("socket"),
             sole(F.transform(F.filter(cores, lambda c: c != ""), lambda c: c.cast("int"))).alias("cores"),
-            sole(F.transform(_all(t, WATTS, 1), lambda w: w.cast("int"))).alias("tdp_w"),
+            sole(F.transform(every(t, WATTS, 1), lambda w: w.cast("int"))).alias("tdp_w"),
             vendor_lock(t).alias("vendor_lock"),
             identity_text(t).alias("own"),
         )
@@ -155,26 +147,22 @@ def model_key(model_number: Column) -> Column:
 
 
 def candidates(title: Column, structured: Column | None = None) -> Column:
-    """array<struct<norm, kind, vendor, confidence>>: of each key the most certain (the first of equals), in the order
-    of certainty. Of a title that names several of the server line only the merchant's own number counts."""
-
-    def of(found: Column, kind: str, vendor: Column, sure: float) -> Column:
-        return F.transform(found, lambda t: F.struct(alias_key_ascii(t).alias("norm"), F.lit(kind).alias("kind"), vendor.alias("vendor"), F.lit(sure).alias("confidence")))
+    """Ordering codes, names with and without their line, and codes; of a title that names several of the server line
+    only the merchant's own number counts."""
 
     def read(x: Column) -> Column:
         own, maker = x["own"], x["maker"]
-        parts = []
+        hits = []
         if structured is not None:
-            parts.append(of(F.when(F.trim(structured) != "", F.array(F.lower(structured))).otherwise(_none()), "structured", maker, 0.98))
-        parts += [of(_all(own, p), "manufacturer_mpn", F.lit(vendor), 0.9) for vendor, p in ORDERING]
-        parts.append(of(F.when(maker == "intel", _all(own, SSPEC)).otherwise(_none()), "manufacturer_mpn", F.lit("intel"), 0.85))
-        epyc = _all(own, EPYC_NAME, 2)
-        names = [("amd", F.transform(epyc, lambda n: F.concat(F.lit("epyc "), n)), epyc), *((v, _all(own, p), _all(own, p, 1)) for v, p in LINES)]
+            hits.append(found(F.when(F.trim(structured) != "", F.array(F.lower(F.trim(structured)))).otherwise(none()), MAKER, F.coalesce(maker, F.lit("")), 0.98, structured=True))
+        hits += [found(every(own, p), MAKER, vendor, 0.9) for vendor, p in ORDERING]
+        hits.append(found(F.when(maker == "intel", every(own, SSPEC)).otherwise(none()), MAKER, "intel", 0.85))
+        epyc = every(own, EPYC_NAME, 2)
+        names = [("amd", F.transform(epyc, lambda n: F.concat(F.lit("epyc "), n)), epyc), *((v, every(own, p), every(own, p, 1)) for v, p in LINES)]
         for vendor, whole, number in names:
-            parts += [of(whole, "manufacturer_mpn", F.lit(vendor), 0.85), of(number, "manufacturer_mpn", F.lit(vendor), 0.75)]
-        codes = F.filter(_all(own, CODE), lambda t: t.rlike("[a-z].*[a-z]") & t.rlike(r"\d.*\d") & ~t.rlike(CODE_TAIL))
-        parts.append(of(codes, "unknown_code", F.lit(""), 0.3))
-        return merged(F.concat(*parts))
+            hits += [found(whole, MAKER, vendor, 0.85), found(number, MAKER, vendor, 0.75)]
+        codes = F.filter(every(own, CODE), lambda t: t.rlike(TWO_LETTERS) & t.rlike(TWO_DIGITS) & ~t.rlike(TAILS))
+        return merged(F.concat(*hits, found(codes, UNKNOWN, "", 0.3)))
 
     def guarded(own: Column) -> Column:
         several = F.size(F.array_distinct(_server_models(own))) > 1
@@ -183,17 +171,6 @@ def candidates(title: Column, structured: Column | None = None) -> Column:
     return let(identity_text(title), guarded)
 
 
-def merged(found: Column) -> Column:
-    """One candidate a key: the most certain, the first of equals; the more certain first, else in their order."""
-    order = F.transform(F.filter(found, lambda c: c["norm"] != ""), lambda c, i: F.struct((-c["confidence"]).alias("less"), i.alias("at"), c.alias("c")))
-
-    def first(some: Column) -> Column:
-        norms = F.transform(some, lambda o: o["c"]["norm"])
-        return F.transform(F.filter(some, lambda o, i: F.array_position(norms, o["c"]["norm"]) == i + 1), lambda o: o["c"])
-
-    return let(F.array_sort(order), first)
-
-
 def vetoes(said: Column, socket: Column, cores: Column, model: Column) -> Column:
     """Names of what speaks against a catalog processor: markers of their own, others where both sides know and differ."""
     marks = [F.when(said[k].isNotNull(), F.lit(k)) for k in ("sample", "bundle", "multi_model")]

@@ -14,7 +14,13 @@ OEM_FANOUT = 0.8
 LINEAGE = ("western_digital", "hgst", "sandisk")
 CAPACITY_TOLERANCE = 0.01
 #: Alias types that a kind of token may ground.
-COMPATIBLE = {"manufacturer_mpn": ("mpn",), "oem": ("oem_pn",), "house_sku": ("house_sku",), "structured": ("mpn", "oem_pn", "house_sku")}
+COMPATIBLE = {
+    "manufacturer_mpn": ("mpn", "retail_pn", "region_pn"),
+    "oem": ("oem_pn",),
+    "house_sku": ("house_sku", "other", "retail_pn"),
+    "unknown_code": ("mpn", "oem_pn", "retail_pn", "region_pn"),
+    "structured": ("mpn", "oem_pn", "house_sku"),
+}
 
 
 def alias_hits(listings: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -22,16 +28,17 @@ def alias_hits(listings: DataFrame, aliases: DataFrame) -> DataFrame:
     of the listing's site or of none, and of a type that the token's kind may ground. Where the aliases say more
     (source_kind, variant_id, spec and so on), that follows.
 
-    ``listings``: listing_id, site, candidates array<struct<norm, kind>>. ``aliases``: norm, alias_type, site, model_id, family_id, brand.
+    ``listings``: listing_id, site, candidates array<struct<norm, kind>>; where these say vendor, structured or review_only, too, so do the hits. ``aliases``: norm, alias_type, site, model_id, family_id, brand.
     The join is on the normalized text; the rest are conditions on its pairs.
     """
     tokens = listings.select("listing_id", F.col("site").alias("_site"), F.explode("candidates").alias("_c"))
-    tokens = tokens.select("listing_id", "_site", F.col("_c.norm").alias("_norm"), F.col("_c.kind").alias("kind"))
+    said = [c for c in ("vendor", "structured", "review_only") if c in listings.schema["candidates"].dataType.elementType.names]
+    tokens = tokens.select("listing_id", "_site", F.col("_c.norm").alias("_norm"), F.col("_c.kind").alias("kind"), *[F.col(f"_c.{c}").alias(f"_{c}") for c in said])
     allowed = F.create_map(*[x for k, ts in COMPATIBLE.items() for x in (F.lit(k), F.array(*map(F.lit, ts)))])
     met = tokens.join(aliases, (F.col("_norm") == F.col("norm")) & (F.col("site").isNull() | (F.col("site") == F.col("_site"))))
     more = [c for c in aliases.columns if c in ("source_kind", "grain", "variant_id", "spec")]
     met = met.where(F.array_contains(allowed[F.col("kind")], F.col("alias_type")))
-    return met.select("listing_id", "norm", "kind", "alias_type", "model_id", "family_id", "brand", (F.col("kind") == "structured").alias("structured"), *more)
+    return met.select("listing_id", "norm", "kind", "alias_type", "model_id", "family_id", "brand", (F.col("_structured") if "structured" in said else F.col("kind") == "structured").alias("structured"), *[F.nullif(F.col("_vendor"), F.lit("")).alias("vendor") if c == "vendor" else F.col(f"_{c}").alias(c) for c in said if c != "structured"], *more)
 
 
 #: What the ladder compares between a listing and a catalog record, besides capacity and family.

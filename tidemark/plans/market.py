@@ -51,7 +51,6 @@ def resolved(offers: DataFrame, aliases: DataFrame, priors: DataFrame | None = N
     token = F.get(F.filter("candidates", lambda c: c["kind"] == "manufacturer_mpn"), F.lit(0))["norm"]
     decoded = rows.select("listing_id", mpn.decode(token).alias("d")).where("d is not null").select("listing_id", "d.vendor", "d.family", F.col("d.capacity_bytes").alias("capacity"), "d.provenance")
     hits = resolve.alias_hits(rows, aliases)
-    hits = hits.withColumn("vendor", F.when(F.col("kind") == "manufacturer_mpn", mpn.decode(F.col("norm"))["vendor"]))
     return resolve.decide(rows, hits, decoded, priors)
 
 

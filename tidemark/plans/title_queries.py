@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import processors, spans, title
+from ..functions import candidates, processors, spans, title
 from .common import table
 from .registry import query
 
@@ -83,3 +83,28 @@ def q_citation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.when(k % 4 == i, x).otherwise(text)
     rows = table(spark, sf_dir, "part").select(k, text.alias("t"))
     return rows.select(k, F.length("t").cast("long").alias("n"), spans.masked(F.col("t"), spans.DRIVE_REFERENCES, spans.LEADING).alias("masked"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_partkey, 'st' || (1000 + p_partkey % 9000) || 'nm' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS mpn, '00' || (4000000 + p_partkey) AS emc, lpad(CAST(p_partkey % 1000000 AS VARCHAR), 6, '0') || '-ba1' AS hp, '0f' || lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') AS retail FROM part),
+c AS (SELECT *, list_filter([CASE WHEN k % 2 = 0 THEN mpn || ':manufacturer_mpn:seagate:' || CASE WHEN k % 3 = 0 THEN 'structured' ELSE 'title' END WHEN k % 3 = 0 THEN mpn || ':manufacturer_mpn:seagate:structured' END,
+ CASE WHEN k % 5 IN (0, 1) THEN emc || ':oem:dell_emc:title' END, CASE WHEN k % 7 < 3 THEN replace(hp, '-', '') || ':oem:hpe:title' END,
+ CASE WHEN k % 7 IN (3, 4) THEN replace(hp, '-', '') || ':unknown_code::title' END, CASE WHEN k % 11 = 0 THEN retail || ':unknown_code::review' END], lambda x: x IS NOT NULL) AS found FROM t)
+SELECT p_partkey, array_to_string(found, ' ') AS found, CASE WHEN k % 2 = 0 THEN mpn ELSE '' END AS mpns FROM c""")
+def q_number_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of makers and resellers, with and without the word that opens their gate, cited beside, and the structured field."""
+    k = F.col("p_partkey")
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    mpn = F.concat(F.lit("ST"), (1000 + k % 9000).cast("string"), F.lit("NM"), pad(F.col("p_size"), 3))
+    emc, hp, retail = F.concat(F.lit("00"), (4_000_000 + k).cast("string")), F.concat(pad(k % 1_000_000, 6), F.lit("-BA1")), F.concat(F.lit("0F"), pad(k % 100_000, 5))
+    bits = [
+        F.lit("Drive"),
+        F.when(k % 2 == 0, mpn),
+        F.when(k % 5 == 0, F.concat(F.lit("Dell "), emc)).when(k % 5 == 1, F.concat(F.lit("EMC "), emc)).when(k % 5 == 2, emc),
+        F.when(k % 7 < 3, F.concat(F.lit("for HPE ProLiant "), hp)).when(k % 7 < 5, hp),
+        F.when(k % 11 == 0, retail),
+        F.when(k % 13 == 0, ", replacement for (NetApp X477A, HP 999999-B99) drives"),
+    ]
+    rows = table(spark, sf_dir, "part").select(k, title.canonical_title(F.concat_ws(" ", *bits)).alias("t"), F.when(k % 3 == 0, mpn).alias("m"))
+    rows = rows.select(k, candidates.candidates(F.col("t"), F.col("m")).alias("c"))
+    said = F.transform("c", lambda c: F.concat_ws(":", c["norm"], c["kind"], c["vendor"], F.when(c["structured"], "structured").when(c["review_only"], "review").otherwise("title")))
+    return rows.select(k, F.array_join(said, " ").alias("found"), F.array_join(candidates.mpns(F.col("c")), " ").alias("mpns"))
