@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+
 #: Confidence of an alias by where it came from, of a decoded number by its grammar's source, of an
 #: OEM number that several models share; brands of one lineage; how far capacities of one product may differ.
 BY_SOURCE = {"catalog_authoritative": 0.98, "manual": 0.95, "listing_derived": 0.85}
@@ -148,59 +150,124 @@ def decide(listings: DataFrame, hits: DataFrame, decoded: DataFrame, priors: Dat
         p = p.select("listing_id", F.struct("grain", F.col("target").cast("string").alias("target"), F.col("model_id").cast("string").alias("model_id"), F.col("confidence").cast("double").alias("confidence"), F.col("spec").cast(_SPEC).alias("spec")).alias("prior"))
         rows = rows.join(p, "listing_id", "left")
 
-    brand, said, mentions = F.col("brand"), F.col("spec"), F.col("mentions")
-    rows = rows.withColumn("hits", F.coalesce("hits", F.filter(F.array(F.lit(None).cast(each.schema["hits"].dataType.elementType)), lambda h: h.isNotNull())))
-    rows = rows.withColumn("ground", F.filter("hits", lambda h: ~h["review_only"]))
-    rows = rows.withColumn("viable", F.array_sort(F.filter("ground", lambda h: brands_agree(brand, h["brand"]))))
-    rows = rows.withColumn("clean", F.filter("viable", lambda h: F.size(contradicted(said, mentions, h["spec"])) == 0))
-    target_of = lambda h: F.struct(h["grain"].alias("g"), h["family_id"].alias("f"), h["model_id"].alias("m"), h["variant_id"].alias("v"))
-    n_targets = F.size(F.array_distinct(F.transform("viable", target_of)))
-    families = F.array_distinct(F.transform("viable", lambda h: F.coalesce(h["family_id"], F.lit(""))))
-    best, best_clean = F.get("viable", F.lit(0)), F.get("clean", F.lit(0))
-    shown = brand.isNotNull() | best["structured"] | (best["vendor"].isNotNull() & brands_agree(best["vendor"], best["brand"]))
-    fan = (F.size(families) == 1) & (families[0] != "") & F.forall("viable", lambda h: h["alias_type"] == "oem_pn") & (F.size("clean") > 0)
-    dec = F.col("decoded")
-    by_provenance = F.create_map(*[F.lit(x) for kv in BY_PROVENANCE.items() for x in kv])[dec["provenance"]]
-    no_spec = F.lit(None).cast(_SPEC)
-
-    def found(outcome: str, rung: int | None, reason: str, grain: Column | None = None, target: Column | None = None, confidence: Column | None = None, model: Column | None = None, spec: Column | None = None) -> Column:
-        text, zero = F.lit(None).cast("string"), F.lit(0.0)
-        return F.struct(F.lit(outcome).alias("outcome"), F.lit(rung).cast("int").alias("rung"), (F.lit("none") if grain is None else grain).alias("grain"), (text if target is None else target).alias("target"), (zero if confidence is None else confidence).cast("double").alias("confidence"), F.lit(reason).alias("reason"), (text if model is None else model).alias("model"), (no_spec if spec is None else spec).alias("ground_spec"))
-
-    family_alone = F.when(best_clean["spec"].isNotNull(), F.struct(F.lit(None).cast("bigint").alias("capacity"), *[F.lit(None).cast("string").alias(w) for w in _WORDS], best_clean["spec"]["family"].alias("family")))
-    of_decode = F.struct(dec["capacity"].alias("capacity"), *[F.lit(None).cast("string").alias(w) for w in _WORDS], F.struct(dec["vendor"].alias("brand"), dec["family"].alias("name")).alias("family"))
-    finest = F.coalesce(best["variant_id"], best["model_id"], best["family_id"])
-    old = F.col("prior")
-    hit = F.size("ground") > 0
-    verdict = (
-        F.when(old.isNotNull() & (F.size(contradicted(said, mentions, old["spec"])) > 0), found("review", 0, "veto"))
-        .when(old.isNotNull(), found("accept", 0, "prior", old["grain"], old["target"], old["confidence"], old["model_id"], old["spec"]))
-        .when(hit & (F.size("viable") == 0), found("review", 1, "brand_contradicts_exact_alias"))
-        .when(hit & (n_targets == 1) & (F.size(contradicted(said, mentions, best["spec"])) > 0), found("review", 1, "veto"))
-        .when(hit & (n_targets == 1) & ~F.coalesce(shown, F.lit(False)), found("review", 1, "no_brand_evidence"))
-        .when(hit & (n_targets == 1), found("accept", 1, "exact_alias", best["grain"], finest, best["trust"], best["model_id"], best["spec"]))
-        .when(hit & fan, found("accept", 1, "oem_fan_out", F.lit("family"), families[0], F.lit(OEM_FANOUT), None, family_alone))
-        .when(hit, found("review", 1, "conflicting_targets"))
-        .when(dec["family"].isNull(), found("none", None, "no_evidence"))
-        .when(~brands_agree(brand, dec["vendor"]), found("review", 2, "brand_contradicts_decode"))
-        .when(F.size(other_families(mentions, dec["vendor"], dec["family"])) > 0, found("review", 2, "family_contradicts_decode"))
-        .when(_far(said["capacity"], dec["capacity"]), found("review", 2, "veto"))
-        .otherwise(found("accept", 2, "mpn_decode", F.lit("family"), F.concat_ws("/", dec["vendor"], dec["family"]), F.coalesce(by_provenance, F.lit(BY_PROVENANCE["inferred"])), None, of_decode))
+    # what a decision needs to know, once per listing; each hit is held against the listing once
+    none = F.filter(F.array(F.lit(None).cast(each.schema["hits"].dataType.elementType)), lambda h: h.isNotNull())
+    rows = rows.withColumns({"hits": F.coalesce("hits", none), "facts": _facts(F.col("brand"), F.col("spec"), F.col("mentions"), F.coalesce("hits", none), F.col("decoded"), F.col("prior"))})
+    rows = rows.select("listing_id", "quantity", "mpns", "one_mpn", "hits", "decoded", "prior", "facts", _code(F.col("facts"), F.col("decoded"), F.col("prior")).alias("code"))
+
+    f, code, dec, old = F.col("facts"), F.col("code"), F.col("decoded"), F.col("prior")
+    best = f["best"]
+    by_provenance = F.coalesce(F.create_map(*[F.lit(x) for kv in BY_PROVENANCE.items() for x in kv])[dec["provenance"]], F.lit(BY_PROVENANCE["inferred"]))
+    text = lambda n: F.lit(None).cast("string").alias(n)
+    of_family = lambda capacity, family: F.struct(capacity.cast("bigint").alias("capacity"), *map(text, _WORDS), family.alias("family"))
+    by_code = lambda prior, hit, fan, decode: F.when(code == "prior", prior).when(code == "exact_alias", hit).when(code == "oem_fan_out", fan).when(code == "mpn_decode", decode)
+    told = F.create_map(*[x for k, (outcome, rung, reason) in _CODES.items() for x in (F.lit(k), F.struct(F.lit(outcome).alias("outcome"), F.lit(rung).cast("int").alias("rung"), F.lit(reason).alias("reason")))])[code]
+    rows = rows.select(
+        "listing_id",
+        "quantity",
+        "mpns",
+        "one_mpn",
+        "hits",
+        told.alias("r"),
+        told["rung"].alias("rung"),
+        by_code(old["grain"], best["grain"], F.lit("family"), F.lit("family")).alias("grain"),
+        by_code(old["target"], F.coalesce(best["variant_id"], best["model_id"], best["family_id"]), f["family"], F.concat_ws("/", dec["vendor"], dec["family"])).alias("target"),
+        by_code(old["confidence"], best["trust"], F.lit(OEM_FANOUT), by_provenance).alias("confidence"),
+        by_code(old["model_id"], best["model_id"], F.lit(None), F.lit(None)).alias("model"),
+        by_code(
+            old["spec"],
+            best["spec"],
+            F.when(f["clean_family"].isNotNull(), of_family(F.lit(None), f["clean_family"])),
+            of_family(dec["capacity"], F.struct(dec["vendor"].alias("brand"), dec["family"].alias("name"))),
+        ).alias("ground_spec"),
     )
-    rows = rows.select("listing_id", "quantity", "mpns", "one_mpn", "hits", verdict.alias("r")).select("*", F.col("r.rung").alias("rung"))
-    rows = rows.withColumn("why", F.when(F.col("r.outcome") == "accept", _ambiguities(F.col("r.ground_spec"), F.col("r.model"))).otherwise(F.array().cast("array<string>")))
-    down = F.size("why") > 0
+    why = F.when(F.col("r.outcome") == "accept", _ambiguities(F.col("ground_spec"), F.col("model"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("*", why.alias("why"))
+    down, accepted = F.size("why") > 0, F.col("r.outcome") == "accept"
     return rows.select(
         "listing_id",
         F.when(down, "review").otherwise(F.col("r.outcome")).alias("outcome"),
         "rung",
-        F.when(down, "none").otherwise(F.col("r.grain")).alias("grain"),
-        F.when(~down, F.col("r.target")).alias("target"),
-        F.when(down, 0.0).otherwise(F.col("r.confidence")).alias("confidence"),
+        F.when(accepted & ~down, F.col("grain")).otherwise("none").alias("grain"),
+        F.when(accepted & ~down, F.col("target")).alias("target"),
+        F.when(accepted & ~down, F.coalesce("confidence", F.lit(0.0))).otherwise(0.0).alias("confidence"),
         F.when(down, F.array_join("why", ",")).otherwise(F.col("r.reason")).alias("reason"),
     )
 
 
+#: What each way of the ladder ends in: outcome, rung, reason.
+_CODES = {
+    "prior_veto": ("review", 0, "veto"),
+    "prior": ("accept", 0, "prior"),
+    "brand_contradicts_exact_alias": ("review", 1, "brand_contradicts_exact_alias"),
+    "hit_veto": ("review", 1, "veto"),
+    "no_brand_evidence": ("review", 1, "no_brand_evidence"),
+    "exact_alias": ("accept", 1, "exact_alias"),
+    "oem_fan_out": ("accept", 1, "oem_fan_out"),
+    "conflicting_targets": ("review", 1, "conflicting_targets"),
+    "no_evidence": ("none", None, "no_evidence"),
+    "brand_contradicts_decode": ("review", 2, "brand_contradicts_decode"),
+    "family_contradicts_decode": ("review", 2, "family_contradicts_decode"),
+    "decode_veto": ("review", 2, "veto"),
+    "mpn_decode": ("accept", 2, "mpn_decode"),
+}
+
+
+def _facts(brand: Column, said: Column, mentions: Column, hits: Column, dec: Column, prior: Column) -> Column:
+    """Of a listing's hits that may ground a decision: how many there are, of the brand's in their order the first, its
+    vetoes, the number of targets, the one family (null if several), whether all are OEM numbers, and whether and of
+    which family one is without a veto; beside them what speaks against the prior and the decode."""
+    against = lambda spec: F.size(contradicted(said, mentions, spec)) > 0
+
+    def of_viable(n: Column, viable: Column) -> Column:
+        def read(v: Column) -> Column:
+            best = F.get(v, F.lit(0))
+            targets = F.array_distinct(F.transform(v, lambda x: F.struct(*[x["h"][k].alias(k) for k in ("grain", "family_id", "model_id", "variant_id")])))
+            families = F.array_distinct(F.transform(v, lambda x: F.coalesce(x["h"]["family_id"], F.lit(""))))
+            clean = F.filter(v, lambda x: ~x["bad"])
+            shown = brand.isNotNull() | best["h"]["structured"] | (best["h"]["vendor"].isNotNull() & brands_agree(best["h"]["vendor"], best["h"]["brand"]))
+            return F.struct(
+                n.alias("n_ground"),
+                F.size(v).alias("n_viable"),
+                best["h"].alias("best"),
+                best["bad"].alias("bad"),
+                F.coalesce(shown, F.lit(False)).alias("shown"),
+                F.size(targets).alias("n_targets"),
+                F.when(F.size(families) == 1, F.nullif(F.get(families, F.lit(0)), F.lit(""))).alias("family"),
+                F.forall(v, lambda x: x["h"]["alias_type"] == "oem_pn").alias("all_oem"),
+                (F.size(clean) > 0).alias("some_clean"),
+                F.get(clean, F.lit(0))["h"]["spec"]["family"].alias("clean_family"),
+                (prior.isNotNull() & against(prior["spec"])).alias("prior_bad"),
+                (F.size(other_families(mentions, dec["vendor"], dec["family"])) > 0).alias("decode_family_bad"),
+                _far(said["capacity"], dec["capacity"]).alias("decode_far"),
+                brands_agree(brand, dec["vendor"]).alias("decode_brand_fits"),
+            )
+
+        return let(F.transform(viable, lambda h: F.struct(h.alias("h"), against(h["spec"]).alias("bad"))), read)
+
+    return let(F.filter(hits, lambda h: ~h["review_only"]), lambda g: of_viable(F.size(g), F.array_sort(F.filter(g, lambda h: brands_agree(brand, h["brand"])))))
+
+
+def _code(f: Column, dec: Column, prior: Column) -> Column:
+    """The way of the ladder that a listing goes, a key of _CODES."""
+    hit, one = f["n_ground"] > 0, f["n_targets"] == 1
+    return (
+        F.when(f["prior_bad"], "prior_veto")
+        .when(prior.isNotNull(), "prior")
+        .when(hit & (f["n_viable"] == 0), "brand_contradicts_exact_alias")
+        .when(hit & one & f["bad"], "hit_veto")
+        .when(hit & one & ~f["shown"], "no_brand_evidence")
+        .when(hit & one, "exact_alias")
+        .when(hit & f["family"].isNotNull() & f["all_oem"] & f["some_clean"], "oem_fan_out")
+        .when(hit, "conflicting_targets")
+        .when(dec["family"].isNull(), "no_evidence")
+        .when(~f["decode_brand_fits"], "brand_contradicts_decode")
+        .when(f["decode_family_bad"], "family_contradicts_decode")
+        .when(f["decode_far"], "decode_veto")
+        .otherwise("mpn_decode")
+    )
+
+
 def changed_edges(decisions: DataFrame, current: DataFrame) -> DataFrame:
     """Decisions that differ from the listing's current edge (outcome, grain, target, reason): only these are appended."""
     cols = ("outcome", "grain", "target", "reason")
