@@ -104,7 +104,7 @@ def test_recordings_conflicts_and_missing_requirements(table):
 
 def test_catalog_texts(table):
     df = table("t string", [("SATA 6Gb/s",), ("12G SAS/SATA",), ("IDE",), ("unknown",), ("",), (None,)])
-    assert [r[0] for r in df.select(clauses.token(F.col("t"), clauses.DRIVE_INTERFACES)).collect()] == ["sata", "sas", None, None, None, None]
+    assert [r[0] for r in df.select(clauses.token_of(F.col("t"), clauses.DRIVE_INTERFACES)).collect()] == ["sata", "sas", None, None, None, None]
     assert [r[0] for r in df.select(clauses.known(F.col("t"))).collect()] == ["SATA 6Gb/s", "12G SAS/SATA", "IDE", None, None, None]
 
 

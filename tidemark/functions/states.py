@@ -39,17 +39,13 @@ def run_outcome(status: Column, completeness: Column, failure: Column) -> Column
     )
 
 
-def known(text: Column) -> Column:
-    """A catalog value; empty and unknown ones are null."""
-    return F.when(~F.lower(F.trim(text)).isin("", "unknown", "n/a"), F.trim(text))
-
-
 def token_of(text: Column, tokens: tuple[str, ...]) -> Column:
     """The first of the tokens that a free text holds."""
     return F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(t)), F.lit(t)) for t in tokens])
 
 
 def kit_total(modules: Column, size: Column) -> Column:
+    """Of memory; unknown where either is."""
     return modules * size
 
 

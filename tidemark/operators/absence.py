@@ -29,6 +29,25 @@ def _micros(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp"))
 
 
+def gate(scope_complete: Column, stale_allowed: Column, completeness: Column, stale_eligible: Column) -> Column:
+    """struct<gated, complete>: whether a run's evidence lets its scope speak, and whether as a complete one.
+
+    Only a complete run keeps a complete scope complete. An incomplete claim, or a truncated run, may speak of stale
+    listings where both the run (``stale_eligible``: local ones only) and the scope allow that; a null scope, partial and
+    failed runs are silent.
+    """
+    whole, may = F.coalesce(scope_complete, F.lit(False)), F.coalesce(stale_eligible & stale_allowed, F.lit(False))
+    gated = scope_complete.isNotNull() & F.when(completeness == "complete", whole | may).when(completeness == "truncated", may).otherwise(F.lit(False))
+    return F.struct(gated.alias("gated"), (gated & (completeness == "complete") & whole).alias("complete"))
+
+
+def eligible(local: Column, completeness: Column, stale_eligible: Column, scope_complete: Column) -> Column:
+    """Whether a run counts as having swept its scope: complete, or truncated where a stale absence may follow; of a
+    remote run only if its own scope claims to be complete, too."""
+    own = (completeness == "complete") | ((completeness == "truncated") & F.coalesce(stale_eligible, F.lit(False)))
+    return F.coalesce(F.when(local, own).otherwise((completeness == "complete") & F.coalesce(scope_complete, F.lit(False))), F.lit(False))
+
+
 def continuous(reports: DataFrame, tolerance_s: Column) -> DataFrame:
     """``reports`` (site, run, at, scope, eligible and whatever else; one row a run and scope) with ``continuous_since``.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.states import kit_total, token_of
 from .eligibility import MATCH, NO_MATCH, UNKNOWN, at_least, at_most, equal_to, one_of, recording_contradicted, vendor_lock_outcome
 
 # Clauses by category in their order: name, requirement, comparison, catalog field, title field.
@@ -42,6 +43,7 @@ CLAUSES = {
 }
 DRIVE_INTERFACES = ("nvme", "sas", "sata", "scsi", "usb")
 DRIVE_FORM_FACTORS = ("3.5", "2.5", "m.2")
+__all__ = ["CLAUSES", "DRIVE_FORM_FACTORS", "DRIVE_INTERFACES", "kit_total", "known", "product_clause", "product_clauses", "token_of"]
 _HOW = {"least": at_least, "most": at_most, "among": one_of, "recording": one_of, "equal": equal_to}
 
 
@@ -50,16 +52,6 @@ def known(value: Column) -> Column:
     return F.when(~value.isin("", "unknown"), value)
 
 
-def token(text: Column, names: tuple[str, ...]) -> Column:
-    """The first of the names that a catalog's free text holds."""
-    return F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(n)), F.lit(n)) for n in names])
-
-
-def kit_total(modules: Column, size: Column) -> Column:
-    """Of memory, said by a title only where it says both."""
-    return modules * size
-
-
 def product_clause(name: str, bound: Column, how: str, value: Column, said: Column | None, on_conflict: str = NO_MATCH) -> Column:
     """struct<clause, outcome, tier>. ``said`` is what a title says surely enough, else null."""
     test = _HOW[how]

@@ -114,15 +114,6 @@ def run_class(status: Column, report: Column, counted: Column, usable: Column) -
     )
 
 
-def proves_absence(kind: Column, completeness: Column) -> Column:
-    """Only complete full runs do."""
-    return F.coalesce((kind == "full") & (completeness == "complete"), F.lit(False))
-
-
-def counts_for_continuity(kind: Column, completeness: Column) -> Column:
-    return F.coalesce((kind == "full") & completeness.isin("complete", "truncated"), F.lit(False))
-
-
 def admitted(requests: DataFrame, matrix: DataFrame) -> DataFrame:
     """Requests (source, category) that the matrix (source, category, status) admits; Spark broadcasts the matrix under its threshold."""
     good = matrix.where("status = 'admitted'").select(F.col("source").alias("_source"), F.col("category").alias("_category")).distinct()

@@ -122,6 +122,12 @@ def shortlist(evaluated: DataFrame, price: str, key: str) -> DataFrame:
     return evaluated.where(F.col("verdict") == MATCH).orderBy(F.asc_nulls_last(price), key)
 
 
+def meets_target(target: Column, price: Column, shipping_known: Column, quantity: Column, confidence: Column) -> Column:
+    """Whether an offer's price surely is, or isn't, within the price one hopes for; null without one, or if it is open."""
+    said = price_outcome(target, price, shipping_known, quantity, confidence)
+    return F.when(target.isNotNull(), F.when(said == MATCH, F.lit(True)).when(said == NO_MATCH, F.lit(False)))
+
+
 def review_queue(evaluated: DataFrame, key: str) -> DataFrame:
     return evaluated.where((F.col("verdict") == UNKNOWN) | (F.size("stale") > 0)).orderBy(key)
 

@@ -142,7 +142,7 @@ def _judged(category: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     if category == "drive":
         kind = F.when(grade == 0, "hdd").when(grade == 1, "ssd").when(grade == 2, "unknown")
         recording = F.when(grade == 0, "cmr").when(grade == 1, "smr_dm").when(grade == 2, "smr_ha")
-        spec = F.struct(size.alias("capacity_tb"), clauses.known(kind).alias("media_type"), clauses.token(F.concat(F.upper(line), F.lit(" 12Gb/s")), clauses.DRIVE_INTERFACES).alias("interface"), F.lit("3.5").alias("form_factor"), recording.alias("recording_tech"))
+        spec = F.struct(size.alias("capacity_tb"), clauses.known(kind).alias("media_type"), clauses.token_of(F.concat(F.upper(line), F.lit(" 12Gb/s")), clauses.DRIVE_INTERFACES).alias("interface"), F.lit("3.5").alias("form_factor"), recording.alias("recording_tech"))
         need = F.struct(F.lit(20).cast("long").alias("min_capacity_tb"), F.when(~free, F.array(F.lit("hdd"))).alias("media_types"), two.alias("interfaces"), F.array().cast("array<string>").alias("form_factors"), F.array(F.lit("cmr"), F.lit("smr_dm")).alias("recording_techs"))
         said = {"capacity_tb": quantity, "interface": stated, "recording": F.when(open_, "smr")}
     elif category == "gpu":
