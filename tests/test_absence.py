@@ -93,3 +93,12 @@ def test_a_scoped_run_breaks_the_null_scope(table):
 def test_nothing_seen_or_swept(table):
     assert made(table, [], [(1, 1, T0, None, True, True, True, True, 1)], 1, 60) == []
     assert made(table, [(1, "k", 1, T0, None)], [], 1, 60) == [(1, "k", 1, T0, T0, 1, None, None)]
+
+
+def test_evidence_expires_when_its_listing_is_gone(table):
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    told = table("site int, key string, absent_at timestamp", [(1, "a", at(5)), (1, "a", at(9)), (1, "a", None), (1, "b", at(1)), (2, "a", at(2))])
+    rows = [(1, "a", at(3), at(50), True), (1, "a", at(5), at(50), True), (1, "a", at(6), at(50), True), (1, "a", at(10), at(50), True), (1, "a", at(0), at(4), True), (1, "a", at(3), at(50), False), (1, "b", at(3), None, True), (1, "a", at(3), None, True), (3, "z", at(3), at(4), None)]
+    df = table("site int, key string, observed_at timestamp, expires_at timestamp, bounded boolean, n int", [(*r, n) for n, r in enumerate(rows)])
+    got = {r.n: r.expires_at for r in absence.pulled_forward(df, told, F.col("bounded"), 3_600).collect()}
+    assert got == {0: at(5), 1: at(5), 2: at(9), 3: at(50), 4: at(4), 5: at(50), 6: None, 7: at(5), 8: at(4)}

@@ -132,3 +132,15 @@ def episodes(told: DataFrame) -> DataFrame:
     return rows.groupBy("site", "key", "episode").agg(
         F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.count(F.lit(1)).alias("sightings"), F.max("absent_at").alias("delisted_at"), F.max("reason").alias("reason")
     )
+
+
+def pulled_forward(evidence: DataFrame, told: DataFrame, bounded: Column, unit_s: int = 86_400) -> DataFrame:
+    """``evidence`` (site, key, observed_at, expires_at and whatever else) with ``expires_at`` pulled forward to the
+    first time that its listing was found gone (``told``: from ``absences``), where its class is ``bounded``; never
+    pushed back, and a relisting doesn't restore it."""
+    own = F.struct(*[F.col(f"`{c}`") for c in evidence.columns]).alias("row")
+    rows = evidence.select("site", "key", F.struct(_micros(F.col("observed_at")).alias("x"), F.lit(-1).cast("long").alias("n")).alias("pos"), bounded.alias("bounded"), own)
+    gone = told.where(F.col("absent_at").isNotNull()).select("site", "key", F.struct(_micros(F.col("absent_at")).alias("x"), F.lit(0).cast("long").alias("n")).alias("pos"), F.struct("absent_at").alias("said"))
+    out = next_sweep(rows, gone, ["site", "key"], unit_s * 1_000_000)
+    at = F.when(F.coalesce("bounded", F.lit(False)), F.least(F.col("row.expires_at"), F.col("next.said.absent_at").cast(evidence.schema["expires_at"].dataType))).otherwise(F.col("row.expires_at"))
+    return out.select(*[at.alias(c) if c == "expires_at" else F.col(f"row.`{c}`").alias(c) for c in evidence.columns])

@@ -128,18 +128,19 @@ def decide(listings: DataFrame, hits: DataFrame, decoded: DataFrame, priors: Dat
     ``listings``: listing_id, brand; and where known quantity (trusted), mpns array (the title's manufacturer
     numbers), one_mpn (whether these must be one model; true by default), spec (of _SPEC, without its family),
     mentions array<struct<brand, name>>. ``hits``: listing_id, norm, alias_type, brand; and where known source_kind,
-    grain, family_id, model_id, variant_id, vendor (of the number's shape), structured, review_only, spec (of _SPEC).
+    grain, family_id, model_id, variant_id, vendor (of the number's shape), structured, review_only, spec (of _SPEC),
+    vetoes (array: what a category of its own holds against the hit's target).
     ``decoded``: listing_id, vendor, family; capacity, provenance. ``priors``: listing_id, grain, target, model_id,
     confidence, spec. Ids are texts. Hits and decodes of one listing are few; they meet by listing.
     """
     listings = _defaults(listings, {"quantity": "int", "mpns": "array<string>", "one_mpn": "boolean", "spec": _SPEC, "mentions": "array<struct<brand: string, name: string>>"})
     rows = listings.select("listing_id", "brand", "quantity", F.coalesce("mpns", F.array().cast("array<string>")).alias("mpns"), F.coalesce("one_mpn", F.lit(True)).alias("one_mpn"), F.col("spec").cast(_SPEC).alias("spec"), "mentions")
-    hits = _defaults(hits, {"source_kind": "string", "grain": "string", "family_id": "string", "model_id": "string", "variant_id": "string", "vendor": "string", "structured": "boolean", "review_only": "boolean", "spec": _SPEC})
+    hits = _defaults(hits, {"source_kind": "string", "grain": "string", "family_id": "string", "model_id": "string", "variant_id": "string", "vendor": "string", "structured": "boolean", "review_only": "boolean", "spec": _SPEC, "vetoes": "array<string>"})
     ids = [F.col(c).cast("string").alias(c) for c in ("family_id", "model_id", "variant_id")]
     grain = F.coalesce("grain", F.when(F.col("variant_id").isNotNull(), "variant").when(F.col("model_id").isNotNull(), "model").otherwise("family"))
     trust = F.coalesce(F.create_map(*[F.lit(x) for kv in BY_SOURCE.items() for x in kv])[F.col("source_kind")], F.lit(BY_SOURCE_OTHER))
     # in the order of trust; ties by what the hit names
-    each = hits.select("listing_id", (-trust).alias("order"), trust.alias("trust"), "norm", "alias_type", grain.alias("grain"), *ids, "brand", "vendor", F.coalesce("structured", F.lit(False)).alias("structured"), F.coalesce("review_only", F.lit(False)).alias("review_only"), F.col("spec").cast(_SPEC).alias("spec"))
+    each = hits.select("listing_id", (-trust).alias("order"), trust.alias("trust"), "norm", "alias_type", grain.alias("grain"), *ids, "brand", "vendor", F.coalesce("structured", F.lit(False)).alias("structured"), F.coalesce("review_only", F.lit(False)).alias("review_only"), F.col("spec").cast(_SPEC).alias("spec"), (F.coalesce(F.size("vetoes"), F.lit(0)) > 0).alias("vetoed"))
     each = each.groupBy("listing_id").agg(F.collect_set(F.struct(*[c for c in each.columns if c != "listing_id"])).alias("hits"))
     d = _defaults(decoded, {"capacity": "bigint", "provenance": "string"}).select("listing_id", F.struct("vendor", "family", F.col("capacity").cast("bigint").alias("capacity"), "provenance").alias("decoded"))
     rows = rows.join(each, "listing_id", "left").join(d, "listing_id", "left")
@@ -243,7 +244,7 @@ def _facts(brand: Column, said: Column, mentions: Column, hits: Column, dec: Col
                 brands_agree(brand, dec["vendor"]).alias("decode_brand_fits"),
             )
 
-        return let(F.transform(viable, lambda h: F.struct(h.alias("h"), against(h["spec"]).alias("bad"))), read)
+        return let(F.transform(viable, lambda h: F.struct(h.alias("h"), (h["vetoed"] | against(h["spec"])).alias("bad"))), read)
 
     return let(F.filter(hits, lambda h: ~h["review_only"]), lambda g: of_viable(F.size(g), F.array_sort(F.filter(g, lambda h: brands_agree(brand, h["brand"])))))
 

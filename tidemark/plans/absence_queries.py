@@ -52,3 +52,13 @@ def q_presence_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = absence.episodes(_told(spark, sf_dir)[0])
     plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return out.select("site", "key", "episode", plain("first_seen"), plain("last_seen"), "sightings", plain("delisted_at"), "reason")
+
+
+@query(f"""WITH {_TOLD_SQL}, x AS (SELECT event_id, user_id % 2 AS site, user_id AS key, ts, ts + INTERVAL 5 DAY AS expires, event_type <> 'signup' AS bounded FROM events),
+d AS (SELECT event_id, min(gone) AS gone FROM x JOIN a ON a.site = x.site AND a.key = x.key AND gone >= x.ts GROUP BY 1)
+SELECT x.event_id, CASE WHEN bounded THEN least(expires, gone) ELSE expires END AS expires_at FROM x LEFT JOIN d ON d.event_id = x.event_id""")
+def q_evidence_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of bounded classes expires when its listing is found gone, if not before."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 2).alias("site"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("observed_at"), (F.col("ts") + F.expr("interval 5 days")).cast("timestamp").alias("expires_at"), "event_type")
+    out = absence.pulled_forward(e, _told(spark, sf_dir)[0], F.col("event_type") != "signup")
+    return out.select("event_id", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import candidates, processors, spans, title
+from ..operators import resolve
 from .common import table
 from .registry import query
 
@@ -18,6 +19,17 @@ def _pick(n: Column, *xs: str) -> Column:
     return F.get(F.array(*map(F.lit, xs)), (n % len(xs)).cast("int"))
 
 
+def _processor_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    intel = k % 7 == 0
+    name = F.when(intel, "Intel Xeon Gold 6338").otherwise(F.concat(F.lit("AMD EPYC "), _pick(k, "7763", "7742", "9354P", "7H12")))
+    second = F.when(k % 11 == 0, F.when(intel, " / Platinum 8358").otherwise("/7402")).otherwise("")
+    words = F.array_join(F.slice(F.array(*map(F.lit, ("clean", "tested", "server", "grade"))), F.lit(1), (F.col("p_size") % 5).cast("int")), " ")
+    lock = F.concat_ws(" ", _pick(k, "", "not", "no longer", "never", "isn't", "without"), words, _pick(F.floor(k / 6), "", "a Dell", "the vendor"), _pick(F.floor(k / 18), "unlocked", "LOCKED", "PSB-unlocked", "boxed"))
+    text = F.concat(name, second, F.lit(" "), "p_size", F.lit("-Core "), F.when(intel, "FCLGA 4189").otherwise("Socket SP3 4094"), F.lit(" - "), lock, F.when(k % 13 == 0, " | QS").otherwise(""), F.when(k % 17 == 0, " + Motherboard").otherwise(""), F.when(k % 5 == 0, ", replacement for (EPYC 9654 ES, 2x CPU) unit").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", title.canonical_title(text).alias("t"))
+
+
 _LOCK_SQL = """SELECT *, p_partkey % 6 AS neg, p_partkey // 6 % 3 AS qual, p_partkey // 18 % 4 AS said, p_size % 5 AS words, p_partkey % 7 = 0 AS intel, p_partkey % 11 = 0 AS two, p_partkey % 13 = 0 AS qs, p_partkey % 17 = 0 AS board, p_partkey % 4 AS m FROM part"""
 
 
@@ -32,14 +44,7 @@ SELECT p_partkey, CASE WHEN intel THEN 'intel' ELSE 'amd' END AS brand, CASE WHE
  concat_ws(',', CASE WHEN qs THEN 'sample' END, CASE WHEN board THEN 'bundle' END, CASE WHEN two THEN 'multi_model' END, CASE WHEN intel THEN 'socket' END, CASE WHEN p_size <> 32 THEN 'cores' END, CASE WHEN model <> '7763' THEN 'model' END) AS vetoes FROM r""")
 def q_processor_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Makers, models, markers and locks, negated at every distance and cited beside; vetoes against one of the catalog."""
-    k = F.col("p_partkey")
-    intel = k % 7 == 0
-    name = F.when(intel, "Intel Xeon Gold 6338").otherwise(F.concat(F.lit("AMD EPYC "), _pick(k, "7763", "7742", "9354P", "7H12")))
-    second = F.when(k % 11 == 0, F.when(intel, " / Platinum 8358").otherwise("/7402")).otherwise("")
-    words = F.array_join(F.slice(F.array(*map(F.lit, ("clean", "tested", "server", "grade"))), F.lit(1), (F.col("p_size") % 5).cast("int")), " ")
-    lock = F.concat_ws(" ", _pick(k, "", "not", "no longer", "never", "isn't", "without"), words, _pick(F.floor(k / 6), "", "a Dell", "the vendor"), _pick(F.floor(k / 18), "unlocked", "LOCKED", "PSB-unlocked", "boxed"))
-    text = F.concat(name, second, F.lit(" "), "p_size", F.lit("-Core "), F.when(intel, "FCLGA 4189").otherwise("Socket SP3 4094"), F.lit(" - "), lock, F.when(k % 13 == 0, " | QS").otherwise(""), F.when(k % 17 == 0, " + Motherboard").otherwise(""), F.when(k % 5 == 0, ", replacement for (EPYC 9654 ES, 2x CPU) unit").otherwise(""))
-    rows = table(spark, sf_dir, "part").select("p_partkey", title.canonical_title(text).alias("t"))
+    rows = _processor_titles(spark, sf_dir)
     rows = rows.select("p_partkey", processors.attributes(F.col("t")).alias("a"), processors.candidates(F.col("t")).alias("c"))
     against = processors.vetoes(F.col("a"), F.lit("sp3"), F.lit(32), F.lit("7763"))
     return rows.select("p_partkey", *[f"a.{x}" for x in ("brand", "socket", "cores", "model", "multi_model", "sample", "bundle", "vendor_lock")], F.get("c", F.lit(0))["norm"].alias("best"), F.array_join(against, ",").alias("vetoes"))
@@ -108,3 +113,19 @@ def q_number_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(k, candidates.candidates(F.col("t"), F.col("m")).alias("c"))
     said = F.transform("c", lambda c: F.concat_ws(":", c["norm"], c["kind"], c["vendor"], F.when(c["structured"], "structured").when(c["review_only"], "review").otherwise("title")))
     return rows.select(k, F.array_join(said, " ").alias("found"), F.array_join(candidates.mpns(F.col("c")), " ").alias("mpns"))
+
+
+@query(f"""WITH t AS ({_LOCK_SQL}), h AS (SELECT *, CASE WHEN intel THEN '3' WHEN two OR m > 1 THEN NULL WHEN m = 0 THEN '1' ELSE '2' END AS model, two OR qs OR board OR p_size <> 32 AS bad FROM t)
+SELECT p_partkey, CASE WHEN model IS NULL THEN 'none' WHEN bad THEN 'review' ELSE 'accept' END AS outcome, CASE WHEN model IS NOT NULL AND NOT bad THEN model END AS target, CASE WHEN model IS NULL THEN 'no_evidence' WHEN bad THEN 'veto' ELSE 'exact_alias' END AS reason FROM h""")
+def q_processor_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processor listings from title to decision: candidates meet the catalog's names, and the category's vetoes the ladder."""
+    catalog = spark.createDataFrame([("epyc7763", "1", "amd", "sp3", 32, "7763"), ("epyc7742", "2", "amd", "sp3", 32, "7742"), ("xeongold6338", "3", "intel", "lga4189", 32, "6338")], "norm string, model_id string, brand string, socket string, cores int, model string")
+    aliases = catalog.select("norm", F.lit("mpn").alias("alias_type"), F.lit(None).cast("int").alias("site"), "model_id", F.lit(None).cast("string").alias("family_id"), "brand")
+    rows = _processor_titles(spark, sf_dir).select(F.col("p_partkey").alias("listing_id"), F.lit(1).alias("site"), processors.attributes(F.col("t")).alias("a"), processors.candidates(F.col("t")).alias("candidates"))
+    rows = rows.withColumn("brand", F.col("a.brand"))
+    known = catalog.select(F.col("model_id").alias("of"), "socket", "cores", "model")
+    hits = resolve.alias_hits(rows, aliases).join(rows.select("listing_id", "a"), "listing_id").join(known, F.col("model_id") == F.col("of"))
+    hits = hits.withColumn("vetoes", processors.vetoes(F.col("a"), F.col("socket"), F.col("cores"), F.col("model"))).drop("a", "of", "socket", "cores", "model")
+    none = spark.createDataFrame([], "listing_id long, vendor string, family string")
+    out = resolve.decide(rows.select("listing_id", "brand"), hits, none)
+    return out.select(F.col("listing_id").alias("p_partkey"), "outcome", "target", "reason")
