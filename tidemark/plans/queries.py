@@ -755,12 +755,12 @@ def q_token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import absence_queries, alert_queries, catalog_queries, ledger_queries, read_queries, report_queries, source_queries, title_queries  # noqa: F401  register their own
+    from . import absence_queries, alert_queries, catalog_queries, ledger_queries, read_queries, report_queries, resolve_queries, source_queries, title_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import absence_queries, alert_queries, catalog_queries, ledger_queries, read_queries, report_queries, source_queries, title_queries  # noqa: F401
+    from . import absence_queries, alert_queries, catalog_queries, ledger_queries, read_queries, report_queries, resolve_queries, source_queries, title_queries  # noqa: F401
 
     return dict(SQL)
