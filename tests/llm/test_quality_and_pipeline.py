@@ -104,5 +104,5 @@ def test_pipeline_of_nothing(spark, table):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 14)]
     assert set(oracle_sql()) <= set(queries())
