@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tasks are parallel as they are: a tokenizer's own threads in each of them only wait for each other.
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _OWN: dict[str, str] = {}
 
 
