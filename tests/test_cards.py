@@ -58,3 +58,14 @@ def test_two_steps(table):
     ]
     named = products.select("code", F.lit('{"name": "My  Book", "variantOptions": [{"code": "RWD240KFGX", "priceData": {"value": 1}}]}').alias("body")).limit(1)
     assert [r.mpn for r in cards.product_options(named, named.select("code")).collect()] == [None]
+
+
+def test_page_cards_read_the_entities_that_their_sql_reads(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import queries
+
+    page = '<ul><li><a href="/a?b=1&amp;c=2">x &quot;y&quot; &lt;&amp;gt;</a></li></ul><article><h1>k = &quot;5&quot; &amp;&amp;amp; a&amp</h1><p>t &gt; u</p></article>'
+    spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    said = duckdb.sql(f"SELECT * FROM ({queries.oracle_sql()['q_page_cards'].replace('FROM pages', f'''FROM '{tmp_path}/pages.parquet/*.parquet' ''')})").fetchall()
+    assert [tuple(r) for r in queries.queries()["q_page_cards"](spark, str(tmp_path)).collect()] == said

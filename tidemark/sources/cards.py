@@ -34,8 +34,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!.*?>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"
 _ATTRIBUTE = re.compile(r"([a-zA-Z][-a-zA-Z0-9]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 
 
-def scan(page: str, tag: str | None, wanted: str | None) -> list[tuple]:
-    """(place, closed, links, texts) of the cards of a page, in the order in which they begin."""
+def scan(page: str, tag: str | None, wanted: str | None, decoded: bool = True) -> list[tuple]:
+    """(place, closed, links, texts) of the cards of a page, in the order in which they begin. Unless ``decoded``, texts
+    and attributes are as the page writes them, entities and all."""
+    plain = html.unescape if decoded else str
     stack: list[tuple[str, str, dict | None]] = []  # tag, what texts stand under, the card that it is
     cards: list[dict] = []
     raw = None
@@ -55,7 +57,7 @@ def scan(page: str, tag: str | None, wanted: str | None) -> list[tuple]:
             continue
         if not name:
             if m[0][0] != "<" or m[0] == "<":
-                text = html.unescape(m[0])
+                text = plain(m[0])
                 for i, (_, _, card) in enumerate(stack):
                     if card is not None:
                         card["texts"].append((" ".join(u for _, u, _ in stack[i + 1 :] if u), text))
@@ -69,7 +71,7 @@ def scan(page: str, tag: str | None, wanted: str | None) -> list[tuple]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in SCOPES), None)
             if at is not None and stack[at][0] == name:
                 close(at, False)
-        said = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(attributes)}
+        said = {a.lower(): plain(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(attributes)}
         classes = said.get("class", "").split()
         if said.get("href"):
             for _, _, card in stack:
@@ -86,15 +88,15 @@ def scan(page: str, tag: str | None, wanted: str | None) -> list[tuple]:
     return [(i, c["closed"], c["links"], c["texts"]) for i, c in enumerate(cards)]
 
 
-def cards_of(page: Column, tag: str | None = None, wanted: str | None = None) -> Column:
+def cards_of(page: Column, tag: str | None = None, wanted: str | None = None, decoded: bool = True) -> Column:
     """array<CARD> of a page: its elements of a tag, a class, or both. A card that the page leaves open, or whose end
-    another element forces, isn't ``closed``. A null page has none."""
+    another element forces, isn't ``closed``. A null page has none. ``decoded``: whether entities are read."""
 
     @F.pandas_udf(f"array<{CARD}>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = ("place", "closed", "links", "texts")
         for batch in batches:
-            yield pd.Series([[dict(zip(names, (*c[:3], [{"under": u, "text": t} for u, t in c[3]]), strict=True)) for c in scan(p, tag, wanted)] if p is not None else [] for p in batch], dtype=object)
+            yield pd.Series([[dict(zip(names, (*c[:3], [{"under": u, "text": t} for u, t in c[3]]), strict=True)) for c in scan(p, tag, wanted, decoded)] if p is not None else [] for p in batch], dtype=object)
 
     return found(page)
 
