@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import absence
+from tidemark.operators import absence, runs
 
 T0 = dt.datetime(2024, 1, 1)
 SIGHT = "site int, key string, run long, at timestamp, scope string"
@@ -102,3 +102,16 @@ def test_evidence_expires_when_its_listing_is_gone(table):
     df = table("site int, key string, observed_at timestamp, expires_at timestamp, bounded boolean, n int", [(*r, n) for n, r in enumerate(rows)])
     got = {r.n: r.expires_at for r in absence.pulled_forward(df, told, F.col("bounded"), 3_600).collect()}
     assert got == {0: at(5), 1: at(5), 2: at(9), 3: at(50), 4: at(4), 5: at(50), 6: None, 7: at(5), 8: at(4)}
+
+
+def test_no_frame_is_gone_through_anew_for_each_row(spark, table):
+    """A unit of one scope may hold most of all sightings."""
+    n = 40_000
+    rows = spark.range(n).select(F.lit(1).alias("site"), F.lit("a").alias("scope"), F.struct(F.col("id").alias("x"), F.lit(0).cast("long").alias("n")).alias("pos"))
+    sweeps = rows.where("pos.x % 1000 = 0").withColumn("said", F.struct(F.col("pos.x").alias("at")))
+    out = absence.next_sweep(rows, sweeps, ["site", "scope"], n)
+    assert out.where("coalesce(next.said.at, -1) <> if(pos.x >= 39000, -1, (pos.x div 1000 + 1) * 1000)").count() == 0
+    ends = table("k int, at timestamp, tie int", [])
+    streaks = runs.failure_streaks(ends, "k", "at", "tie", F.lit(True), F.lit(False))
+    for df in (out, streaks):
+        assert "1, unboundedfollowing" not in df._jdf.queryExecution().analyzed().toString().replace("$()", "")

@@ -72,12 +72,13 @@ def next_sweep(rows: DataFrame, sweeps: DataFrame, by: list[str], unit: int) ->
     own = rows.select(*key, cut, F.col("pos").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"))
     # the first sweep of any later unit, for the units that hold rows or sweeps
     units = own.select(*keys, "_unit").distinct().join(firsts, [*keys, "_unit"], "full")
-    later = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(1, Window.unboundedFollowing)
-    beyond = units.select(*keys, "_unit", F.first("_first", ignorenulls=True).over(later).alias("_beyond"))
+    # windows run backwards: a frame that begins behind its row and has no end is gone through anew for each row
+    later = Window.partitionBy(*keys).orderBy(F.desc("_unit")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = units.select(*keys, "_unit", F.last("_first", ignorenulls=True).over(later).alias("_beyond"))
     both = own.withColumn("_sweep", F.lit(None).cast(marks.schema["_sweep"].dataType)).unionByName(marks.withColumn("_row", F.lit(None).cast(own.schema["_row"].dataType)))
     # rows of a position stand behind its sweeps, which are no later ones
-    within = Window.partitionBy(*keys, "_unit").orderBy(F.col("_at"), F.col("_row").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("_own", F.first("_sweep", ignorenulls=True).over(within)).where(F.col("_row").isNotNull())
+    within = Window.partitionBy(*keys, "_unit").orderBy(F.desc("_at"), F.col("_row").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_own", F.last("_sweep", ignorenulls=True).over(within)).where(F.col("_row").isNotNull())
     out = found.join(beyond, [*keys, "_unit"], "left")
     return out.select("_row.*", F.coalesce("_own", "_beyond").alias("next"))
 

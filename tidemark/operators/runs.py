@@ -26,7 +26,9 @@ def failure_streaks(runs: DataFrame, key: str, at: str, tie: str, failed: Column
     seconds it took (null while it lasts). Rows that are neither start nor end a streak."""
     own = Window.partitionBy(key).orderBy(at, tie)
     marked = runs.withColumn("_ok", F.coalesce(succeeded, F.lit(False)).cast("int")).withColumn("_bad", F.coalesce(failed, F.lit(False)).cast("int")).where("_ok + _bad > 0")
-    marked = marked.withColumn("_island", F.sum("_ok").over(own)).withColumn("_next", F.min(F.when(F.col("_ok") == 1, F.col(at))).over(own.rowsBetween(1, Window.unboundedFollowing)))
+    # backwards: a frame that begins behind its row and has no end is gone through anew for each row
+    back = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie)).rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumn("_island", F.sum("_ok").over(own)).withColumn("_next", F.min(F.when(F.col("_ok") == 1, F.col(at))).over(back))
     streaks = marked.where("_bad = 1").groupBy(key, "_island").agg(F.count(F.lit(1)).alias("failures"), F.min(at).alias("first_failed"), F.max(at).alias("last_failed"), F.min("_next").alias("recovered"))
     return streaks.select(key, "failures", "first_failed", "last_failed", "recovered", seconds(F.col("first_failed"), F.col("recovered")).alias("recovery_s"))
 
