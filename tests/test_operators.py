@@ -298,3 +298,17 @@ def test_recorded_sums_stay_null(table):
     df = table("k int, f long, v long", [(1, None, None), (1, None, 3), (2, 5, 7)])
     got = {r.k: (r.fetched, r.valid, r.dropped, r.completeness) for r in reports.run_stats(df, ["k"], F.lit(True), F.lit(False), F.lit(True), "f", "v").collect()}
     assert got == {1: (None, 3, None, None), 2: (5, 7, None, None)}
+
+
+def test_counted_alias_hits_are_those_of_single_hits(table):
+    import random
+
+    pick = random.Random(5)
+    kinds, types = ["manufacturer_mpn", "oem", "house_sku", "structured"], ["mpn", "oem_pn", "house_sku"]
+    aliases = table("norm string, alias_type string, site long, model_id long, family_id string, brand string", [(pick.choice("abc"), pick.choice(types), pick.choice([None, 1, 2]), pick.choice([None, *range(40)]), "f", "b") for _ in range(300)])
+    asked = [(i, pick.choice([None, 1, 2, 3]), [(pick.choice("abcd"), pick.choice(kinds)) for _ in range(pick.randrange(4))]) for i in range(80)]
+    listings = table("listing_id long, site long, candidates array<struct<norm: string, kind: string>>", asked)
+    hits = resolve.alias_hits(listings, aliases)
+    want = hits.groupBy("listing_id").agg(F.count(F.lit(1)), F.count_distinct("model_id"), F.sum("model_id"), F.count_if(F.col("alias_type") == "oem_pn")).collect()
+    got = resolve.alias_counts(listings, aliases, "oem_pn").collect()
+    assert len(want) > 30 and sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)

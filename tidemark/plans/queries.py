@@ -437,8 +437,7 @@ def q_alias_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.join(part, F.col("n") == k).select(F.col("event_id").alias("listing_id"), (F.col("user_id") % 25).alias("site"), F.array(F.struct(key.alias("norm"), kind.alias("kind"))).alias("candidates"))
     alias_type = F.when(k % 3 == 0, "mpn").when(k % 3 == 1, "oem_pn").otherwise("house_sku")
     aliases = part.select(key.alias("norm"), alias_type.alias("alias_type"), F.when(k % 4 == 0, k % 25).alias("site"), k.alias("model_id"), F.col("p_size").alias("family_id"), F.col("p_brand").alias("brand"))
-    hits = resolve.alias_hits(rows, aliases)
-    return hits.groupBy("listing_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("model_id").alias("models"), F.sum("model_id").alias("sum_model"), F.count_if(F.col("alias_type") == "oem_pn").alias("oem"))
+    return resolve.alias_counts(rows, aliases, "oem_pn").withColumnRenamed("of_type", "oem")
 
 
 _LADDER_SQL = """
