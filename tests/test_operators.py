@@ -312,3 +312,13 @@ def test_counted_alias_hits_are_those_of_single_hits(table):
     want = hits.groupBy("listing_id").agg(F.count(F.lit(1)), F.count_distinct("model_id"), F.sum("model_id"), F.count_if(F.col("alias_type") == "oem_pn")).collect()
     got = resolve.alias_counts(listings, aliases, "oem_pn").collect()
     assert len(want) > 30 and sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
+
+
+def test_offers_of_one_id_are_told_by_their_own_cohorts(table):
+    from tidemark.operators import cohorts
+
+    rows = [(1, "4.000", "nas", "sata-3.5", "new")] * 2 + [(1, "8.000", "nas", "sata-3.5", "used"), (2, "8.000", None, "sata-3.5", None)]
+    offers = table("offer_id int, bucket string, tier string, ifff string, condition string", rows)
+    baseline = offers.limit(1).select("bucket", "tier", "ifff", "condition", F.explode(F.array_repeat(F.lit(1.0), 40)).alias("w"))
+    got = sorted((r.offer_id, r.bucket, r.step, r.n_eff, r.exhausted) for r in cohorts.relaxed(offers, baseline, ["4.000", "8.000"], {}, "w").collect())
+    assert got == [(1, "4.000", "none", 40.0, False)] * 2 + [(1, "8.000", "capacity", 40.0, False), (2, "8.000", "tier", 0.0, True)]

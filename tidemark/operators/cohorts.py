@@ -70,18 +70,20 @@ def with_neighbours(bucket: Column, buckets: list[str]) -> Column:
     return F.array_compact(F.array(below.cast("string"), bucket, above.cast("string")))
 
 
-def relaxed(offers: DataFrame, baseline: DataFrame, buckets: list[str], parents: dict[str, str], weight: str, key: str = "offer_id") -> DataFrame:
+def relaxed(offers: DataFrame, baseline: DataFrame, buckets: list[str], parents: dict[str, str], weight: str) -> DataFrame:
     """``offers`` with ``step`` and ``n_eff`` of the first cohort of the ladder that has LEAST effective observations;
-    ``exhausted`` where none has, then at the last step. Both tables: bucket, tier, ifff, condition; ``baseline`` has ``weight``, and
-    ``offers`` a column ``key`` that tells its rows apart.
+    ``exhausted`` where none has, then at the last step. Both tables: bucket, tier, ifff, condition; ``baseline`` has ``weight``.
 
     Each step counts what the baseline sums up to (w and w squared) by its own components, and is met by equality:
-    the baseline is rolled up per step before it is joined, so no observation meets an offer.
+    the baseline is rolled up, once and then per step, before it is joined, so no observation meets an offer. Offers of one cohort are
+    told the same, so the steps are taken once a cohort.
     """
     parent = F.create_map(*[F.lit(x) for kv in parents.items() for x in kv])
     known = baseline.withColumn("parent", F.coalesce(F.try_element_at(parent, F.col("tier")), F.col("tier")))
-    sums = lambda keys: known.groupBy(*keys).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(weight)).alias("w2"))
-    rows = offers.withColumn("_id", F.col(key))
+    known = known.groupBy("bucket", "tier", "parent", "ifff", "condition").agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(weight)).alias("w2"))
+    sums = lambda keys: known.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("w2").alias("w2"))
+    own = F.struct("bucket", "tier", "ifff", "condition")
+    rows = offers.select(own.alias("_id")).distinct().select("_id", "_id.*")
     rows = rows.withColumn("parent", F.coalesce(F.try_element_at(parent, F.col("tier")), F.col("tier")))
     wide = rows.withColumn("bucket", F.explode(with_neighbours(F.col("bucket"), buckets)))
     levels = [(rows, ["bucket", "tier", "ifff", "condition"]), (rows, ["bucket", "tier", "ifff"]), (wide, ["bucket", "tier", "ifff"]), (wide, ["bucket", "parent", "ifff"])]
@@ -94,7 +96,9 @@ def relaxed(offers: DataFrame, baseline: DataFrame, buckets: list[str], parents:
     n = [F.coalesce(f"n{k}", F.lit(0.0)) for k in range(4)]
     enough = [F.when(n[k] >= LEAST, F.struct(F.lit(s).alias("step"), n[k].alias("n_eff"), F.lit(False).alias("exhausted"))) for k, s in enumerate(STEPS)]
     chosen = F.coalesce(*enough, F.struct(F.lit("tier").alias("step"), n[3].alias("n_eff"), F.lit(True).alias("exhausted")))
-    return out.select(*offers.columns, chosen.alias("c")).select(*offers.columns, "c.step", "c.n_eff", "c.exhausted")
+    # a small file of offers is broadcast for its size on disk, which is a fiftieth of that in memory
+    told = out.select(F.col("_id").alias("_cohort"), chosen.alias("_c")).hint("merge")
+    return offers.join(told, own == F.col("_cohort")).select(*offers.columns, "_c.step", "_c.n_eff", "_c.exhausted")
 
 
 def steady_alerts(sightings: DataFrame, key: str, at: str, tie: str, polls: int, cooldown_s: float) -> DataFrame:
