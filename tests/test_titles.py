@@ -80,3 +80,11 @@ def test_quantities_for_prices(table):
 def test_part_numbers(table, token, want):
     d = table("t string", [(token,)]).select(mpn.decode(F.col("t")).alias("d")).first().d
     assert (d and (d.vendor, d.family, d.capacity_bytes)) == want
+
+
+@pytest.mark.parametrize("name", ["q_processor_titles", "q_title_attributes", "q_offer_terms", "q_citation_spans", "q_number_candidates"])
+def test_titles_of_one_file_are_read_by_all_tasks(spark, name):
+    from tidemark.plans import queries
+
+    out = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

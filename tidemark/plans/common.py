@@ -18,3 +18,8 @@ def work_path(spark: SparkSession, name: str) -> str:
     if named is None and spark.sparkContext.master.startswith("local"):
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of few bytes and much work each, dealt out by key: a file of millions of them may be one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

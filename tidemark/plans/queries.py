@@ -10,7 +10,7 @@ from ..functions import keys, money, mpn, title
 from ..operators import alerts, asof, completeness, eligibility, latest, lifecycle, presence, reports, resolve, runs, score
 from ..sources import listings
 from ..streaming import heartbeat, sources
-from .common import table, work_path
+from .common import spread, table, work_path
 from .registry import QUERIES, SQL, Query, query
 
 
@@ -420,7 +420,7 @@ def q_title_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda *xs: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int"))
     quoted = F.when(k % 2 == 0, F.concat(F.lit("LOT OF "), "p_size", F.lit(" "))).otherwise("")
     text = F.concat(quoted, pick("Seagate", "WD", "TOSHIBA", "Hitachi"), F.lit(" "), "p_size", F.lit("TB "), pick("SATA", "SAS", "NVMe"), F.lit(" 6Gb/s 3.5\" "), (5400 + 100 * F.col("p_size")).cast("string"), F.lit("RPM "), pick("factory recertified", "used", "NEW", "as-is", "not used"), F.lit(" — FREE SHIPPING, replacement for Kioxia open box"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", title.canonical_title(text).alias("t"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", title.canonical_title(text).alias("t"))
     a = title.attributes(F.col("t"))
     return rows.select("p_partkey", a["capacity"]["bytes"].alias("capacity_bytes"), a["interface"].alias("interface"), a["form_factor"].alias("form_factor"), a["rpm"].alias("rpm"), a["brand"].alias("brand"), a["condition"]["value"].alias("condition"), a["quantity"]["n"].alias("quantity"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import candidates, processors, spans, title
 from ..operators import resolve
-from .common import table
+from .common import spread, table
 from .registry import query
 
 
@@ -27,7 +27,7 @@ def _processor_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_join(F.slice(F.array(*map(F.lit, ("clean", "tested", "server", "grade"))), F.lit(1), (F.col("p_size") % 5).cast("int")), " ")
     lock = F.concat_ws(" ", _pick(k, "", "not", "no longer", "never", "isn't", "without"), words, _pick(F.floor(k / 6), "", "a Dell", "the vendor"), _pick(F.floor(k / 18), "unlocked", "LOCKED", "PSB-unlocked", "boxed"))
     text = F.concat(name, second, F.lit(" "), "p_size", F.lit("-Core "), F.when(intel, "FCLGA 4189").otherwise("Socket SP3 4094"), F.lit(" - "), lock, F.when(k % 13 == 0, " | QS").otherwise(""), F.when(k % 17 == 0, " + Motherboard").otherwise(""), F.when(k % 5 == 0, ", replacement for (EPYC 9654 ES, 2x CPU) unit").otherwise(""))
-    return table(spark, sf_dir, "part").select("p_partkey", title.canonical_title(text).alias("t"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", title.canonical_title(text).alias("t"))
 
 
 _LOCK_SQL = """SELECT *, p_partkey % 6 AS neg, p_partkey // 6 % 3 AS qual, p_partkey // 18 % 4 AS said, p_size % 5 AS words, p_partkey % 7 = 0 AS intel, p_partkey % 11 = 0 AS two, p_partkey % 13 = 0 AS qs, p_partkey % 17 = 0 AS board, p_partkey % 4 AS m FROM part"""
@@ -64,7 +64,7 @@ def q_offer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     said = ("used", "NEW", "Factory Recertified", "recertified", "open box", "for parts", "seller refurbished")
     text = F.concat_ws(" ", F.lit("Seagate Exos 16TB"), F.when(F.col("p_size") % 3 == 0, "not"), _pick(k, *said), F.lit("-"), F.when(F.col("p_size") % 4 == 0, "never a"), _pick(F.floor(k / 7), *said), F.lit(", replaces (Toshiba, new) drive used"))
-    rows = table(spark, sf_dir, "part").select(k, title.canonical_title(text).alias("t"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select(k, title.canonical_title(text).alias("t"))
     rows = rows.select(k, title.offer_terms(title.without_citations(F.col("t"))).alias("o"))
     store = k % 2 == 0
     rows = rows.withColumn("d", title.with_declared(F.col("o"), F.when(store, "recertified"), F.when(store, "factory")))
@@ -86,7 +86,7 @@ def q_citation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(own, F.lit(" "), cited)
     for i, x in enumerate(texts):
         text = F.when(k % 4 == i, x).otherwise(text)
-    rows = table(spark, sf_dir, "part").select(k, text.alias("t"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select(k, text.alias("t"))
     return rows.select(k, F.length("t").cast("long").alias("n"), spans.masked(F.col("t"), spans.DRIVE_REFERENCES, spans.LEADING).alias("masked"))
 
 
@@ -109,7 +109,7 @@ def q_number_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 11 == 0, retail),
         F.when(k % 13 == 0, ", replacement for (NetApp X477A, HP 999999-B99) drives"),
     ]
-    rows = table(spark, sf_dir, "part").select(k, title.canonical_title(F.concat_ws(" ", *bits)).alias("t"), F.when(k % 3 == 0, mpn).alias("m"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select(k, title.canonical_title(F.concat_ws(" ", *bits)).alias("t"), F.when(k % 3 == 0, mpn).alias("m"))
     rows = rows.select(k, candidates.candidates(F.col("t"), F.col("m")).alias("c"))
     said = F.transform("c", lambda c: F.concat_ws(":", c["norm"], c["kind"], c["vendor"], F.when(c["structured"], "structured").when(c["review_only"], "review").otherwise("title")))
     return rows.select(k, F.array_join(said, " ").alias("found"), F.array_join(candidates.mpns(F.col("c")), " ").alias("mpns"))
