@@ -86,3 +86,32 @@ def test_filter_hides_no_partner(table):
     hit = {r.x for r in all_rows.where(may_be_among(F.col("x"), few)).collect()}
     assert {k * k for k in range(142)} <= hit and len(hit) < 2000
     assert all_rows.where(may_be_among(F.col("x"), few.where("false"))).count() == 0
+
+
+def test_simhash_finds_close_copies_by_itself(spark, table, monkeypatch):
+    """Pairs within four bits are met by fingerprints, also where prefixes find nothing."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.simhash import fingerprint
+
+    rng, docs, close = random.Random(6), [], 0
+    for k in range(12):
+        base = [f"v{rng.randrange(5000)}" for _ in range(400)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-1], "end"]))]
+        close += bin(fingerprint(docs[-2][1], 5) ^ fingerprint(docs[-1][1], 5)).count("1") <= 4
+    assert close > 6
+    monkeypatch.setattr(near_copies, "_possible", lambda a, b, similarity: F.lit(False))
+    out = corpus_pipeline.near_dedup(spark, table("doc_id long, text string", docs), "")
+    assert out.count() == 24 - close
+
+
+def test_what_is_frequent_does_not_grow_with_the_input(spark):
+    from pyspark.sql import functions as F
+
+    for n in (4_000, 80_000):
+        docs = spark.range(n).select(F.format_string("w%d p q r s u%d", F.floor(F.col("id") / 40), "id").alias("text"))
+        tables = near_copies.frequent_shingles(docs, "text", 5)
+        shared = near_copies.np.concatenate([near_copies.shingle_set(f"w{k} p q r s") for k in range(n // 40)])
+        assert (near_copies._late(shared, tables) > 0).mean() > 0.75
+        alone = near_copies.np.concatenate([near_copies.shingle_set(f"p q r s u{k}") for k in range(1000)])
+        assert (near_copies._late(alone, tables) > 0).mean() < 0.2

@@ -41,28 +41,35 @@ BLOCKS = 7
 PIVOTS = 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The unsigned fingerprint: a bit is 1 if it is set in over half the shingles' XXH64 (seed 42)."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """The unsigned XXH64 (seed 42) of the text's shingles in order, repeats included."""
     words = (text or "").encode().lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     if n < shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: n - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], "<u8")
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: n - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), "<u8", n - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint: a bit is 1 if it is set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], "<u8")
-        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The majority of the text's shingle hashes."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprint_column(text_col: str, shingle: int = 4) -> F.Column:
     """The fingerprint of a text column as a signed long."""
 
@@ -117,23 +124,32 @@ def _within(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
 
 
-def near_classes(prints: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for every distinct fingerprint of ``prints`` (id, fp)."""
-    table = written(pivot_table(prints.groupBy("fp").agg(F.min("id").alias("lead"))), "pivots")
+def _linked(pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a_fp, b_fp and their coordinates) that survive the pivots and the comparison."""
+    far = _largest_difference([F.col("a_c0"), F.col("a_c1")], [F.col("b_c0"), F.col("b_c1")])
+    return pairs.where(far <= RADIUS).where(_within(F.col("a_fp"), F.col("b_fp")))
+
+
+def meetings(table: DataFrame) -> DataFrame:
+    """(key, fp, lo, hi): the buckets of a pivot table that hold more than one fingerprint, with their leaders."""
     rows = table.select("fp", F.explode(_keys()).alias("key"))
     led_by = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    met = written(rows.join(led_by.select((F.col("key") + 0).alias("lk"), "lo", "hi"), F.col("key") + 0 == F.col("lk")).select("key", "fp", "lo", "hi"), "met")
-
-    side = lambda s: table.select(*[F.col(c).alias(f"{s}{c}") for c in ("fp", "c0", "c1")])
+    return written(rows.join(led_by.select((F.col("key") + 0).alias("lk"), "lo", "hi"), F.col("key") + 0 == F.col("lk")).select("key", "fp", "lo", "hi"), "met")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The ``pairs`` (a_fp, b_fp and their coordinates) that survive both steps."""
-        far = _largest_difference([F.col("a_c0"), F.col("a_c1")], [F.col("b_c0"), F.col("b_c1")])
-        return pairs.where(far <= RADIUS).where(_within(F.col("a_fp"), F.col("b_fp")))
 
+def led_pairs(table: DataFrame, met: DataFrame) -> DataFrame:
+    """(u, v): fingerprints of ``table`` and leaders of their buckets that survive both steps."""
+    side = lambda s: table.select(*[F.col(c).alias(f"{s}{c}") for c in ("fp", "c0", "c1")])
     led = met.select("fp", F.explode(F.array("lo", "hi")).alias("lead")).where("fp <> lead").distinct()
     led = led.join(side("a_"), F.col("fp") == F.col("a_fp")).join(side("b_"), F.col("lead") == F.col("b_fp"))
-    first = written(components(linked(led).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v"))), "classes")
+    return _linked(led).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v"))
+
+
+def near_classes(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint of ``prints`` (id, fp)."""
+    table = written(pivot_table(prints.groupBy("fp").agg(F.min("id").alias("lead"))), "pivots")
+    met = meetings(table)
+    first = written(components(led_pairs(table, met)), "classes")
 
     # what is left between different components
     comps = table.join(first, F.col("fp") == F.col("node"), "left").select("fp", "c0", "c1", "lead", F.coalesce("root", "fp").alias("comp"))
@@ -145,7 +161,7 @@ def near_classes(prints: DataFrame) -> DataFrame:
     left = mixed.select("key", *[F.col(c).alias(f"a_{c}") for c in ("fp", "c0", "c1", "comp")])
     right = mixed.select(F.col("key").alias("key2"), *[F.col(c).alias(f"b_{c}") for c in ("fp", "c0", "c1", "comp")])
     # both conditions go into the join, so that nothing else leaves it
-    pairs = linked(left.join(right, (F.col("key") == F.col("key2")) & (F.col("a_comp") < F.col("b_comp"))))
+    pairs = _linked(left.join(right, (F.col("key") == F.col("key2")) & (F.col("a_comp") < F.col("b_comp"))))
     second = components(pairs.select(F.col("a_comp").alias("u"), F.col("b_comp").alias("v")))
 
     roots = comps.select("fp", "comp", "lead").join(second, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("root", "comp").alias("root"), "lead")
