@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.canonical import canonical, canonical_hash
 from tidemark.operators import catalog, clauses
+from tidemark.plans import catalog_queries, common
 
 SPEC = "struct<size: long, kind: string>"
 
@@ -87,6 +89,44 @@ def test_edges_of_one_key_are_dealt_out(spark, table, grain, family):
     assert max(map(tasks.count, set(tasks))) < 1000
 
 
+@pytest.mark.parametrize("tasks", [None, 40])
+def test_fingerprints_of_what_is_asked_once(table, tasks):
+    rng = random.Random(7)
+    models = [(m, rng.choice([10, 11, None])) for m in range(300)]
+    rows = catalog_of(table, models, [(m, (m % 3, "a")) for m in range(0, 300, 2)])
+    known = catalog.targets(rows, catalog.families(rows), table("variant_id long, model_id long", [(m * 10, m) for m in range(300)]), tasks)
+    edges = []
+    for i in range(6000):
+        grain = rng.choice(["none", None, "family", "model", "variant", "variant"])
+        family = rng.choice([10, 11, 99, None]) if grain == "family" else None
+        model = rng.choice([7, rng.randrange(350), None]) if grain == "model" else None
+        edges.append((i, rng.choice(["drive", "gpu", None]), grain, family, model, rng.randrange(3500) if grain == "variant" else None))
+    df = table("listing_id int, category string, grain string, family_id long, model_id long, variant_id long", edges)
+    print_of = {r.listing_id: r.catalog_fingerprint for r in catalog.catalog_inputs(df, known).collect()}
+    want = {}
+    for i, category, grain, *ids in edges:
+        n, inputs, prints = want.setdefault((category, grain), ([], set(), set()))
+        n.append(i)
+        inputs.add(tuple(ids))
+        prints |= {print_of[i]} - {None}
+    out = catalog.fingerprint_counts(catalog.catalog_inputs(catalog.asked(df, ("listing_id",), tasks), known, tasks), tasks)
+    assert {(r.category, r.grain): (r.listings, r.inputs, r.fingerprints) for r in out.collect()} == {k: tuple(map(len, v)) for k, v in want.items()}
+
+
+def test_tasks_of_fingerprints_follow_the_listings(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROWS_A_TASK", 200, raising=False)
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog_queries.q_catalog_fingerprints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    # all that is dealt out by an id or a fingerprint; families and the counts by category and grain are few rows
+    tasks = [int(n) for keys, n in re.findall(r"hashpartitioning\((.*), (\d+)\)", plan) if re.search("partkey|model|variant|id#|told|print", keys) and not keys.startswith("family_id#") or "deal#" in keys]
+    assert len(tasks) >= 6 and set(tasks) == {30}
+    assert "Expand" not in plan and "BroadcastHashJoin" not in plan
+
+
 def test_stale_bindings(table):
     names = catalog.BINDINGS
     df = table("a string, b string, c string, d string, e string, f string", [("1", "1", "1", "1", "1", "1"), (None, "1", "1", "1", "1", "2"), ("1", "1", "1", "1", None, None)])

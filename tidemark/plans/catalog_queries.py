@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_hash
 from ..operators import catalog, clauses, eligibility
-from .common import table
+from .common import table, tasks_for
 from .registry import query
 
 CATEGORIES = ("drive", "gpu", "ram", "cpu")
@@ -39,18 +39,24 @@ i AS (SELECT e.*, s.family AS model_family, CASE grain WHEN 'family' THEN f.size
  CASE grain WHEN 'family' THEN f.line WHEN 'none' THEN NULL ELSE CASE WHEN has THEN s.line END END AS line, CASE grain WHEN 'family' THEN f.n WHEN 'none' THEN NULL ELSE 1 END AS n_members FROM e JOIN s ON s.model = e.l_partkey JOIN f ON f.family = s.family)"""
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     li, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber") % 4
     family = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_brand", 7, 9).cast("long").alias("of"))
     category = F.get(F.array(*map(F.lit, CATEGORIES)), (F.col("l_suppkey") % 4).cast("int"))
     grain = F.when(n == 0, "none").when(n == 1, "family").when(n == 2, "model").otherwise("variant")
-    return li.join(family, "l_partkey").select(*li.columns, category.alias("category"), grain.alias("grain"), F.when(n == 1, F.col("of")).alias("family_id"), F.when(n == 2, F.col("l_partkey")).alias("model_id"), F.when(n == 3, F.col("l_partkey") * 10 + F.col("l_suppkey") % 3).alias("variant_id"))
+    met = li.join(family, "l_partkey") if tasks is None else catalog.merged(li, family, ["l_partkey"], tasks=tasks)
+    return met.select(*li.columns, category.alias("category"), grain.alias("grain"), F.when(n == 1, F.col("of")).alias("family_id"), F.when(n == 2, F.col("l_partkey")).alias("model_id"), F.when(n == 3, F.col("l_partkey") * 10 + F.col("l_suppkey") % 3).alias("variant_id"))
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _known(spark: SparkSession, sf_dir: str, tasks: int | None) -> DataFrame:
     models, specs, variants = _models(spark, sf_dir)
-    rows = catalog.members(models, specs)
-    return catalog.catalog_inputs(_edges(spark, sf_dir), catalog.targets(rows, catalog.families(rows), variants))
+    rows = catalog.members(models, specs, tasks)
+    return catalog.targets(rows, catalog.families(rows), variants, tasks)
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = tasks_for(table(spark, sf_dir, "lineitem"))
+    return catalog.catalog_inputs(_edges(spark, sf_dir), _known(spark, sf_dir, tasks), tasks)
 
 
 @query(f"""WITH {_INPUT_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, grain, CAST(n_members AS BIGINT) AS n_members, CASE WHEN grain <> 'none' THEN model_family END AS family, CASE WHEN grain IN ('model', 'variant') THEN l_partkey END AS model, size, grade, line FROM i""")
@@ -63,9 +69,9 @@ def q_catalog_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT category, grain, count(*) AS listings, count(DISTINCT id) + CASE WHEN count(*) > count(id) THEN 1 ELSE 0 END AS inputs, count(DISTINCT id) + CASE WHEN count(*) > count(id) THEN 1 ELSE 0 END AS fingerprints FROM g GROUP BY 1, 2""")
 def q_catalog_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many fingerprints as there are different inputs, in each category and grain."""
-    rows = _inputs(spark, sf_dir)
-    key = F.concat_ws(":", F.coalesce("variant_id", "model_id", "family_id").cast("string"), F.lit(""))
-    return rows.groupBy("category", "grain").agg(F.count(F.lit(1)).alias("listings"), F.countDistinct(key).alias("inputs"), F.countDistinct("catalog_fingerprint").alias("fingerprints"))
+    tasks = tasks_for(table(spark, sf_dir, "lineitem"))
+    asked = catalog.asked(_edges(spark, sf_dir, tasks), ("l_orderkey", "l_linenumber"), tasks)
+    return catalog.fingerprint_counts(catalog.catalog_inputs(asked, _known(spark, sf_dir, tasks), tasks), tasks)
 
 
 @query(f"""WITH s AS (SELECT model, CASE WHEN size > 45 THEN 26 ELSE family END AS family, has OR size < 3 AS has, CASE WHEN family = 7 THEN 1 ELSE size END AS size, grade, line FROM ({_SPEC_SQL})), f AS ({_FAMILY_SQL})
