@@ -124,3 +124,20 @@ def test_dedup_keeps_one_of_each_group(table):
     assert [r.doc_id for r in simhash_dedup(table("doc_id long, text string, root string", rows)).collect()] == [3]
     assert simhash_dedup(df.where("false")).collect() == []
     assert simhash_classes(df.where("false")).collect() == []
+
+
+def test_no_growing_table_is_broadcast(spark, table, monkeypatch, capsys):
+    """Exploded rows and the fingerprints are merged, however small Spark takes them to be."""
+    from tidemark.llm import simhash
+
+    for f in (simhash.meetings, lambda t: simhash.led_pairs(t, t.selectExpr("0L as key", "fp", "fp as lo", "-fp as hi"))):
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "written", lambda df, name: df)
+            f(simhash.pivot_table(spark.range(100).selectExpr("id as fp", "id as lead"))).explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # a table as the last join meets it
+    docs = table("doc_id long, text string", [(k, f"a{k} b c d e") for k in range(50)])
+    simhash_classes(docs).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -134,12 +134,14 @@ def meetings(table: DataFrame) -> DataFrame:
     """(key, fp, lo, hi): the buckets of a pivot table that hold more than one fingerprint, with their leaders."""
     rows = table.select("fp", F.explode(_keys()).alias("key"))
     led_by = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    return written(rows.join(led_by.select((F.col("key") + 0).alias("lk"), "lo", "hi"), F.col("key") + 0 == F.col("lk")).select("key", "fp", "lo", "hi"), "met")
+    # merged: Spark takes exploded rows to be as few as the fingerprints, and would broadcast them
+    return written(rows.hint("merge").join(led_by.select((F.col("key") + 0).alias("lk"), "lo", "hi"), F.col("key") + 0 == F.col("lk")).select("key", "fp", "lo", "hi"), "met")
 
 
 def led_pairs(table: DataFrame, met: DataFrame) -> DataFrame:
     """(u, v): fingerprints of ``table`` and leaders of their buckets that survive both steps."""
-    side = lambda s: table.select(*[F.col(c).alias(f"{s}{c}") for c in ("fp", "c0", "c1")])
+    # merged, as all tables that grow with the input and are small once compressed
+    side = lambda s: table.select(*[F.col(c).alias(f"{s}{c}") for c in ("fp", "c0", "c1")]).hint("merge")
     led = met.select("fp", F.explode(F.array("lo", "hi")).alias("lead")).where("fp <> lead").distinct()
     led = led.join(side("a_"), F.col("fp") == F.col("a_fp")).join(side("b_"), F.col("lead") == F.col("b_fp"))
     return _linked(led).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v"))
@@ -154,7 +156,7 @@ def near_classes(prints: DataFrame) -> DataFrame:
     # what is left between different components
     comps = table.join(first, F.col("fp") == F.col("node"), "left").select("fp", "c0", "c1", "lead", F.coalesce("root", "fp").alias("comp"))
     comps = written(comps, "comps")
-    joined = met.select("key", "fp").join(comps.select(F.col("fp").alias("cfp"), "c0", "c1", "comp"), F.col("fp") == F.col("cfp")).select("key", "fp", "c0", "c1", "comp")
+    joined = met.select("key", "fp").join(comps.select(F.col("fp").alias("cfp"), "c0", "c1", "comp").hint("merge"), F.col("fp") == F.col("cfp")).select("key", "fp", "c0", "c1", "comp")
     joined = written(joined, "joined")
     mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select((F.col("key") + 0).alias("mk"))
     mixed = written(joined.join(mixed, F.col("key") + 0 == F.col("mk")).select("key", "fp", "c0", "c1", "comp"), "mixed")
@@ -168,7 +170,7 @@ def near_classes(prints: DataFrame) -> DataFrame:
     roots = written(roots, "roots")
     dropped(met, joined, mixed, table, comps)
     least = roots.groupBy("root").agg(F.min("lead").alias("component_id"))
-    return roots.join(least.select((F.col("root") + 0).alias("r"), "component_id"), F.col("root") + 0 == F.col("r")).select("fp", "root", "component_id")
+    return roots.join(least.select((F.col("root") + 0).alias("r"), "component_id").hint("merge"), F.col("root") + 0 == F.col("r")).select("fp", "root", "component_id")
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -176,7 +178,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     prints = written(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint_column(text_col, shingle).alias("fp")), "prints")
     classes = written(near_classes(prints), "classes").select(F.col("fp").alias("cfp"), "component_id")
-    out = prints.join(classes, F.col("fp") == F.col("cfp"))
+    out = prints.join(classes.hint("merge"), F.col("fp") == F.col("cfp"))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -188,7 +190,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text_hash = F.xxhash64(F.col(f"`{text_col}`"))
     prints = written(docs.select(F.col(f"`{id_col}`").alias("id"), text_hash.alias("th"), fingerprint_column(text_col, shingle).alias("fp")), "prints")
     classes = written(near_classes(prints), "classes").select(F.col("fp").alias("cfp"), "root", "component_id")
-    leads = prints.join(classes, (F.col("fp") == F.col("cfp")) & F.col("id").eqNullSafe(F.col("component_id")))
+    leads = prints.join(classes.hint("merge"), (F.col("fp") == F.col("cfp")) & F.col("id").eqNullSafe(F.col("component_id")))
     keep = leads.groupBy("root").agg(F.min("th").alias("kt"), F.min("id").alias("ki")).select("ki", "kt")
     rows = docs.select(packed(docs), F.col(f"`{id_col}`").alias("id"), text_hash.alias("th"))
     rows = rows.join(keep.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("ki")) & (F.col("th") == F.col("kt")), "left_semi")
