@@ -115,3 +115,19 @@ def test_what_is_frequent_does_not_grow_with_the_input(spark):
         assert (near_copies._late(shared, tables) > 0).mean() > 0.75
         alone = near_copies.np.concatenate([near_copies.shingle_set(f"p q r s u{k}") for k in range(1000)])
         assert (near_copies._late(alone, tables) > 0).mean() < 0.2
+
+
+def test_no_exploded_rows_are_broadcast(table, monkeypatch, capsys):
+    """Rows of prefixes and the tables that they meet are merged, however small Spark takes them to be."""
+    plans, written = {}, near_copies.written
+
+    def noted(df, name):
+        df.explain()
+        plans[name] = capsys.readouterr().out
+        return written(df, name)
+
+    monkeypatch.setattr(near_copies, "written", noted)
+    docs = [(k, " ".join(f"w{k // 2}x{i}" for i in range(40 + k % 2))) for k in range(20)]
+    assert sorted(r.doc_id for r in copy_dedup(table("doc_id long, text string", docs)).collect()) == list(range(0, 20, 2))
+    for name in ("met", "close", "led", "left", "mixed", "pairs"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], name
