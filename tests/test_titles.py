@@ -88,3 +88,12 @@ def test_titles_of_one_file_are_read_by_all_tasks(spark, name):
 
     out = queries.queries()[name](spark, "/root/testdata/sf0.001")
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_processor_candidates_are_not_broadcast(spark, capsys):
+    """The catalog of three rows goes around, not what grows with the parts."""
+    from tidemark.plans.title_queries import q_processor_resolution
+
+    q_processor_resolution(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("BroadcastHashJoin") == plan.count("BuildRight") == 2 and "BuildLeft" not in plan

@@ -124,7 +124,8 @@ def q_processor_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _processor_titles(spark, sf_dir).select(F.col("p_partkey").alias("listing_id"), F.lit(1).alias("site"), processors.attributes(F.col("t")).alias("a"), processors.candidates(F.col("t")).alias("candidates"))
     rows = rows.withColumn("brand", F.col("a.brand"))
     known = catalog.select(F.col("model_id").alias("of"), "socket", "cores", "model")
-    hits = resolve.alias_hits(rows, aliases).join(rows.select("listing_id", "a"), "listing_id").join(known, F.col("model_id") == F.col("of"))
+    # three rows, whose size Spark doesn't know: it would broadcast the listings' candidates instead
+    hits = resolve.alias_hits(rows, F.broadcast(aliases)).join(rows.select("listing_id", "a").hint("merge"), "listing_id").join(F.broadcast(known), F.col("model_id") == F.col("of"))
     hits = hits.withColumn("vetoes", processors.vetoes(F.col("a"), F.col("socket"), F.col("cores"), F.col("model"))).drop("a", "of", "socket", "cores", "model")
     none = spark.createDataFrame([], "listing_id long, vendor string, family string")
     out = resolve.decide(rows.select("listing_id", "brand"), hits, none)
